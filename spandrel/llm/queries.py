@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spandrel.llm import addresses
+from spandrel.llm import addresses, glyphs
 from spandrel.tables import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,8 +27,23 @@ def p1_collapsed(spark: SparkSession, root: str) -> DataFrame:
     return addresses.collapse_addresses(address_rows(spark, root))
 
 
+def page_texts(spark: SparkSession, root: str) -> DataFrame:
+    """(field, id, value) of the titles, descriptions and og_titles of pages."""
+    pages = load(spark, root, "pages")
+    texts = F.array(*(F.struct(F.lit(x.rpartition(".")[2]).alias("field"), F.col(x).alias("value")) for x in ("title", "meta_description", "open_graph.og_title")))
+    return pages.select(F.col("page_id").alias("id"), F.inline(texts)).select("field", "id", "value")
+
+
+def p2_found(spark: SparkSession, root: str) -> DataFrame:
+    return glyphs.same_looking(page_texts(spark, root)).withColumnRenamed("id", "page_id")
+
+
+def p2_forms(spark: SparkSession, root: str) -> DataFrame:
+    return glyphs.consistent(page_texts(spark, root)).withColumnRenamed("id", "page_id")
+
+
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_collapsed": p1_collapsed}
+    return {"p1_found": p1_found, "p1_collapsed": p1_collapsed, "p2_found": p2_found, "p2_forms": p2_forms}
 
 
 def oracle_sql() -> dict[str, str]:
