@@ -77,8 +77,12 @@ def _canonical(urls: pd.Series) -> pd.Series:
     return pd.Series([canonical_address(x) for x in urls], dtype=object)
 
 
+#: Not deterministic by name only: the optimiser then neither moves it below the collapse nor repeats it in filters.
+_once = _canonical.asNondeterministic()
+
+
 def canonical(url: Column) -> Column:
-    return _canonical(url)
+    return _once(url)
 
 
 def _survivors(rows: DataFrame) -> DataFrame:
