@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spandrel.llm import addresses, glyphs
+from spandrel.llm import addresses, glyphs, mojibake
 from spandrel.tables import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,8 +42,24 @@ def p2_forms(spark: SparkSession, root: str) -> DataFrame:
     return glyphs.consistent(page_texts(spark, root)).withColumnRenamed("id", "page_id")
 
 
+def read_texts(spark: SparkSession, root: str) -> DataFrame:
+    """(tbl, row_id, field, value) of the titles and descriptions of pages and the texts of links."""
+    texts = F.array(*(F.struct(F.lit(x).alias("field"), F.col(x).alias("value")) for x in ("title", "meta_description")))
+    pages = load(spark, root, "pages").select(F.lit("pages").alias("tbl"), F.col("page_id").alias("row_id"), F.inline(texts))
+    links = load(spark, root, "links").select(F.lit("links").alias("tbl"), F.col("link_id").alias("row_id"), F.lit("text").alias("field"), F.col("text").alias("value"))
+    return pages.unionByName(links)
+
+
+def p4_found(spark: SparkSession, root: str) -> DataFrame:
+    return mojibake.garbled(read_texts(spark, root)).select("tbl", "row_id", "field")
+
+
+def p4_restored(spark: SparkSession, root: str) -> DataFrame:
+    return mojibake.garbled(read_texts(spark, root))
+
+
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_collapsed": p1_collapsed, "p2_found": p2_found, "p2_forms": p2_forms}
+    return {"p1_found": p1_found, "p1_collapsed": p1_collapsed, "p2_found": p2_found, "p2_forms": p2_forms, "p4_found": p4_found, "p4_restored": p4_restored}
 
 
 def oracle_sql() -> dict[str, str]:
