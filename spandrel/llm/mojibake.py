@@ -142,12 +142,14 @@ def restore(text: str | None) -> tuple[bool, str | None]:
 
 
 def _pass(text: str) -> tuple[bool, str]:
-    hits = [(end - n + 1, end + 1, pairs) for end, (n, pairs) in automaton().iter(text)]
+    runs = [m.span() for m in _HIGH.finditer(text)]
+    find, hits = automaton().iter, []
+    for a, b in runs:  # every sequence has a character of a run, and at most one beside it
+        hits += [(end - n + 1, end + 1, of) for end, (n, of) in find(text, max(0, a - 1), min(len(text), b + 1))]
     if not hits:
         return False, text
     edits: list[tuple[int, int, str]] = []
     pairs = {p for _, _, of in hits for p in of}
-    runs = [m.span() for m in _HIGH.finditer(text)]
     at, own = 0, {}
     for h in sorted((h for h in hits if h[2][-1][0] == "utf-8"), key=lambda h: h[0]):  # the pairs are in order, utf-8 last
         while runs[at][1] <= h[0]:
