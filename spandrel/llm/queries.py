@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spandrel.llm import addresses, glyphs, mojibake
+from spandrel.llm import addresses, glyphs, mojibake, residue
 from spandrel.tables import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,6 +42,25 @@ def p2_forms(spark: SparkSession, root: str) -> DataFrame:
     return glyphs.consistent(page_texts(spark, root)).withColumnRenamed("id", "page_id")
 
 
+def content_values(spark: SparkSession, root: str) -> DataFrame:
+    """(page_id, site, url, field, value, others): titles, descriptions and single h1 of pages beside their other texts."""
+    one = lambda field, value, *rest: F.struct(F.lit(field).alias("field"), F.col(value).alias("value"), F.concat_ws(" ", *rest).alias("others"))
+    pages = load(spark, root, "pages").select("page_id", "site", "url", "title", "meta_description", "h1_tags")
+    single = pages.select("page_id", "site", "url", F.inline(F.array(one("title", "title", "meta_description", "h1_tags"), one("meta_description", "meta_description", "title", "h1_tags"))))
+    heads = pages.select("page_id", "site", "url", "title", "meta_description", F.explode("h1_tags").alias("h1"))
+    return single.unionByName(heads.select("page_id", "site", "url", F.lit("h1_tags").alias("field"), F.col("h1").alias("value"), F.concat_ws(" ", "title", "meta_description").alias("others")))
+
+
+def p3_found(spark: SparkSession, root: str) -> DataFrame:
+    return residue.stand_ins(content_values(spark, root)).select("page_id", "field").distinct()
+
+
+def p3_contents(spark: SparkSession, root: str) -> DataFrame:
+    """(page_id, field, value) without the values that stand in for content."""
+    values = content_values(spark, root)
+    return values.join(p3_found(spark, root), ["page_id", "field"], "left_anti").select("page_id", "field", "value")
+
+
 def read_texts(spark: SparkSession, root: str) -> DataFrame:
     """(tbl, row_id, field, value) of the titles and descriptions of pages and the texts of links."""
     texts = F.array(*(F.struct(F.lit(x).alias("field"), F.col(x).alias("value")) for x in ("title", "meta_description")))
@@ -59,7 +78,7 @@ def p4_restored(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_collapsed": p1_collapsed, "p2_found": p2_found, "p2_forms": p2_forms, "p4_found": p4_found, "p4_restored": p4_restored}
+    return {"p1_found": p1_found, "p1_collapsed": p1_collapsed, "p2_found": p2_found, "p2_forms": p2_forms, "p3_found": p3_found, "p3_contents": p3_contents, "p4_found": p4_found, "p4_restored": p4_restored}
 
 
 def oracle_sql() -> dict[str, str]:
