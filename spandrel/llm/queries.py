@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spandrel.llm import addresses, glyphs, mojibake, residue
+from spandrel.llm import addresses, glyphs, mojibake, residue, tokens
 from spandrel.tables import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,8 +77,12 @@ def p4_restored(spark: SparkSession, root: str) -> DataFrame:
     return mojibake.garbled(read_texts(spark, root))
 
 
+def p6_ids(spark: SparkSession, root: str) -> DataFrame:
+    return tokens.encoded(load(spark, root, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_collapsed": p1_collapsed, "p2_found": p2_found, "p2_forms": p2_forms, "p3_found": p3_found, "p3_contents": p3_contents, "p4_found": p4_found, "p4_restored": p4_restored}
+    return {"p1_found": p1_found, "p1_collapsed": p1_collapsed, "p2_found": p2_found, "p2_forms": p2_forms, "p3_found": p3_found, "p3_contents": p3_contents, "p4_found": p4_found, "p4_restored": p4_restored, "p6_ids": p6_ids}
 
 
 def oracle_sql() -> dict[str, str]:
