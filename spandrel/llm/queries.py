@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spandrel.llm import addresses, glyphs, mojibake, residue, tokens
+from spandrel.llm import addresses, glyphs, mojibake, packing, residue, tokens
 from spandrel.tables import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -81,8 +81,13 @@ def p6_ids(spark: SparkSession, root: str) -> DataFrame:
     return tokens.encoded(load(spark, root, "documents"))
 
 
+def p7_packed(spark: SparkSession, root: str) -> DataFrame:
+    specs = load(spark, root, "pack_specs").select("pack_name", "tokenizer", "capacity").orderBy("pack_name").collect()  # one row per kind of container
+    return packing.packed(load(spark, root, "documents"), [tuple(x) for x in specs])
+
+
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_collapsed": p1_collapsed, "p2_found": p2_found, "p2_forms": p2_forms, "p3_found": p3_found, "p3_contents": p3_contents, "p4_found": p4_found, "p4_restored": p4_restored, "p6_ids": p6_ids}
+    return {"p1_found": p1_found, "p1_collapsed": p1_collapsed, "p2_found": p2_found, "p2_forms": p2_forms, "p3_found": p3_found, "p3_contents": p3_contents, "p4_found": p4_found, "p4_restored": p4_restored, "p6_ids": p6_ids, "p7_packed": p7_packed}
 
 
 def oracle_sql() -> dict[str, str]:
