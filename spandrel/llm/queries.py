@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spandrel.llm import addresses, glyphs, mojibake, packing, residue, tokens
+from spandrel.llm import addresses, glyphs, mojibake, packing, reading, residue, tokens
 from spandrel.tables import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -86,8 +86,17 @@ def p7_packed(spark: SparkSession, root: str) -> DataFrame:
     return packing.packed(load(spark, root, "documents"), [tuple(x) for x in specs])
 
 
+def p8_levels(spark: SparkSession, root: str) -> DataFrame:
+    documents = load(spark, root, "documents").where("doc_type is null or doc_type <> 'crawl_log'")
+    return reading.graded_levels(documents, load(spark, root, "graded_samples"))
+
+
+def p8_found(spark: SparkSession, root: str) -> DataFrame:
+    return p8_levels(spark, root).select("doc_id", "band")
+
+
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_collapsed": p1_collapsed, "p2_found": p2_found, "p2_forms": p2_forms, "p3_found": p3_found, "p3_contents": p3_contents, "p4_found": p4_found, "p4_restored": p4_restored, "p6_ids": p6_ids, "p7_packed": p7_packed}
+    return {"p1_found": p1_found, "p1_collapsed": p1_collapsed, "p2_found": p2_found, "p2_forms": p2_forms, "p3_found": p3_found, "p3_contents": p3_contents, "p4_found": p4_found, "p4_restored": p4_restored, "p6_ids": p6_ids, "p7_packed": p7_packed, "p8_found": p8_found, "p8_levels": p8_levels}
 
 
 def oracle_sql() -> dict[str, str]:
