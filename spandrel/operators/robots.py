@@ -117,17 +117,29 @@ def effective(rules: DataFrame, agent: str = AGENT) -> DataFrame:
     return grouped.groupBy("domain").agg(F.max_by("rules", F.col("agent") != "*").alias("rules"))
 
 
+def verdict(rules: Column, path: Column) -> Column:
+    """The verdict on a path of an array of rules (rule_idx, pattern, is_allow); allowed where it is null or empty."""
+    hits = F.filter(rules, lambda r: matched(r["pattern"], path))
+    best = F.array_max(F.transform(hits, lambda r: F.struct(F.octet_length(r["pattern"]).alias("size"), r["rule_idx"].alias("rule_idx"), r["is_allow"].alias("is_allow"))))
+    return F.coalesce(best["is_allow"], F.lit(True))
+
+
+def literal(rules: list[Rule]) -> Column:
+    """A group of rules that the driver knows, for ``verdict``."""
+    if not rules:
+        return F.array().cast("array<struct<rule_idx:int,pattern:string,is_allow:boolean>>")
+    return F.array(*(F.struct(F.lit(i).alias("rule_idx"), F.lit(r.pattern).alias("pattern"), F.lit(r.is_allow).alias("is_allow")) for i, r in enumerate(rules)))
+
+
 def decide(urls: DataFrame, rules: DataFrame, agent: str = AGENT, url: str = "url") -> DataFrame:
     """``urls`` with ``allowed``: the verdict of the rules of the address's origin; without rules, allowed.
 
-    ``rules`` has SCHEMA and few rows a domain (a robots.txt); it is joined by the origin, as a broadcast only if Spark
-    finds it small. Nothing but the path is matched. A null address or one without an origin is allowed.
+    ``rules`` has SCHEMA and few rows a domain (a robots.txt); Spark broadcasts it only if it finds it small. Nothing but
+    the path is matched. A null address or one without an origin is allowed.
     """
-    path = path_of(F.col(url))
-    joined = urls.withColumn("_origin", origin_of(F.col(url))).join(effective(rules, agent).withColumnRenamed("domain", "_origin").withColumnRenamed("rules", "_rules"), "_origin", "left")
-    hits = F.filter("_rules", lambda r: matched(r["pattern"], path))
-    best = F.array_max(F.transform(hits, lambda r: F.struct(F.octet_length(r["pattern"]).alias("size"), r["rule_idx"].alias("rule_idx"), r["is_allow"].alias("is_allow"))))
-    return joined.withColumn("allowed", F.coalesce(best["is_allow"], F.lit(True))).drop("_origin", "_rules")
+    grouped = effective(rules, agent).select(F.col("domain").alias("_origin"), F.col("rules").alias("_rules"))
+    joined = urls.withColumn("_origin", origin_of(F.col(url))).join(grouped, "_origin", "left")
+    return joined.withColumn("allowed", verdict(F.col("_rules"), path_of(F.col(url)))).drop("_origin", "_rules")
 
 
 def literal_decision(path: Column, rules: list[Rule], strict: bool = False) -> Column:
