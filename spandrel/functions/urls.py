@@ -292,7 +292,7 @@ def host_of(url: Column) -> Column:
 
 def port_of(url: Column) -> Column:
     """The port, null where it is absent or the scheme's own."""
-    port = F.nullif(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*:([0-9]+)(?:[/?#]|$)", 1), F.lit("")).cast("int")
+    port = F.nullif(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*:([0-9]+)(?:[/?#]|\z)", 1), F.lit("")).cast("int")
     own = F.when(scheme_of(url) == "http", 80).when(scheme_of(url) == "https", 443)
     return F.when(~port.eqNullSafe(own), port)
 
@@ -308,11 +308,11 @@ def path_of(url: Column) -> Column:
 
 
 def last_segment_of(url: Column) -> Column:
-    return F.nullif(F.regexp_extract(path_of(url), r"([^/]+)/*$", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(path_of(url), r"([^/]+)/*\z", 1), F.lit(""))
 
 
 def ending_of(url: Column) -> Column:
-    return F.nullif(F.lower(F.regexp_extract(last_segment_of(url), r"\.([^.]*)$", 1)), F.lit(""))
+    return F.nullif(F.lower(F.regexp_extract(last_segment_of(url), r"\.([^.]*)\z", 1)), F.lit(""))
 
 
 def crawlable(url: Column) -> Column:

@@ -24,8 +24,10 @@ def extracted(fetches: DataFrame, base_url: str | None = None) -> DataFrame:
     What isn't HTML, a null body and an address that can't be parsed give empty extracts; a null content type counts as
     HTML. Links are external as seen from ``base_url``, or without it from the row's own address.
     """
-    kept = [c for c in fetches.columns if c not in StructType.fromDDL(EXTRACTED).names and c != "body"]
-    schema = StructType([*(fetches.schema[c] for c in kept), *StructType.fromDDL(EXTRACTED)])
+    made = StructType.fromDDL(EXTRACTED)
+    names = made.names
+    kept = [c for c in fetches.columns if c not in names and c != "body"]
+    schema = StructType([*(fetches.schema[c] for c in kept), *made])
     arrow = to_arrow_schema(schema)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -40,7 +42,7 @@ def extracted(fetches: DataFrame, base_url: str | None = None) -> DataFrame:
                     except BadUrl:
                         pass
                 out.append(page)
-            columns = [batch.column(c) for c in kept] + [pa.array([p[f.name] for p in out], arrow.field(f.name).type) for f in StructType.fromDDL(EXTRACTED)]
+            columns = [batch.column(c) for c in kept] + [pa.array([p[n] for p in out], arrow.field(n).type) for n in names]
             yield pa.RecordBatch.from_arrays([c.cast(arrow.field(i).type) if c.type != arrow.field(i).type else c for i, c in enumerate(columns)], schema=arrow)
 
     return fetches.select(*kept, "body").mapInArrow(work, schema)

@@ -91,7 +91,7 @@ def report_order(pages: DataFrame, issues: DataFrame, key: str = "page_key") ->
 def issue_order(issues: DataFrame, key: str = "page_key") -> DataFrame:
     """Issues with their ``position`` on their page: errors, warnings, infos, each in their order of finding."""
     severity = F.array_position(F.array(F.lit("Error"), F.lit("Warning"), F.lit("Info")), F.col("severity"))
-    return issues.withColumn("position", F.row_number().over(W.partitionBy(key).orderBy(severity, "issue_idx")))
+    return issues.withColumn("position", F.row_number().over(W.partitionBy(key).orderBy(severity, "issue_idx")).cast("bigint"))
 
 
 def clean_query(query: Column) -> Column:
