@@ -193,7 +193,8 @@ def _with_form(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def consistent(values: DataFrame) -> DataFrame:
-    """``values``, which has a text column ``value``, with its consistent form as ``form``."""
+    """``values``, which has a text column ``value``, with its consistent form as ``form`` (one that it has is replaced)."""
+    values = values.drop("form")
     schema = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in values.schema)
     return values.mapInArrow(_with_form, f"{schema}, form string")
 

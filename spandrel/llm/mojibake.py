@@ -3,7 +3,7 @@
 The garbled sequences of all letters and signs of REPERTOIRE are computed once for all pairs of encodings and put into
 one automaton. Only where it matches does anything happen: the run around a match is encoded back and decoded rightly,
 and replaced if that gives whole characters. Text that matches nothing stays as it is, also beside garbled text.
-Pairs whose garbled letters are letters too (PLAUSIBLE) need more than a match: the whole word must be implausible as
+Pairs whose garbled letters are letters too need more than a match: the whole word must be implausible as
 it stands and plausible when restored. Replacement characters and control characters of the 0x80 block mean that
 letters were lost or misread; they make a case also if nothing can be restored.
 """
@@ -37,12 +37,10 @@ POLISH_PAIRS = "ięc ięk ięd ięt ięż ięs ięć pię ęk ęś ęż ędz ęg
 
 _CONTROL = re.compile("[\x80-\x9f]")
 _HIGH = re.compile("[^\x00-\x7f]+")
-_WORD = re.compile(r"[^\W\d_]+")
 _CYRILLIC = re.compile("[Ѐ-џ]{2,}")
 _ALL_HIGH = re.compile("(?<![A-Za-z])[À-ÿ¨¸†-›ŒœŠšŸŽžƒˆ˜\x80-\x9f]{3,}(?![A-Za-z])")
 _INVERTED = re.compile("(?<![Ѐ-џ])[а-яё][А-ЯЁ]{2,}")
 _KANA = re.compile("[぀-ヿ]")
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def _bytes(text: str, codec: str) -> bytes | None:
@@ -351,14 +349,19 @@ def _flagged(batches: Iterator[pa.RecordBatch], keep_all: bool) -> Iterator[pa.R
 def repaired(values: DataFrame) -> DataFrame:
     """``values``, which has a text column ``value``, with ``garbled`` (boolean) and ``restored`` (text).
 
-    No shuffle. A value that isn't garbled is restored to itself, null to null.
+    No shuffle. A value that isn't garbled is restored to itself, null to null. Columns of these names are replaced.
     """
+    values = values.drop("garbled", "restored")
     schema = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in values.schema)
     return values.mapInArrow(lambda b: _flagged(b, True), f"{schema}, garbled boolean, restored string")
 
 
 def garbled(values: DataFrame) -> DataFrame:
-    """The rows of ``values`` whose ``value`` is garbled, with ``restored``. Plain ASCII values don't reach Python."""
+    """The rows of ``values`` whose ``value`` is garbled, with ``restored``. Plain ASCII values don't reach Python.
+
+    Columns named garbled or restored are replaced.
+    """
+    values = values.drop("garbled", "restored")
     schema = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in values.schema)
     high = values.where(r"value rlike '[^\\x00-\\x7F]'")
     return high.mapInArrow(lambda b: _flagged(b, False), f"{schema}, garbled boolean, restored string").drop("garbled")

@@ -258,7 +258,7 @@ def _gather(documents: DataFrame, model: Model, spark: SparkSession) -> Response
     columns = ["n", "square", *(f"a{j}" for j in range(k))]
     sums = documents.mapInArrow(work, "bucket bigint, " + ", ".join(f"{c} double" for c in columns)).groupBy("bucket").agg(*(F.sum(c).alias(c) for c in columns)).toPandas()
     r = Responses(k)
-    at = sums["bucket"].to_numpy()
+    at = sums["bucket"].to_numpy().astype(np.int64)
     r.n[at], r.square[at] = sums["n"].to_numpy(), sums["square"].to_numpy()
     for j in range(k):
         r.above[j][at] = sums[f"a{j}"].to_numpy()
