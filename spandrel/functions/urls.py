@@ -15,6 +15,8 @@ DEFAULT_PORTS = {"http": 80, "https": 443, "ws": 80, "wss": 443, "ftp": 21, "fil
 NON_PAGE_ENDINGS = "7z aac avi avif bin bmp css csv doc docx eot flac gif gz ico jpeg jpg js json m4a m4v mid midi mjs mov mp3 mp4 mpeg mpg ogg ogv otf pdf png ppt pptx rar svg swf tar tgz ttf txt wav webm webp woff woff2 xls xlsx xml zip".split()
 CRAWL_SCHEMES = ("http", "https")
 _SCHEME = re.compile(r"([A-Za-z][A-Za-z0-9+.-]*):")
+#: Addresses that are serialised as they stand.
+_PLAIN = re.compile(r"(https?)://((?:[a-z0-9_-]+\.)*[a-z_-][a-z0-9_-]*)(/[A-Za-z0-9_~!$&'()*+,;=:@/-]*(?:\.[A-Za-z0-9_~-][A-Za-z0-9_~!$&()*+,;=:@/-]*)*)(?:\?([A-Za-z0-9_.~!$&()*+,;=:@/?%-]*))?(?:#([A-Za-z0-9_.~!$&'()*+,;=:@/?%-]*))?")
 _FORBIDDEN_HOST = re.compile(r"[\x00-\x20#/:<>?@\[\\\]^|%\x7f]")
 _CONTROLS = "".join(map(chr, range(33)))
 # What is escaped besides controls and non-ASCII characters.
@@ -159,6 +161,8 @@ def _path(text: str, special: bool, before: list[str] | None = None) -> str:
 
 def parse(text: str, base: Url | None = None) -> Url:
     """The address that ``text`` is, by itself or relative to ``base``; BadUrl if it is none."""
+    if (m := _PLAIN.fullmatch(text)) and "/." not in m[3]:
+        return Url(m[1], m[2], None, m[3], m[4], m[5])
     text = text.strip(_CONTROLS).translate({9: None, 10: None, 13: None})
     text, mark, fragment = text.partition("#")
     end = {"fragment": _escape(fragment, "fragment") if mark else None}
