@@ -296,7 +296,7 @@ def host_of(url: Column) -> Column:
 
 def port_of(url: Column) -> Column:
     """The port, null where it is absent or the scheme's own."""
-    port = F.nullif(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*:([0-9]+)(?:[/?#]|\z)", 1), F.lit("")).cast("int")
+    port = F.nullif(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*:([0-9]+)(?:[/?#]|\z)", 1), F.lit("")).try_cast("int")
     own = F.when(scheme_of(url) == "http", 80).when(scheme_of(url) == "https", 443)
     return F.when(~port.eqNullSafe(own), port)
 

@@ -102,7 +102,7 @@ def found_within(v: Column, name: str, depth: int = 3) -> Column:
         has = F.coalesce(F.map_contains_key(_fields(v), name), F.lit(False))
         inner = F.filter(F.map_values(_fields(v)), lambda x: F.coalesce(F.map_contains_key(_fields(x), name), F.lit(False)) | F.coalesce(F.try_variant_get(x, "$", "string").rlike(rf'^\s*[{{"].*{name}'), F.lit(False)))
         text = F.try_variant_get(v, "$", "string")
-        v = F.when(has, v).when(_is_object(v), F.element_at(F.transform(F.slice(inner, 1, 1), lambda x: x), 1) if depth else v).otherwise(whole_json(text))
+        v = F.when(has, v).when(_is_object(v), F.get(inner, F.lit(0))).otherwise(whole_json(text))
     return F.when(F.coalesce(F.map_contains_key(_fields(v), name), F.lit(False)), v)
 
 

@@ -117,3 +117,7 @@ def test_columns_agree_with_the_parser(spark):
 def test_redirects_ignore_fragments(spark):
     df = spark.createDataFrame([("http://h/a#x", "http://h/a"), ("http://h/a", "http://h/b"), ("http://h/a", None)], "u string, f string")
     assert [r[0] for r in df.select(urls.redirected(F.col("u"), F.col("f"))).collect()] == [None, "http://h/b", None]
+
+
+def test_a_port_out_of_range_is_no_error(spark):
+    assert spark.createDataFrame([("http://h.com:99999999999/",)], "u string").select(urls.port_of(F.col("u"))).first()[0] is None
