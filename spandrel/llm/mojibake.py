@@ -40,6 +40,8 @@ _HIGH = re.compile("[^\x00-\x7f]+")
 _CYRILLIC = re.compile("[Ѐ-џ]{2,}")
 _ALL_HIGH = re.compile("(?<![A-Za-z])[À-ÿ¨¸†-›ŒœŠšŸŽžƒˆ˜\x80-\x9f]{3,}(?![A-Za-z])")
 _INVERTED = re.compile("(?<![Ѐ-џ])[а-яё][А-ЯЁ]{2,}")
+#: What Russian never has: й after a consonant, a sign after a vowel or at the start, a hard sign but before е, ё, ю, я.
+_NEVER = re.compile("[бвгджзклмнпрстфхцчшщ]й|[аеёиоуыэюя][ьъ]|(?<![Ѐ-џ])[ьъы]|ъ(?![еёюя])")
 _KANA = re.compile("[぀-ヿ]")
 
 
@@ -131,15 +133,15 @@ def restore(text: str | None) -> tuple[bool, str | None]:
     lost = "�" in text or _CONTROL.search(text) is not None
     hit, now = False, _LONE.sub(lambda m: _LONE_SIGNS[m[0]], text)
     hit = now != text
-    for _ in range(4):  # garbled more than once
-        again, now = _pass(now)
+    for turn in range(4):  # garbled more than once, as UTF-8
+        again, now = _pass(now, turn == 0)
         if not again:
             break
         hit = True
     return hit or lost, now
 
 
-def _pass(text: str) -> tuple[bool, str]:
+def _pass(text: str, letters_too: bool) -> tuple[bool, str]:
     runs = [m.span() for m in _HIGH.finditer(text)]
     find, hits = automaton().iter, []
     for a, b in runs:  # every sequence has a character of a run, and at most one beside it
@@ -156,12 +158,10 @@ def _pass(text: str) -> tuple[bool, str]:
             own.setdefault(at, []).append(h)
     for k, of in own.items():
         edits += _utf8_run(text, *runs[k], of)
-    if not edits:
+    if not edits and letters_too:
         for group, work in ((JAPANESE_AS_LATIN, _japanese), (CYRILLIC_AS_LATIN, _cyrillic_as_latin), (CYRILLIC_AS_CYRILLIC, _cyrillic_as_cyrillic), (POLISH_AS_LATIN, _polish)):
-            for pair in group:
-                if pair in pairs and (edits := work(text, pair, hits)):
-                    break
-            if edits:
+            # Of several pairs the one that restores the most.
+            if edits := max((work(text, pair, hits) for pair in group if pair in pairs), key=lambda e: sum(b - a for a, b, _ in e), default=[]):
                 break
     if not edits:
         return False, text
@@ -217,6 +217,8 @@ def _fits(text: str, start: int, end: int, right: str, codec: str) -> bool:
         if len(right) > 2 or _KANA.search(right):
             return True
         return len(right) == 2 and not _KANA.search(text[start:end]) or bool(re.search("[A-Za-z]", near)) or not _KANA.search(rest) and not re.search("[一-鿿]{2}", rest) and bool(re.search("[A-Za-z]{2}", rest))
+    if text[end - 1] in _CLOSING and _quoted(text[: end - 1], text[end - 1]):
+        return False  # the sign closes a quotation
     if len(right) == 1 and right.islower():
         # Capitals all around and a small letter in the middle: the text is as it was meant.
         before = re.search(r"[^\W\d_]{2,}$", text[:start])
@@ -225,6 +227,15 @@ def _fits(text: str, start: int, end: int, right: str, codec: str) -> bool:
     return True
 
 
+_CLOSING = {"”": "“„", "’": "‘‚", "»": "«", "«": "»", "“": "„", "›": "‹"}
+
+
+def _quoted(before: str, closing: str) -> bool:
+    """Whether a quotation that ``closing`` ends was opened at the start of a word and not closed yet."""
+    opened = [m.end() for m in re.finditer(rf"(?:^|(?<=[\s(\[])) ?[{_CLOSING[closing]}]", before)]
+    return bool(opened) and closing not in before[opened[-1] :]
+
+
 def _japanese(text: str, pair: tuple[str, str], hits: list) -> list[tuple[int, int, str]]:
     edits = []
     for m in re.finditer(r"[^\x00-\x7f](?:[^\s]*[^\x00-\x7f])?[\x40-\x7e]?", text):
@@ -251,8 +262,8 @@ def _cyrillic_as_latin(text: str, pair: tuple[str, str], hits: list) -> list[tup
         right = data.decode(pair[0], "replace") if data else ""
         if re.fullmatch("[Ѐ-џ№–—’«» ]+", right):
             edits.append((m.start(), m.end(), right))
-            sure |= bool(_ALL_HIGH.search(m[0])) and bool(re.search("[а-яё]{2}|[А-Я]{3}", right)) and _score(right) > 0
-    return edits if sure else []
+            sure |= bool(_ALL_HIGH.search(m[0])) and bool(re.search("[а-яё]{2}|[А-Я]{3}", right)) and _score(right) >= 0.25
+    return edits if sure and sum(len(re.findall("[Ѐ-џ]", new)) for _, _, new in edits) >= 4 else []
 
 
 def _score(text: str) -> float:
@@ -288,6 +299,8 @@ def _cyrillic_as_cyrillic(text: str, pair: tuple[str, str], hits: list) -> list[
     if _INVERTED.search(b):
         return []
     letters = len(re.findall("[Ѐ-џ]", b))
+    if letters >= 4 and _NEVER.search(a.lower()) and not _NEVER.search(b.lower()) and _score(b) >= 0.3:
+        return edits
     if inverted and _score(b) >= 0.2 or letters >= 4 and _score(a) < 0.25 and _score(b) >= max(0.34, 1.5 * _score(a)):
         return edits
     return []

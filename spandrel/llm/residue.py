@@ -113,7 +113,8 @@ HINTS = r"javascript|cookies?\b|browser|navigat\w*r|\berror\b|fehler\b|erreur|о
 #: What speaks about a thing in place of being one.
 ABOUT = r"[:?]|\b(?:explained|case study|history|why|how|what|beginners|guide|poem|teach\w*|about|rights|story|tips|lessons|learn\w*|understanding|introduction|other places|again|in print|designers)\b"
 MIN_HOSTS = 5
-SITE = r"(?:\s*[|–—:·-]\s*[^|–—:·]{1,40})"
+#: A site's name after a separator: a host, or up to three words.
+SITE = r"(?:\s*(?:[|–—·]|\s-\s)\s*[\w.-]+(?: [\w.-]+){0,2})"
 
 
 def _alike(pattern: str) -> str:
@@ -134,7 +135,7 @@ def contained() -> str:
 def whole(patterns: tuple[str, ...]) -> str:
     """A pattern of ``patterns`` as all of a value, but for a site's name after or before it."""
     body = "|".join(_alike(x) for x in patterns)
-    return rf"^[\s\"'“”«»*>.…-]*(?:[a-z][\w. ]{{1,30}} [|–—-] )?(?:{body})[.!…。]*{SITE}?[\s\"'“”«»*<.]*$"
+    return rf"^[\s\"'“”«»*>.…-]*(?:[\w.-]+(?: [\w.-]+){{0,2}} [|–—-] )?(?:{body})[.!…。]*{SITE}?[\s\"'“”«»*<.]*$"
 
 
 def speaks(form: Column) -> Column:
