@@ -18,8 +18,9 @@ from spandrel.llm.glyphs import consistent, same_look
 
 # Names that templates give to their fields.
 FIELD_NAMES = "title page headline heading h1 h2 name sitename site company category product item post seo meta description desc content intro label keyword keywords brand author tag date price city location url slug text summary subtitle excerpt".split()
-# The words of the customary filler text.
-LOREM = "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum".split()
+# The customary filler text.
+FILLER_TEXT = "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua ut enim ad minim veniam quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat duis aute irure dolor in reprehenderit in voluptate velit esse cillum dolore eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt in culpa qui officia deserunt mollit anim id est laborum".split()
+LOREM = [w for w in dict.fromkeys(FILLER_TEXT) if w != "in"]
 # Placeholder syntax of template languages; {id} stands for a field's name.
 PLACEHOLDERS = (
     r"\{\{\{?[^{}]{1,80}\}?\}\}",
@@ -122,9 +123,14 @@ def _alike(pattern: str) -> str:
     return pattern if pattern.isascii() else same_look(pa.array([pattern]))[0].as_py()
 
 
+def _runs() -> list[str]:
+    """All three words in a row of the filler text, also where it is shortened or starts again."""
+    short = [w for i, w in enumerate(FILLER_TEXT[: FILLER_TEXT.index("duis")]) if not 19 <= i < 24 and not (w == "ut" and i > 24)]
+    return sorted({" ".join((text * 2)[i : i + 3]) for text in (FILLER_TEXT, short) for i in range(len(text))})
+
+
 def _lorem() -> str:
-    rare = [w for w in LOREM if len(w) > 3]
-    return r"\blorem ipsum (?:dolor|sit|amet|consectetur)|^\W*lorem ipsum\W*$|(?:\b(?:" + "|".join(LOREM) + r")\b[ ,.…]*){2,}\b(?:" + "|".join(rare) + r")\b(?:[ ,.…]*\b(?:" + "|".join(LOREM) + r")\b){1,}|(?:\b(?:" + "|".join(rare) + r")\b[ ,.…]*){3,}"
+    return r"\b(?:" + "|".join(x.replace(" ", r"[ ,.…]+") for x in _runs()) + r")\b|^\W*lorem ipsum\W*$"
 
 
 def contained() -> str:
