@@ -5,7 +5,7 @@ assigns the sizes in descending order, each time to the containers of lowest cos
 of what they hold) that have room. Where that takes more containers than best fit, sizes from a limit on go where they
 leave the least room, and only the smaller ones by cost; the limit is the highest that needs no more. Containers that hold the same sizes are one class with a count, so the plan's size
 goes with the number of distinct sizes. It is carried out by ranking the documents of a size and joining ranks with the
-plan's intervals; ranks are counted by salt, so that a size that a third of all documents have is ranked in parts.
+plan's intervals. A size that more than RANKED_AT_ONCE documents have is ranked in parts, by salt.
 """
 
 from __future__ import annotations
@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from spandrel.llm.tokens import TOKENIZERS, measured
 from spandrel.tables import settle
 
-#: Parts in which the documents of one size are ranked.
-SALTS = 64
+#: The most documents of one size that are ranked in one task, about.
+RANKED_AT_ONCE = 1_000_000
 #: Ranks of one size that are joined with the plan at once.
 BLOCK = 4096
 #: Weight of the quadratic part of the cost: attention over n tokens costs n + n * n / ATTENTION.
@@ -167,7 +167,22 @@ def planned(sizes: dict[int, int], capacity: int) -> Plan:
     return balanced(sizes, capacity, containers, 0)
 
 
-def packed(documents: DataFrame, specs: Iterable[tuple[str, str, int]], home: str = TOKENIZERS) -> DataFrame:
+def _ranked(pieces: DataFrame, hot: list[tuple[str, int, int]]) -> DataFrame:
+    """``pieces`` with their ``rank`` among those of their size, from 0; ``hot`` are (pack, size, parts) to split."""
+    size = ["pack_name", "n_tokens"]
+    if not hot:
+        return pieces.withColumn("rank", F.row_number().over(W.partitionBy(*size).orderBy("doc_id", "piece")).cast("bigint") - 1)
+    parts = pieces.sparkSession.createDataFrame(hot, "pack_name string, n_tokens bigint, parts bigint")
+    salted = pieces.join(parts, size, "left").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.coalesce("parts", F.lit(1))))
+    within = F.row_number().over(W.partitionBy(*size, "salt").orderBy("doc_id", "piece")).cast("bigint") - 1
+    counts = salted.where("parts is not null").groupBy(*size, "salt").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy(*size).orderBy("salt").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select(*size, "salt", before.alias("before"))
+    out = salted.withColumn("within", within).join(starts, [*size, "salt"], "left")
+    return out.withColumn("rank", F.col("within") + F.coalesce("before", F.lit(0)))
+
+
+def packed(documents: DataFrame, specs: Iterable[tuple[str, str, int]], home: str = TOKENIZERS, ranked_at_once: int = RANKED_AT_ONCE) -> DataFrame:
     """(pack_name, doc_id, piece, start, n_tokens, container, place) of every piece of every document, for each spec.
 
     A spec is (pack_name, tokenizer, capacity). A document larger than the capacity is split into full pieces and a rest;
@@ -184,28 +199,15 @@ def packed(documents: DataFrame, specs: Iterable[tuple[str, str, int]], home: st
         sizes.select("doc_id", F.inline(options))
         .select("pack_name", "doc_id", "tokens", "capacity", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(last / F.col("capacity")))).alias("piece"))
         .select("pack_name", "doc_id", "piece", (F.col("piece") * F.col("capacity")).alias("start"), F.expr("least(capacity, tokens - piece * capacity)").alias("n_tokens"))
-        .withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)))
     )
-    # At most SALTS counts for each size up to the capacity.
-    counts = pieces.groupBy("pack_name", "n_tokens", "salt").count().collect()
-    by_pack: dict[str, dict[int, dict[int, int]]] = {p: {} for p, _, _ in specs}
-    for r in counts:
-        by_pack[r.pack_name].setdefault(r.n_tokens, {})[r.salt] = r["count"]
-    plan_rows, salt_rows = [], []
-    for pack, _, capacity in specs:
-        histogram = {size: sum(of.values()) for size, of in by_pack[pack].items()}
-        for row in planned(histogram, capacity).rows if histogram else []:
-            plan_rows.append((pack, *row))
-        for size, of in by_pack[pack].items():
-            before = 0
-            for salt in sorted(of):
-                salt_rows.append((pack, size, salt, before))
-                before += of[salt]
-    offsets = spark.createDataFrame(salt_rows, "pack_name string, n_tokens bigint, salt bigint, before bigint")
-    plan = spark.createDataFrame(plan_rows, "pack_name string, n_tokens bigint, low bigint, high bigint, first bigint, per bigint, items bigint")
+    # One count for each size up to the capacity.
+    by_pack: dict[str, dict[int, int]] = {p: {} for p, _, _ in specs}
+    for r in pieces.groupBy("pack_name", "n_tokens").count().collect():
+        by_pack[r.pack_name][r.n_tokens] = r["count"]
+    rows = [(pack, *row) for pack, _, capacity in specs if by_pack[pack] for row in planned(by_pack[pack], capacity).rows]
+    plan = spark.createDataFrame(rows, "pack_name string, n_tokens bigint, low bigint, high bigint, first bigint, per bigint, items bigint")
     blocks = plan.withColumn("block", F.explode(F.sequence(F.floor(F.col("low") / BLOCK), F.floor((F.col("high") - 1) / BLOCK))))
-    within = F.row_number().over(W.partitionBy("pack_name", "n_tokens", "salt").orderBy("doc_id", "piece")) - 1
-    ranked = pieces.withColumn("within", within).join(offsets, ["pack_name", "n_tokens", "salt"]).withColumn("rank", F.col("within") + F.col("before"))
+    ranked = _ranked(pieces, [(p, size, -(-n // ranked_at_once)) for p, sizes_of in by_pack.items() for size, n in sizes_of.items() if n > ranked_at_once])
     placed = ranked.withColumn("block", F.floor(F.col("rank") / BLOCK)).join(blocks, ["pack_name", "n_tokens", "block"]).where("rank >= low and rank < high")
     return placed.select("pack_name", "doc_id", "piece", "start", "n_tokens", F.expr("first + (rank - low) div per").alias("container"), F.expr("items + (rank - low) % per").alias("place"))
 

@@ -56,12 +56,19 @@ def test_many_equal_sizes_make_a_short_plan():
     assert plan.containers == 10**9 and len(plan.rows) < 20
 
 
+def _shape(rows):
+    """What doesn't depend on the order in which documents of one size are ranked."""
+    assert len({(r.pack_name, r.container, r.place) for r in rows}) == len(rows)
+    return Counter((r.pack_name, r.container, r.place, r.n_tokens) for r in rows)
+
+
 @pytest.mark.skipif(not os.path.exists(tokens.TOKENIZERS), reason="no vocabularies")
 def test_frames(spark):
     texts = [None, "", "a", "a b c", "a b c d e f g", "a b c d e f g h i j k l m n o p q r s t u v w x y z", *["a b"] * 50]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").selectExpr("*", "1 as salt", "2 as piece", "3 as tokens")
     specs = [("small", "byte_bpe_50k", 8), ("large", "word_bpe_49k", 100)]
     got = packing.packed(df, specs).collect()
+    assert sorted(map(str, got)) != [] and _shape(packing.packed(df, specs, ranked_at_once=7).collect()) == _shape(got)
     sizes = {r.doc_id: r.byte_bpe_50k for r in tokens.measured(df, ("byte_bpe_50k",)).collect()}
     for name, capacity in (("small", 8), ("large", 100)):
         own = [r for r in got if r.pack_name == name]
