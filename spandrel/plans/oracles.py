@@ -144,8 +144,31 @@ def _clean(x: str) -> str:
 EXTRACTED = "(content_type IS NULL OR regexp_matches(lower(content_type), 'text/html|application/xhtml'))"
 
 
+#: Child records of reports: the report within its wrappers, its pages, their lists, their members.
+CHILDREN = """
+    WITH valid AS (SELECT report_id, payload AS t FROM reports WHERE json_valid(payload)),
+    opened AS (SELECT report_id, CASE json_type(t) WHEN 'VARCHAR' THEN json_extract_string(t, '$') ELSE t END AS t FROM valid),
+    objects AS (SELECT report_id, t FROM opened WHERE json_valid(t) AND json_type(t) = 'OBJECT'),
+    unwrapped AS (
+        SELECT report_id, CASE WHEN json_exists(t, '$.pages') THEN t ELSE (
+            SELECT any_value(CASE json_type(e.value) WHEN 'VARCHAR' THEN json_extract_string(e.value, '$') ELSE e.value END)
+            FROM json_each(t) e WHERE json_type(e.value) IN ('OBJECT', 'VARCHAR') AND contains(CAST(e.value AS VARCHAR), 'pages')) END AS t
+        FROM objects),
+    found AS (SELECT report_id, json_extract(t, '$.pages') AS pages FROM unwrapped WHERE json_valid(t) AND json_exists(t, '$.pages')),
+    pages AS (SELECT f.report_id, e.key AS k, e.value AS page FROM found f, json_each(f.pages) e WHERE json_type(f.pages) IN ('ARRAY', 'OBJECT') AND json_type(e.value) = 'OBJECT'),
+    keyed AS (SELECT report_id, coalesce(json_extract_string(page, '$.url'), CAST(k AS VARCHAR)) AS page_key, page FROM pages),
+    lists AS (SELECT report_id, page_key, c.child, c.field, json_extract(page, '$.' || c.child) AS l FROM keyed, (VALUES ('links', 'url'), ('images', 'src'), ('issues', 'issue_type')) c(child, field)),
+    members AS (
+        SELECT report_id, page_key, child, field, 0 AS idx, l AS e FROM lists WHERE json_type(l) = 'OBJECT'
+        UNION ALL SELECT report_id, page_key, child, field, CAST(e.key AS INTEGER), e.value FROM lists, json_each(l) e WHERE json_type(l) = 'ARRAY')
+    SELECT report_id, page_key, child, idx, json_extract_string(e, '$.' || field) AS item FROM members WHERE json_type(e) = 'OBJECT'
+    UNION ALL SELECT report_id, page_key, 'open_graph', 0, t.tag FROM keyed, (VALUES ('og_title'), ('og_description'), ('og_image'), ('og_url'), ('og_type'), ('og_site_name'), ('og_locale')) t(tag)
+        WHERE json_extract_string(page, '$.open_graph.' || t.tag) IS NOT NULL"""
+
+
 def oracle_sql() -> dict[str, str]:
     out = {
+        "p5_found": CHILDREN,
         "page_rule_issues": f"WITH {AUDIT} SELECT page_id, rule_idx, severity, issue_type, message FROM page_issues",
         "title_issues": _types("MissingTitle", "TitleTooShort", "TitleTooLong"),
         "description_issues": _types("MissingMetaDescription", "MetaDescriptionTooShort", "MetaDescriptionTooLong"),
