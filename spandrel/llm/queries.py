@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spandrel.llm import addresses, glyphs, mojibake, packing, reading, residue, tokens
+from spandrel.llm.oracles import oracle_sql  # noqa: F401
 from spandrel.tables import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -97,7 +98,3 @@ def p8_found(spark: SparkSession, root: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {"p1_found": p1_found, "p1_collapsed": p1_collapsed, "p2_found": p2_found, "p2_forms": p2_forms, "p3_found": p3_found, "p3_contents": p3_contents, "p4_found": p4_found, "p4_restored": p4_restored, "p6_ids": p6_ids, "p7_packed": p7_packed, "p8_found": p8_found, "p8_levels": p8_levels}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}
