@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spandrel.llm.batches import slices
+
 # Letters of other scripts beside the Latin letters they look like.
 LOOKALIKES = (
     # Cyrillic
@@ -188,8 +190,9 @@ def _texts(cps: np.ndarray, row: np.ndarray, like: pa.Array) -> pa.Array:
 
 def _with_form(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        form = same_look(batch.column("value")).cast(pa.string())
-        yield pa.RecordBatch.from_arrays([*batch.columns, form], [*batch.schema.names, "form"])
+        for part in slices(batch, "value"):
+            form = same_look(part.column("value")).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([*part.columns, form], [*part.schema.names, "form"])
 
 
 def consistent(values: DataFrame) -> DataFrame:

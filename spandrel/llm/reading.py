@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spandrel.llm.batches import slices
+
 BUCKETS = 1 << 18
 BANDS = ("basic", "plain", "skilled", "scholarly")
 #: Least number of parts between white space, share of known words and share of function words of English prose.
@@ -219,17 +221,13 @@ def _worker_words() -> Words:
     return _words[0]
 
 
-ROWS = 1000
-
-
 def _score(documents: DataFrame, model: Model, spark: SparkSession, names: tuple[str, ...]) -> DataFrame:
     shared = spark.sparkContext.broadcast(model)  # BUCKETS numbers each
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, own = shared.value, _worker_words()
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                part = batch.slice(at, ROWS)
+            for part in slices(batch, 1):
                 words, ends, count = own.of(part.column(1).to_pylist())
                 level = m.levels(words, ends)
                 band = pa.array([names[i] for i in np.searchsorted(m.cuts, level)], pa.string())
@@ -247,8 +245,8 @@ def _gather(documents: DataFrame, model: Model, spark: SparkSession) -> Response
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, own, r = shared.value, _worker_words(), Responses(k)
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                words, ends, count = own.of(batch.slice(at, ROWS).column(1).to_pylist())
+            for part in slices(batch, 1):
+                words, ends, count = own.of(part.column(1).to_pylist())
                 prose = m.prose(words, ends, count)
                 size = np.diff(ends, prepend=0)
                 r.add(words[np.repeat(prose, size)], np.cumsum(size[prose]), m.above(m.levels(words, ends)[prose]))

@@ -20,6 +20,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from spandrel.llm.batches import slices
+
 TOKENIZERS = os.environ.get("SPANDREL_TOKENIZERS", "/opt/tokenizers")
 # Fixed value: the pattern that splits text before byte-level merges.
 WORDS = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
@@ -221,10 +223,6 @@ def units(home: str, names: tuple[str, ...]) -> Units:
     return Units(home, names)
 
 
-#: Rows handled at once, to bound memory where texts are long.
-ROWS = 1000
-
-
 def encoded(documents: DataFrame, home: str = TOKENIZERS) -> DataFrame:
     """(doc_id, ids) of every document: the ids of its whole text by byte_bpe_50k, without special tokens.
 
@@ -235,8 +233,7 @@ def encoded(documents: DataFrame, home: str = TOKENIZERS) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = units(home, ())
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                part = batch.slice(at, ROWS)
+            for part in slices(batch, 1):
                 yield pa.RecordBatch.from_arrays([part.column(0), own.encode(part.column(1).to_pylist())], ["doc_id", "ids"])
 
     return documents.select("doc_id", "text").mapInArrow(work, "doc_id bigint, ids array<int>")
@@ -251,8 +248,7 @@ def measured(documents: DataFrame, names: tuple[str, ...], home: str = TOKENIZER
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = units(home, names)
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                part = batch.slice(at, ROWS)
+            for part in slices(batch, 1):
                 sizes = own.measure(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(sizes[n]) for n in names)], ["doc_id", *names])
 
