@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spandrel.llm.glyphs import consistent, same_look
+from spandrel.tables import settle
 
 # Names that templates give to their fields.
 FIELD_NAMES = "title page headline heading h1 h2 name sitename site company category product item post seo meta description desc content intro label keyword keywords brand author tag date price city location url slug text summary subtitle excerpt".split()
@@ -130,12 +131,19 @@ def _runs() -> list[str]:
 
 
 def _lorem() -> str:
-    return r"\b(?:" + "|".join(x.replace(" ", r"[ ,.…]+") for x in _runs()) + r")\b|^\W*lorem ipsum\W*$"
+    """The runs of filler words as a pattern, those with the same first letter together."""
+    by_letter: dict[str, list[str]] = {}
+    for run in _runs():
+        by_letter.setdefault(run[0], []).append(run[1:].replace(" ", r"[ ,.…]+"))
+    return r"\b(?:" + "|".join(f"{letter}(?:{'|'.join(rest)})" for letter, rest in by_letter.items()) + r")\b|^\W*lorem ipsum\W*$"
 
 
-def contained() -> str:
-    """What makes a value a case wherever it stands in it."""
-    return "|".join(x.replace("{id}", "|".join(FIELD_NAMES)) for x in PLACEHOLDERS) + "|" + _lorem()
+#: A sign that every placeholder has.
+MARKS = r"[\[{<%@_]"
+
+
+def placeholders() -> str:
+    return "|".join(x.replace("{id}", "|".join(FIELD_NAMES)) for x in PLACEHOLDERS)
 
 
 def whole(patterns: tuple[str, ...]) -> str:
@@ -146,7 +154,7 @@ def whole(patterns: tuple[str, ...]) -> str:
 
 def speaks(form: Column) -> Column:
     """Whether a value, of which this is the consistent form in small letters, shows by itself that it is no content."""
-    return form.rlike(contained()) | form.rlike(whole(FILLER)) | form.rlike(whole(MESSAGES))
+    return form.rlike(MARKS) & form.rlike(placeholders()) | form.rlike(_lorem()) | form.rlike(whole(FILLER)) | form.rlike(whole(MESSAGES))
 
 
 def _terms(text: Column) -> Column:
@@ -162,23 +170,23 @@ def stand_ins(values: DataFrame) -> DataFrame:
     """
     small = values.select("page_id", "site", "url", "field", F.lower("value").alias("value"), "others").where("value is not null")
     forms = consistent(small).where("form <> ''")
-    judged = forms.withColumn("shown", speaks(F.col("form")))
     low = F.col("form")
-    shown = judged.where("shown").select("page_id", "field", "form")
-    # Words alike on several hosts, on pages that speak of something else.
-    key = F.regexp_replace(low, r"\d+", "#")
-    hinted = judged.where(~F.col("shown") & low.rlike(_alike(HINTS)) & ~low.rlike(ABOUT) & (F.length("form") <= 160))
-    terms = F.array_distinct(_terms(F.col("form")))
+    hinted = low.rlike(_alike(HINTS)) & ~low.rlike(ABOUT) & (F.length("form") <= 160)
+    terms = F.array_distinct(_terms(low))
     page = F.concat(_terms(F.coalesce(F.col("others"), F.lit(""))), _terms(F.coalesce(F.regexp_extract("url", r"^[^:]*://[^/]*/(.*)", 1), F.lit(""))))
-    weighed = hinted.select("page_id", "site", "field", "form", key.alias("key"), (F.size(F.array_intersect(terms, page)) * 2 <= F.size(terms)).alias("mismatched"))
+    # Few rows are left: they are written down, so that texts are looked at once.
+    judged = forms.withColumn("verdict", F.when(speaks(low), 2).when(hinted, 1).otherwise(0)).where("verdict > 0")
+    left = settle(judged.select("page_id", "site", "field", "form", "verdict", F.when(F.col("verdict") == 1, F.size(F.array_intersect(terms, page)) * 2 <= F.size(terms)).alias("mismatched")))
+    # Words alike on several hosts, on pages that speak of something else.
+    weighed = left.where("verdict = 1").withColumn("key", F.regexp_replace(low, r"\d+", "#"))
     by_host = weighed.groupBy("key", "site").agg(F.count(F.lit(1)).alias("n"), F.count_if("mismatched").alias("m"))
     evidence = by_host.groupBy("key").agg(F.count("site").alias("hosts"), F.sum("n").alias("n"), F.sum("m").alias("m")).where((F.col("hosts") >= MIN_HOSTS) & (F.col("m") * 5 >= F.col("n") * 4)).select("key")
-    backed = weighed.where("mismatched").join(evidence, "key", "left_semi").select("page_id", "field", "form")
-    return shown.unionByName(backed)
+    backed = weighed.where("mismatched").join(evidence, "key", "left_semi")
+    return left.where("verdict = 2").select("page_id", "field", "form").unionByName(backed.select("page_id", "field", "form"))
 
 
 def judge(text: str | None) -> bool:
     """The detectors' verdict on one value, for tests and small uses; None and blank are no case."""
     if text is None or not (low := same_look(pa.array([text.lower()]))[0].as_py()):
         return False
-    return any(re.search(x, low) for x in (contained(), whole(FILLER), whole(MESSAGES)))
+    return any(re.search(x, low) for x in (placeholders(), _lorem(), whole(FILLER), whole(MESSAGES)))
