@@ -81,7 +81,17 @@ def run(options: RuntimeOptions, mode: LaunchMode) -> None:
     spark = SparkSession.builder.appName("spandrel").config("spark.speculation", "false").getOrCreate()
     listen = (lambda kind, value: say(f"{kind}: {value}")) if options.verbose else None
     done = audit_site(spark, options, HttpFetcher(threads=options.concurrency, rate=options.rate_limit), HttpProber(threads=max(1, options.concurrency)), listen)
-    if mode is LaunchMode.JSON:
+    if endpoint := os.environ.get("SPANDREL_RELEASES"):
+        from spandrel import __version__
+        from spandrel.sources import releases
+
+        if notice := releases.check(__version__, endpoint, timeout=0.5):
+            print(releases.message(notice), file=sys.stderr)
+    if mode is LaunchMode.TUI:
+        from spandrel.plans import dashboard
+
+        dashboard.run(done.pages, sys.stdin, sys.stdout)
+    elif mode is LaunchMode.JSON:
         print(report.pretty(done.pages, options.url))
     else:
         report.print_text(done.pages, options.url)

@@ -148,3 +148,37 @@ def test_streaming_audit(spark, tmp_path):
     q.awaitTermination(120)
     got = {r.issue_type: r.n for r in spark.table("counts").collect()}
     assert got["MissingTitle"] == 1 and got["ThinContent"] == 1 and sum(got.values()) == 8
+
+
+def test_dashboard(spark):
+    from spandrel.plans import dashboard
+
+    issue = lambda s: {"severity": s, "issue_type": "x", "message": f"{s} said"}
+    pages = frame(spark, *(page(f"http://h/{i:02}", issues=[issue("Error")] if i == 3 else []) for i in range(12)))
+    out = io.StringIO()
+    dashboard.run(pages, io.StringIO("n\n0\nf\n0\n/nothing\nq\n"), out)
+    screens = out.getvalue().split(dashboard.HELP)
+    assert "12 pages | All | by Severity" in screens[0] and screens[0].index("http://h/03") < screens[0].index("http://h/00")
+    assert "http://h/11" in screens[1] and "1 pages | Error" in screens[3] and "[ERROR] Error said" in screens[4] and "0 pages" in screens[5]
+    assert dashboard.step(dashboard.View(offset=10), "n", 12).offset == 11 and dashboard.step(dashboard.View(offset=10), "g", 12).offset == 0
+    assert dashboard.step(dashboard.View(), "?", 5) == dashboard.View() and dashboard.step(dashboard.View(), "s", 5).sort == "Issues"
+
+
+def test_end_to_end_on_the_command_line(spark, tmp_path, monkeypatch, capsys):
+    import threading
+    from http.server import ThreadingHTTPServer
+
+    from tests.test_crawl import Handler
+
+    monkeypatch.chdir(tmp_path)
+    monkeypatch.setenv("XDG_CONFIG_HOME", str(tmp_path))
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}/"
+    assert cli.main([url, "-o", "json", "-d", "1", "-s", "saved.json"]) == 0
+    said = capsys.readouterr()
+    assert json.loads(said.out)["summary"]["total_pages"] == 4 and "Report saved to saved.json" in said.err
+    assert json.loads((tmp_path / "saved.json").read_text())["start_url"] == url
+    assert cli.main([url, "--cli", "-d", "0"]) == 0
+    assert "Total Pages Crawled: 1" in capsys.readouterr().out
+    server.shutdown()
