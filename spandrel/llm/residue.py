@@ -55,6 +55,7 @@ FILLER = (
     r"this is (?:a|the) (?:placeholder|sample|dummy|default) (?:title|text|description|page|heading|copy)\b.{0,60}",
     r"(?:meta |page |seo )?(?:title|description|heading) \(max\.? \d+ \w+\)",
     r"todo:? .{0,40}|tbd:? .{0,40}|fixme:? .{0,40}",
+    r"(?:default|sample|example|dummy) (?:title|headline|heading|description|text|page|content|summary) (?:for|of) .{0,60}",
     r"just another (?:\w+ )?(?:site|blog|website|page)(?: \w+)?",
     r"(?:titel|überschrift|beschreibung|text|inhalt)(?: bitte)? hier (?:eingeben|einfügen|einsetzen)",
     r"(?:titre|description|texte|contenu) à (?:compléter|remplir|définir|remplacer)",
@@ -76,6 +77,9 @@ MESSAGES = (
     rf"(?:http )?(?:error |status )?{_REASON}(?:[ :.,!|–—-]+(?:error |code )?[45]\d\d)?[.!]?",
     # nothing found
     r"(?:oops|ups|sorry|uh oh|hoppla)?[!., …]*(?:(?:that|this|the)(?: requested)? )?(?:page|url|file|site|content|document)(?: you(?: are|'re|’re)? (?:requested|looking for))?(?: (?:was|is|could|can|does))?(?: ?not|n?[’']t)(?: be)? (?:found|exist|available)(?: on this server)?[.!]?(?:[ .–—-]+(?:error )?[45]\d\d)?",
+    r"(?:sorry,? |oops,? |unfortunately,? )?we (?:could|can|did)(?: ?not|n?[’']t) (?:find|locate|load|open) (?:that|this|the|your|any)(?: requested)? (?:page|url|file|site|content)\b.{0,80}",
+    r"the (?:page|file|address|content|site) (?:that )?you (?:requested|are looking for|were looking for|tried to reach|asked for)\b.{0,160}",
+    r"you (?:are not|aren[’']t|do(?: ?not|n[’']t)) (?:allowed|authori[sz]ed|permitted|have (?:the )?permissions?|have access) (?:to )?(?:access|view|open|see|use)?\b.{0,100}",
     r"the requested (?:url|page|resource|file)\b.{0,60}(?:not|n[’']t|no longer)\b.{0,60}",
     r"(?:(?:die|diese) )?(?:angeforderte )?seite (?:wurde )?(?:leider )?(?:nicht|existiert nicht)(?: gefunden| verfügbar)?[.!]?|fehler [45]\d\d.{0,60}",
     r"(?:oups[ !,]*)?(?:la )?page(?: demandée)? (?:introuvable|non trouvée|n[’']existe pas|est introuvable)\b.{0,60}",
@@ -111,7 +115,7 @@ MESSAGES = (
     r"(?:under (?:construction|maintenance)|coming soon|site offline|index of /.{0,60}|it works!|welcome to nginx!?|account suspended)[.!]?",
 )
 #: Words that messages and stand-ins are made of; a value needs one to be judged by the hosts' evidence.
-HINTS = r"javascript|cookies?\b|browser|navigat\w*r|\berror\b|fehler\b|erreur|ошибка|błąd|not found|introuvable|nicht gefunden|encontrada|не найдена|見つかりません|denied|forbidden|unavailable|blocked|placeholder|goes here|hier e|\bici\b|lorem|undefined|captcha|timed out|exception|robot"
+HINTS = r"javascript|cookies?\b|browser|navigat\w*r|\berror\b|fehler\b|erreur|ошибка|błąd|not found|introuvable|nicht gefunden|encontrada|не найдена|見つかりません|denied|forbidden|unavailable|blocked|placeholder|goes here|hier e|\bici\b|lorem|undefined|captcha|timed out|exception|robot|permission|default|could ?n[’']t|cannot|requested"
 #: What speaks about a thing in place of being one.
 ABOUT = r"[:?]|\b(?:explained|case study|history|why|how|what|beginners|guide|poem|teach\w*|about|rights|story|tips|lessons|learn\w*|understanding|introduction|other places|again|in print|designers)\b"
 MIN_HOSTS = 5
@@ -177,8 +181,9 @@ def stand_ins(values: DataFrame) -> DataFrame:
     # Few rows are left: they are written down, so that texts are looked at once.
     judged = forms.withColumn("verdict", F.when(speaks(low), 2).when(hinted, 1).otherwise(0)).where("verdict > 0")
     left = settle(judged.select("page_id", "site", "field", "form", "verdict", F.when(F.col("verdict") == 1, F.size(F.array_intersect(terms, page)) * 2 <= F.size(terms)).alias("mismatched")))
-    # Words alike on several hosts, on pages that speak of something else.
-    weighed = left.where("verdict = 1").withColumn("key", F.regexp_replace(low, r"\d+", "#"))
+    # Words alike on several hosts, names of hosts and numbers aside, on pages that speak of something else.
+    alike = F.regexp_replace(F.regexp_replace(low, r"\b[a-z0-9-]+(?:\.[a-z0-9-]+)+\b", "@"), r"\d+", "#")
+    weighed = left.where("verdict = 1").withColumn("key", alike)
     by_host = weighed.groupBy("key", "site").agg(F.count(F.lit(1)).alias("n"), F.count_if("mismatched").alias("m"))
     evidence = by_host.groupBy("key").agg(F.count("site").alias("hosts"), F.sum("n").alias("n"), F.sum("m").alias("m")).where((F.col("hosts") >= MIN_HOSTS) & (F.col("m") * 5 >= F.col("n") * 4)).select("key")
     backed = weighed.where("mismatched").join(evidence, "key", "left_semi")

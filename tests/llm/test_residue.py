@@ -72,6 +72,10 @@ Application error: a client-side exception has occurred
 Error establishing a database connection
 Sorry, something went wrong
 This site can't be reached
+Default description for shop.example
+We couldn't find that page | shop.example
+The page you requested could not be found on shop.example. Please check the address or go back to the start page.
+You don't have permission to access this resource on shop.example.
 Ｐａｇｅ ｎｏｔ ｆｏｕｎｄ
 P​age nоt found""".split("\n")
 OTHERS = """What a 404 error teaches us
@@ -122,8 +126,8 @@ SCHEMA = "page_id bigint, site string, url string, field string, value string, o
 
 
 def test_detectors_and_host_evidence(spark):
-    gate = "Browser integrity portal"  # no detector knows it; a hint and its spread over hosts do
-    rows = [(i, f"s{i}", f"https://s{i}/boats-{i}", "title", gate, "Quiet boats by the quay") for i in range(8)]
+    gate = "Browser integrity portal of"  # no detector knows it; a hint and its spread over hosts do
+    rows = [(i, f"s{i}", f"https://s{i}/boats-{i}", "title", f"{gate} s{i}.example", "Quiet boats by the quay") for i in range(8)]
     rows += [(20 + i, f"s{i}", f"https://s{i}/x", "title", "Browser games museum", "browser games museum opening") for i in range(8)]
     rows += [(40, "s1", None, "title", "404 Not Found", None), (41, None, None, "title", "Quiet boats", None), (42, "s1", "u", "title", None, None), (43, "s1", "u", "title", "", None), (44, "s1", "u", "title", "Error museum on one host", None)]
     df = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 as form", "2 as key", "3 as shown", "4 as n")
