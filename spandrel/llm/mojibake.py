@@ -12,12 +12,15 @@ from __future__ import annotations
 
 import functools
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from spandrel.llm.glyphs import LOOKALIKES
+
 #: Encodings in which UTF-8 may have been read.
 READ_AS = ("cp1252", "latin-1", "cp1250", "cp1251", "cp1254", "iso8859-2", "iso8859-15", "mac-roman", "cp437", "cp850", "cp852", "cp866", "koi8-r", "gb18030", "big5", "cp932", "euc-kr")
 MULTIBYTE = ("gb18030", "big5", "cp932", "euc-kr")
@@ -194,7 +197,7 @@ def _utf8_run(text: str, start: int, end: int, hits: list) -> list[tuple[int, in
     spans, at = [], -1
     for a, b, of in sorted(hits, key=lambda h: (h[0], -h[1])):
         read = [r for w, r in of if w == "utf-8" and r not in MULTIBYTE]
-        if a >= at and read and not text[a:b].isalpha():  # letters alone may be a word
+        if a >= at and read and not text[a:b].isalpha() and _visible(text[a]) and not _imitates(text, a, b, read[0]):  # letters alone may be a word
             spans.append((a, b, read[0]))
             at = b
     covered = sum(b - a for a, b, _ in spans)
@@ -208,6 +211,10 @@ def _utf8_run(text: str, start: int, end: int, hits: list) -> list[tuple[int, in
     return []
 
 
+def _visible(ch: str) -> bool:
+    return not ch.isspace() and unicodedata.category(ch) != "Cf"
+
+
 def _fits(text: str, start: int, end: int, right: str, codec: str) -> bool:
     """Whether ``right`` is likely in the place of text[start:end]."""
     if codec in MULTIBYTE:
@@ -219,6 +226,10 @@ def _fits(text: str, start: int, end: int, right: str, codec: str) -> bool:
         return len(right) == 2 and not _KANA.search(text[start:end]) or bool(re.search("[A-Za-z]", near)) or not _KANA.search(rest) and not re.search("[一-鿿]{2}", rest) and bool(re.search("[A-Za-z]{2}", rest))
     if text[end - 1] in _CLOSING and _quoted(text[: end - 1], text[end - 1]):
         return False  # the sign closes a quotation
+    if _imitates(text, start, end, codec) or not _visible(text[start]):
+        return False
+    if len(right) == 1 and right.isupper() and text[:start][-1:].islower():
+        return False  # a capital within a word
     if len(right) == 1 and right.islower():
         # Capitals all around and a small letter in the middle: the text is as it was meant.
         before = re.search(r"[^\W\d_]{2,}$", text[:start])
@@ -227,6 +238,24 @@ def _fits(text: str, start: int, end: int, right: str, codec: str) -> bool:
     return True
 
 
+#: Cyrillic letters that look like Latin ones.
+_LOOK = "".join(x for x, _ in LOOKALIKES[:2])
+
+
+def _imitates(text: str, start: int, end: int, codec: str) -> bool:
+    """Whether the Cyrillic letters of text[start:end] are look-alikes, as are others in the text that aren't garbled."""
+    look = lambda run: (letters := re.findall(r"[^\W\d_]", run)) and all(x in _LOOK for x in letters)
+    if codec not in ("cp1251", "koi8-r", "cp866") or not look(text[start:end]):
+        return False
+    for m in _HIGH.finditer(text):
+        if (m.end() <= start or m.start() >= end) and look(m[0]):
+            try:
+                (_bytes(m[0], codec) or b"\xff").decode("utf-8")
+            except UnicodeDecodeError:
+                return True
+    return False
+
+
 _CLOSING = {"”": "“„", "’": "‘‚", "»": "«", "«": "»", "“": "„", "›": "‹"}
 
 
