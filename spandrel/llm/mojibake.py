@@ -228,6 +228,8 @@ def _fits(text: str, start: int, end: int, right: str, codec: str) -> bool:
         return False  # the sign closes a quotation
     if _imitates(text, start, end, codec) or not _visible(text[start]):
         return False
+    if len(right) == 1 and text[end - 1] == "\xa0" and re.search(f"(?<!{re.escape(text[end - 2 : end - 1])})\xa0", text):
+        return False  # such spaces are what this text has between words
     if len(right) == 1 and right.isupper() and text[:start][-1:].islower():
         return False  # a capital within a word
     if len(right) == 1 and right.islower():
@@ -285,7 +287,7 @@ def _cyrillic_as_latin(text: str, pair: tuple[str, str], hits: list) -> list[tup
     edits, sure = [], False
     for m in re.finditer(r"[^\x00-\x7f]+", text):
         near = text[max(0, m.start() - 1) : m.start()] + text[m.end() : m.end() + 1]
-        if re.search("[A-Za-z]", near):
+        if re.search("[A-Za-z]", near) or not any(map(str.isalpha, m[0])):
             continue
         data = _bytes(m[0], pair[1])
         right = data.decode(pair[0], "replace") if data else ""
@@ -315,6 +317,8 @@ def _cyrillic_as_cyrillic(text: str, pair: tuple[str, str], hits: list) -> list[
     for m in re.finditer(r"[^\x00-\x7f]+", text):
         if re.search("[A-Za-z]", text[max(0, m.start() - 1) : m.start()] + text[m.end() : m.end() + 1]):
             continue  # look-alike letters within a Latin word
+        if not any(map(str.isalpha, m[0])):
+            continue
         data = _bytes(m[0], pair[1])
         right = data.decode(pair[0], "replace") if data else ""
         if not re.fullmatch("[Ѐ-џ№–—…’«» ]+", right):
