@@ -59,7 +59,7 @@ def test_nothing_blank_and_long():
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.lists(st.from_regex("[a-h]{2,5}[äöüßéèàçñ]{0,2}[a-h]{1,3}", fullmatch=True), min_size=1, max_size=5).map(" ".join))
+@given(st.lists(st.from_regex("[a-h]{2,5}[äöüßéèà]{0,2}[a-h]{1,3}", fullmatch=True), min_size=1, max_size=5).map(" ".join))
 def test_round_trip(text):
     assume(not text.isascii())
     assert restore(garble(text)) == (True, text)
