@@ -13,14 +13,14 @@ RANKS = {"Error": 3, "Warning": 2, "Info": 1}
 def summarize(pages: DataFrame, links: DataFrame, issues: DataFrame) -> DataFrame:
     """One row: total_pages, total_links (repeats included), broken_links, errors, warnings, infos.
 
-    Each table is aggregated by itself to one row, so that nothing fans out; the join of the three single rows is by
-    position, of rows that aggregates without keys always give, also on empty tables.
+    Each table is aggregated by itself to one row, so that nothing fans out; the three rows, which aggregates without keys
+    give on empty tables too, are stacked and folded into one.
     """
     a = pages.agg(F.count(F.lit(1)).alias("total_pages"))
     b = links.agg(F.count(F.lit(1)).alias("total_links"), F.count_if(is_broken(F.col("status_code"), F.col("check_error"))).alias("broken_links"))
     c = issues.agg(*(F.count_if(F.col("severity") == s).alias(f"{s.lower()}s") for s in RANKS))
-    one = lambda df: df.withColumn("_one", F.lit(1))
-    return one(a).join(one(b), "_one").join(one(c), "_one").drop("_one")
+    stacked = a.unionByName(b, allowMissingColumns=True).unionByName(c, allowMissingColumns=True)
+    return stacked.agg(*(F.max(x).alias(x) for x in stacked.columns))
 
 
 def summarize_nested(pages: DataFrame) -> DataFrame:

@@ -35,10 +35,12 @@ def document(pages: DataFrame, start_url: str, timestamp: str | None = None) ->
     The pages of a crawl are bounded by its budget; a corpus is written by ``write_pages`` instead.
     """
     when = timestamp or datetime.now(UTC).isoformat()
-    summary = summarize_nested(pages).select(F.struct("*").alias("summary"), F.lit(1).alias("_one"))
-    mapped = pages.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("page_key", page_struct().alias("page"))))).alias("pages")).withColumn("_one", F.lit(1))
+    summary = summarize_nested(pages).select(F.struct("*").alias("summary"))
+    mapped = pages.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("page_key", page_struct().alias("page"))))).alias("pages"))
+    stacked = mapped.unionByName(summary, allowMissingColumns=True)
     whole = F.struct(F.lit(start_url).alias("start_url"), F.col("pages"), F.col("summary"), F.lit(when).alias("timestamp"))
-    return mapped.join(summary, "_one").select(F.to_json(whole, {"ignoreNullFields": "false"}).alias("json"))
+    one = stacked.agg(*(F.first(c, ignorenulls=True).alias(c) for c in ("pages", "summary")))
+    return one.select(F.to_json(whole, {"ignoreNullFields": "false"}).alias("json"))
 
 
 def pretty(pages: DataFrame, start_url: str, timestamp: str | None = None) -> str:
