@@ -77,7 +77,7 @@ class Merges:
         """Whether ``b`` may follow ``a`` in an encoding: their bytes together are encoded as the two."""
         ok = self.fits.get((a, b))
         if ok is None:
-            if len(self.fits) > 2_000_000:
+            if len(self.fits) > 500_000:
                 self.fits.clear()
             ok = self.fits[a, b] = self.merge(self.token[a] + self.token[b]) == [a, b]
         return ok
