@@ -88,22 +88,25 @@ def whole_json(text: Column | str) -> Column:
     return F.when(F.size(parsed) == 1, parsed[0])
 
 
-def _fields(v: Column) -> Column:
-    return F.try_variant_get(v, "$", "map<string,variant>")
-
-
 def _is_object(v: Column) -> Column:
-    return _fields(v).isNotNull()
+    """Whether a VARIANT is an object: nothing else can be read as a struct, of whatever field."""
+    return F.try_variant_get(v, "$", "struct<_:string>").isNotNull()
+
 
+def found_within(rows: DataFrame, column: str, name: str, depth: int = 3) -> DataFrame:
+    """``rows`` with the VARIANT ``column`` being the object with the field ``name`` that it is or holds, else null.
 
-def found_within(v: Column, name: str, depth: int = 3) -> Column:
-    """The object that has the field ``name``: ``v`` itself, or what it holds wrapped in an object or a JSON string."""
+    It may be wrapped in an object or a JSON string, ``depth`` times. Each step is a projection of its own, so that no
+    expression is repeated in the next.
+    """
+    v = F.col(column)
+    has = lambda x: F.try_variant_get(x, f"$.{name}", "variant").isNotNull()
     for _ in range(depth):
-        has = F.coalesce(F.map_contains_key(_fields(v), name), F.lit(False))
-        inner = F.filter(F.map_values(_fields(v)), lambda x: F.coalesce(F.map_contains_key(_fields(x), name), F.lit(False)) | F.coalesce(F.try_variant_get(x, "$", "string").rlike(rf'^\s*[{{"].*{name}'), F.lit(False)))
+        values = F.map_values(F.try_variant_get(v, "$", "map<string,variant>"))
+        likely = F.filter(values, lambda x: has(x) | F.coalesce(F.try_variant_get(x, "$", "string").rlike(rf'^\s*[{{"].*{name}'), F.lit(False)))
         text = F.try_variant_get(v, "$", "string")
-        v = F.when(has, v).when(_is_object(v), F.get(inner, F.lit(0))).otherwise(whole_json(text))
-    return F.when(F.coalesce(F.map_contains_key(_fields(v), name), F.lit(False)), v)
+        rows = rows.withColumn(column, F.when(has(v), v).when(_is_object(v), F.get(likely, F.lit(0))).otherwise(whole_json(text)))
+    return rows.withColumn(column, F.when(has(v), v))
 
 
 _LISTED = "array<struct<idx:int,key:string,element:variant>>"
@@ -119,7 +122,7 @@ def as_list(v: Column, keyed: bool = False, sign: str = "url") -> Column:
     single = F.when(_is_object(v), F.array(F.struct(F.lit(0).alias("idx"), F.lit(None).cast("string").alias("key"), v.alias("element"))))
     out = F.coalesce(of_list, single)
     if keyed:
-        entries = F.map_entries(_fields(v))
+        entries = F.map_entries(F.try_variant_get(v, "$", "map<string,variant>"))
         of_map = F.transform(entries, lambda x, i: F.struct(i.alias("idx"), x["key"].alias("key"), x["value"].alias("element")))
         out = F.coalesce(of_list, F.when(F.try_variant_get(v, f"$.{sign}", "string").isNotNull() & ~_is_object(F.try_variant_get(v, f"$.{sign}", "variant")), single).otherwise(of_map))
     return F.filter(out, lambda x: _is_object(x["element"]))
@@ -129,8 +132,14 @@ def _named(child: str) -> Callable[[Column], Column]:
     return lambda x: F.struct(F.lit(child).alias("child"), x["idx"].alias("idx"), x["key"].alias("key"), x["element"].alias("element"))
 
 
-def _item(child: str) -> Callable[[Column], Column]:
-    return lambda x: F.struct(F.lit(child).alias("child"), x["idx"].alias("idx"), F.try_variant_get(x["element"], ITEM[child], "string").alias("item"), F.lit("").alias("value"))
+def _items(v: Column, child: str) -> Column:
+    """The members of a list of child records as (child, idx, item, value), read as structs of the one field needed."""
+    field = ITEM[child]
+    read = lambda x: F.try_variant_get(x, "$", f"struct<{field}:string>")
+    of_list = F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x, i: F.struct(i.alias("idx"), read(x).alias("record")))
+    single = F.when(_is_object(v), F.array(F.struct(F.lit(0).alias("idx"), read(v).alias("record"))))
+    listed = F.filter(F.coalesce(of_list, single, F.array().cast(f"array<struct<idx:int,record:struct<{field}:string>>>")), lambda x: x["record"].isNotNull())
+    return F.transform(listed, lambda x: F.struct(F.lit(child).alias("child"), x["idx"].alias("idx"), x["record"][field].alias("item"), F.lit("").alias("value")))
 
 
 def unnest(rows: DataFrame, table: Table, carry: dict[str, str] | None = None) -> DataFrame:
@@ -144,7 +153,8 @@ def unnest(rows: DataFrame, table: Table, carry: dict[str, str] | None = None) -
         name = path.rpartition(".")[2]
         members = as_list(F.try_variant_get("element", path, "variant"), name in table.element.keyed, child.sign)
         lists.append(F.transform(F.coalesce(members, F.array().cast(_LISTED)), _named(name)))
-    out = rows.select(F.col("id").alias("parent_id"), *carried, F.inline(F.concat(*lists)))
+    # Outer, and filtered behind: filters on what is generated would be moved before it and parse everything again.
+    out = rows.select(F.col("id").alias("parent_id"), *carried, F.inline_outer(F.concat(*lists))).where("child is not null")
     return out.withColumn("id", F.concat_ws("/", "parent_id", F.concat_ws(".", "child", F.col("idx").cast("string"))))
 
 
@@ -162,10 +172,9 @@ def shred(documents: DataFrame, id_column: str, text_column: str, root: Element,
     level by level until a level is empty.
     """
     tables = analyse(root)
-    parsed = whole_json(text_column)
-    top = documents.select(F.col(id_column).cast("string").alias("id"), (found_within(parsed, marker) if marker else parsed).alias("element"))
-    top = top.where("element is not null").select("id", F.lit(None).cast("string").alias("parent_id"), F.lit(root.name).alias("child"), F.lit(0).alias("idx"), F.lit(None).cast("string").alias("key"), "element")
-    found: dict[str, DataFrame] = {root.name: top}
+    top = documents.select(F.col(id_column).cast("string").alias("id"), whole_json(text_column).alias("element"))
+    top = (found_within(top, "element", marker) if marker else top).select("id", F.lit(None).cast("string").alias("parent_id"), F.lit(root.name).alias("child"), F.lit(0).alias("idx"), F.lit(None).cast("string").alias("key"), "element")
+    found: dict[str, DataFrame] = {root.name: top.where("element is not null")}
     keys = ["id", "parent_id", "child", "idx", "key", "element"]
     level = {root.name: top}
     met: dict[str, int] = {root.name: 1}
@@ -203,7 +212,7 @@ PAGE = Element(
 SUMMARY = Element("summary", {x: "bigint" for x in ("total_pages", "total_links", "broken_links", "errors", "warnings", "infos")})
 REPORT = Element("report", {"start_url": "string", "timestamp": "string"}, {"summary": SUMMARY, "pages": PAGE}, frozenset({"pages"}), frozenset({"pages"}))
 #: The field that names a child record.
-ITEM = {"links": "$.url", "images": "$.src", "issues": "$.issue_type"}
+ITEM = {"links": "url", "images": "src", "issues": "issue_type"}
 
 
 def report_tables(reports: DataFrame) -> dict[str, DataFrame]:
@@ -219,14 +228,11 @@ def report_children(reports: DataFrame) -> DataFrame:
     that are null, empty, not whole valid JSON or no report give no rows.
     """
     tables = analyse(REPORT)
-    top = reports.select("report_id", F.col("report_id").cast("string").alias("id"), found_within(whole_json("payload"), "pages").alias("element")).where("element is not null")
+    parsed = reports.select("report_id", F.col("report_id").cast("string").alias("id"), whole_json("payload").alias("element"))
+    top = found_within(parsed, "element", "pages")
     pages = unnest(top, tables["report"], {"report_id": "report_id"})
     page_key = F.coalesce(F.try_variant_get("element", "$.url", "string"), F.col("key"))
     keyed = pages.select("report_id", "id", page_key.alias("page_key"), "element")
     tags = F.array(*(F.struct(F.lit("open_graph").alias("child"), F.lit(0).alias("idx"), F.lit(t).alias("item"), F.try_variant_get("element", f"$.open_graph.{t}", "string").alias("value")) for t in TAGS))
-    members = []
-    for path, child in tables["pages"].children:
-        name = path.rpartition(".")[2]
-        listed = F.coalesce(as_list(F.try_variant_get("element", path, "variant"), name in PAGE.keyed, child.sign), F.array().cast(_LISTED))
-        members.append(F.transform(listed, _item(name)))
-    return keyed.select("report_id", "page_key", F.inline(F.concat(*members, tags))).where("value is not null").drop("value")
+    members = [_items(F.try_variant_get("element", path, "variant"), path.rpartition(".")[2]) for path, _ in tables["pages"].children]
+    return keyed.select("report_id", "page_key", F.inline_outer(F.concat(*members, tags))).where("value is not null").drop("value")
