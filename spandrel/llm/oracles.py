@@ -29,9 +29,25 @@ FROM = "".join(x for x, _ in LOOKALIKES) + "ёЁїЇµ" + "".join(chr(0xFF01 + i
 TO = "".join(y for _, y in LOOKALIKES) + "ëËïÏμ" + "".join(chr(0x21 + i) for i in range(94))
 
 
+#: Bands by another way than the model's: a vote of the words that nearly only one band of the graded samples has.
+BANDS = r"""
+    WITH words AS (SELECT sample_id, band, unnest(list_distinct(regexp_extract_all(lower(text), '\pL+'))) AS w FROM graded_samples),
+        sizes AS (SELECT band, count(*) AS n FROM graded_samples GROUP BY band),
+        counts AS (SELECT w, band, count(*) AS k FROM words GROUP BY ALL),
+        known AS (SELECT DISTINCT w, true AS known FROM words),
+        function_words AS (SELECT w, true AS func FROM counts JOIN sizes USING (band) WHERE k >= 0.2 * n GROUP BY w HAVING count(*) = (SELECT count(*) FROM sizes)),
+        marks AS (SELECT w, arg_max(band, k) AS band FROM counts GROUP BY w HAVING sum(k) >= 4 AND max(k) >= 0.8 * sum(k)),
+        long AS (SELECT doc_id, text FROM documents WHERE doc_type IS DISTINCT FROM 'crawl_log' AND len([x FOR x IN regexp_split_to_array(text, '[\s\x0B\x1C-\x1F\x{85}\p{Z}]+') IF x <> '']) >= 50),
+        parts AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\pL+')) AS w FROM long),
+        prose AS (SELECT doc_id FROM parts LEFT JOIN known USING (w) LEFT JOIN function_words USING (w) GROUP BY doc_id HAVING count(known) >= 0.5 * count(*) AND count(func) >= 0.12 * count(*)),
+        votes AS (SELECT doc_id, band, count(*) AS v FROM parts JOIN prose USING (doc_id) JOIN marks USING (w) GROUP BY ALL)
+    SELECT doc_id, arg_max(band, v) AS band FROM votes GROUP BY doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
     form = f"trim(regexp_replace(nfc_normalize(replace(translate(regexp_replace(value, '{INVISIBLE}', '', 'g'), '{FROM}', '{TO.replace(chr(39), chr(39) * 2)}'), 'ﬁ', 'fi')), '{WHITE}', ' ', 'g'))"
     return {
+        "p8_found": BANDS,
         "p1_found": f"WITH {CANON}, firsts AS (SELECT kind, address, min(id) AS first_id FROM canon GROUP BY ALL) SELECT kind, first_id, id AS copy_id FROM canon JOIN firsts USING (kind, address) WHERE id <> first_id",
         "p1_collapsed": f"WITH {CANON} SELECT kind, address, min(id) AS first_id, count(*) AS n FROM canon GROUP BY ALL",
         "p2_found": f"""WITH texts AS (SELECT 'title' AS field, page_id, title AS value FROM pages UNION ALL SELECT 'meta_description', page_id, meta_description FROM pages UNION ALL SELECT 'og_title', page_id, open_graph.og_title FROM pages),
