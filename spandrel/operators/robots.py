@@ -13,7 +13,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
 
 from spandrel.functions.urls import Url, origin_of, path_of
 
@@ -140,14 +139,3 @@ def decide(urls: DataFrame, rules: DataFrame, agent: str = AGENT, url: str = "ur
     grouped = effective(rules, agent).select(F.col("domain").alias("_origin"), F.col("rules").alias("_rules"))
     joined = urls.withColumn("_origin", origin_of(F.col(url))).join(grouped, "_origin", "left")
     return joined.withColumn("allowed", verdict(F.col("_rules"), path_of(F.col(url)))).drop("_origin", "_rules")
-
-
-def literal_decision(path: Column, rules: list[Rule], strict: bool = False) -> Column:
-    """The verdict of one group of rules, known to the driver, on a path; the compatible matcher runs in batches."""
-
-    def work(paths):  # noqa: ANN001, ANN202
-        import pandas as pd
-
-        return pd.Series([x is None or allowed(rules, x, strict) for x in paths], dtype=bool)
-
-    return F.pandas_udf(work, BooleanType())(path)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from spandrel.functions.text import contains_folded, display_title, trimmed
+from spandrel.functions.text import contains_folded, display_title
 from spandrel.operators.summary import per_page
 
 FILTERS = ("All", "Error", "Warning", "Info")
@@ -92,7 +92,3 @@ def issue_order(issues: DataFrame, key: str = "page_key") -> DataFrame:
     """Issues with their ``position`` on their page: errors, warnings, infos, each in their order of finding."""
     severity = F.array_position(F.array(F.lit("Error"), F.lit("Warning"), F.lit("Info")), F.col("severity"))
     return issues.withColumn("position", F.row_number().over(W.partitionBy(key).orderBy(severity, "issue_idx")).cast("bigint"))
-
-
-def clean_query(query: Column) -> Column:
-    return F.lower(trimmed(query))

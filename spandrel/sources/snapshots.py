@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spandrel.functions.urls import Url
-from spandrel.schemas import FETCH, PAGE_STRUCT
+from spandrel.schemas import PAGE_STRUCT
 
 ABSENT = "connection failed"
 
@@ -52,10 +52,6 @@ class RecordedFetcher:
         return self.robots_txt
 
 
-def empty_fetches(df: DataFrame) -> DataFrame:
-    return df.sparkSession.createDataFrame([], FETCH)
-
-
 REPORT = f"start_url string, pages map<string,{PAGE_STRUCT}>, summary struct<total_pages:bigint,total_links:bigint,broken_links:bigint,errors:bigint,warnings:bigint,infos:bigint>, timestamp string"
 
 
