@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from itertools import count as counted
 from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
@@ -98,18 +99,21 @@ def crawl(spark: SparkSession, seed: str, fetcher: Fetcher, options: CrawlOption
     return Crawled(pages, visited, levels)
 
 
-def reach(seeds: DataFrame, edges: DataFrame, max_depth: int) -> DataFrame:
-    """(node, depth) of every node within ``max_depth`` steps of ``seeds`` (node) along ``edges`` (source, target).
+def reach(seeds: DataFrame, edges: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """(node, depth) of every node within ``max_depth`` steps, or any number, of ``seeds`` (node) along ``edges`` (source, target).
 
     Level by level: a level joins its nodes with the edges and drops what was met; each is written before the next, and
-    the walk ends when one is empty. Null nodes are never met; nodes needn't have edges.
+    the walk ends when one is empty. Null nodes are never met; nodes needn't have edges. What was met is written anew
+    every 16 levels, so that the plan doesn't grow with the depth.
     """
     level = settle(seeds.select("node").where("node is not null").distinct().withColumn("depth", F.lit(0)))
     met = level
-    for depth in range(1, max_depth + 1):
+    for depth in counted(1) if max_depth is None else range(1, max_depth + 1):
         following = level.select(F.col("node").alias("source")).join(edges.select("source", "target"), "source").select(F.col("target").alias("node")).where("node is not null").distinct()
         level = settle(following.join(met.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)))
         if level.isEmpty():
             break
         met = met.unionByName(level)
+        if depth % 16 == 0:
+            met = settle(met)
     return met

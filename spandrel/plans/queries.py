@@ -12,7 +12,7 @@ from spandrel.operators import crawl, extract, linkcheck, nested, robots, rules,
 from spandrel.plans.oracles import oracle_sql  # noqa: F401
 from spandrel.sinks import report
 from spandrel.sources.snapshots import SnapshotFetcher
-from spandrel.tables import load
+from spandrel.tables import load, settle
 
 Query = Callable[[SparkSession, str], DataFrame]
 AGENT = "auditbot"
@@ -212,22 +212,32 @@ def load_delays(spark: SparkSession, root: str) -> DataFrame:
 # Walks.
 
 
-def _edges(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+def _walk(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """(page_id, site, node) of the pages, and (page_id, target) of what their links lead to."""
     pages, links, _ = _tables(spark, root)
     nodes = pages.select("page_id", "site", urls.normalized(F.col("url")).alias("node"))
-    edges = links.where(urls.crawlable(F.col("url"))).select("page_id", urls.normalized(F.col("url")).alias("target")).join(nodes, "page_id").select(F.col("node").alias("source"), "target").distinct()
-    return nodes, edges
+    return nodes, links.where(urls.crawlable(F.col("url"))).select("page_id", urls.normalized(F.col("url")).alias("target"))
 
 
 def bfs_depths(spark: SparkSession, root: str) -> DataFrame:
     """What can be reached in three steps from the first page of each site."""
-    nodes, edges = _edges(spark, root)
+    nodes, targets = _walk(spark, root)
+    edges = targets.join(nodes, "page_id").select(F.col("node").alias("source"), "target").distinct()
     return crawl.reach(nodes.groupBy("site").agg(F.min_by("node", "page_id").alias("node")), edges, 3)
 
 
 def unreached_pages(spark: SparkSession, root: str) -> DataFrame:
-    nodes, _ = _edges(spark, root)
-    return nodes.join(bfs_depths(spark, root), "node", "left_anti").select("page_id")
+    """Pages that no walk from the first page of each site meets, however many steps it takes.
+
+    The walk is over numbers of addresses, and over links to pages alone: other addresses lead nowhere.
+    """
+    nodes, targets = _walk(spark, root)
+    numbers = nodes.where("node is not null").groupBy("node").agg(F.min("page_id").alias("number"))
+    numbered = settle(nodes.join(numbers, "node", "left").select("page_id", "site", "node", "number"))
+    known = numbered.where("number = page_id").select(F.col("node").alias("target"), F.col("number").alias("to"))
+    edges = targets.join(numbered.select("page_id", F.col("number").alias("source")), "page_id").join(known, "target").select("source", F.col("to").alias("target")).distinct()
+    met = crawl.reach(numbered.groupBy("site").agg(F.min_by("number", "page_id").alias("node")), settle(edges))
+    return numbered.join(met.select(F.col("node").alias("number")), "number", "left_anti").select("page_id")
 
 
 # Extraction and reports.
