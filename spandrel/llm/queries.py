@@ -44,12 +44,12 @@ def p2_forms(spark: SparkSession, root: str) -> DataFrame:
 
 
 def content_values(spark: SparkSession, root: str) -> DataFrame:
-    """(page_id, site, url, field, value, others): titles, descriptions and single h1 of pages beside their other texts."""
-    one = lambda field, value, *rest: F.struct(F.lit(field).alias("field"), F.col(value).alias("value"), F.concat_ws(" ", *rest).alias("others"))
+    """(page_id, site, url, field, place, value, others): titles, descriptions and single h1 of pages beside their other texts."""
+    one = lambda field, value, *rest: F.struct(F.lit(field).alias("field"), F.lit(0).alias("place"), F.col(value).alias("value"), F.concat_ws(" ", *rest).alias("others"))
     pages = load(spark, root, "pages").select("page_id", "site", "url", "title", "meta_description", "h1_tags")
     single = pages.select("page_id", "site", "url", F.inline(F.array(one("title", "title", "meta_description", "h1_tags"), one("meta_description", "meta_description", "title", "h1_tags"))))
-    heads = pages.select("page_id", "site", "url", "title", "meta_description", F.explode("h1_tags").alias("h1"))
-    return single.unionByName(heads.select("page_id", "site", "url", F.lit("h1_tags").alias("field"), F.col("h1").alias("value"), F.concat_ws(" ", "title", "meta_description").alias("others")))
+    heads = pages.select("page_id", "site", "url", "title", "meta_description", F.posexplode("h1_tags").alias("place", "h1"))
+    return single.unionByName(heads.select("page_id", "site", "url", F.lit("h1_tags").alias("field"), "place", F.col("h1").alias("value"), F.concat_ws(" ", "title", "meta_description").alias("others")))
 
 
 def p3_found(spark: SparkSession, root: str) -> DataFrame:
@@ -57,9 +57,9 @@ def p3_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p3_contents(spark: SparkSession, root: str) -> DataFrame:
-    """(page_id, field, value) without the values that stand in for content."""
+    """(page_id, field, value) without the values that stand in for content; other h1 of their page stay."""
     values = content_values(spark, root)
-    return values.join(p3_found(spark, root), ["page_id", "field"], "left_anti").select("page_id", "field", "value")
+    return values.join(residue.stand_ins(values, "place"), ["page_id", "field", "place"], "left_anti").select("page_id", "field", "value")
 
 
 def read_texts(spark: SparkSession, root: str) -> DataFrame:

@@ -165,14 +165,14 @@ def _terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda x: F.length(x) >= 4)
 
 
-def stand_ins(values: DataFrame) -> DataFrame:
-    """(page_id, field, form) of every value that stands in for content, with its form in small letters.
+def stand_ins(values: DataFrame, *also: str) -> DataFrame:
+    """(page_id, field, form) of every value that stands in for content, with its form in small letters, and the columns ``also``.
 
     ``values`` has page_id, site, url, field, value and others (the page's other texts, for its terms); a list is one row
     per element. Null, empty and blank values are never listed; neither are values about such things. A null site or url
     gives no evidence. Nothing is decided by the status of the page.
     """
-    small = values.select("page_id", "site", "url", "field", F.lower("value").alias("value"), "others").where("value is not null")
+    small = values.select("page_id", "site", "url", "field", *also, F.lower("value").alias("value"), "others").where("value is not null")
     forms = consistent(small).where("form <> ''")
     low = F.col("form")
     hinted = low.rlike(_alike(HINTS)) & ~low.rlike(ABOUT) & (F.length("form") <= 160)
@@ -180,14 +180,14 @@ def stand_ins(values: DataFrame) -> DataFrame:
     page = F.concat(_terms(F.coalesce(F.col("others"), F.lit(""))), _terms(F.coalesce(F.regexp_extract("url", r"^[^:]*://[^/]*/(.*)", 1), F.lit(""))))
     # Few rows are left: they are written down, so that texts are looked at once.
     judged = forms.withColumn("verdict", F.when(speaks(low), 2).when(hinted, 1).otherwise(0)).where("verdict > 0")
-    left = settle(judged.select("page_id", "site", "field", "form", "verdict", F.when(F.col("verdict") == 1, F.size(F.array_intersect(terms, page)) * 2 <= F.size(terms)).alias("mismatched")))
+    left = settle(judged.select("page_id", "site", "field", *also, "form", "verdict", F.when(F.col("verdict") == 1, F.size(F.array_intersect(terms, page)) * 2 <= F.size(terms)).alias("mismatched")))
     # Words alike on several hosts, names of hosts and numbers aside, on pages that speak of something else.
     alike = F.regexp_replace(F.regexp_replace(low, r"\b[a-z0-9-]+(?:\.[a-z0-9-]+)+\b", "@"), r"\d+", "#")
     weighed = left.where("verdict = 1").withColumn("key", alike)
     by_host = weighed.groupBy("key", "site").agg(F.count(F.lit(1)).alias("n"), F.count_if("mismatched").alias("m"))
     evidence = by_host.groupBy("key").agg(F.count("site").alias("hosts"), F.sum("n").alias("n"), F.sum("m").alias("m")).where((F.col("hosts") >= MIN_HOSTS) & (F.col("m") * 5 >= F.col("n") * 4)).select("key")
     backed = weighed.where("mismatched").join(evidence, "key", "left_semi")
-    return left.where("verdict = 2").select("page_id", "field", "form").unionByName(backed.select("page_id", "field", "form"))
+    return left.where("verdict = 2").select("page_id", "field", "form", *also).unionByName(backed.select("page_id", "field", "form", *also))
 
 
 def judge(text: str | None) -> bool:

@@ -15,3 +15,21 @@ def test_unreached_pages_walks_to_the_end(spark, tmp_path):
     chain = [(i, url(i + 1)) for i in range(18)]
     root = tables(spark, tmp_path, pages=([(i, "h", url(i)) for i in [*range(19), 99]], "page_id bigint, site string, url string"), links=([*chain, (18, url(0)), (99, url(1))], "page_id bigint, url string"), images=([], "page_id bigint"))
     assert [r.page_id for r in queries.unreached_pages(spark, root).collect()] == [99]
+
+
+PAGE = "page_id bigint, url string, status_code int, content_type string, title string, meta_description string, h1_tags array<string>, open_graph struct<og_title:string,og_description:string,og_image:string,og_url:string,og_type:string,og_site_name:string,og_locale:string>, crawl_depth int, site string"
+LINK = "page_id bigint, link_id bigint, link_idx int, url string, text string"
+IMAGE = "page_id bigint, img_idx int, src string, alt string"
+
+
+def html_page(i, *h1, **more):
+    return (i, f"http://h/{i}", 200, "text/html", more.get("title"), None, list(h1), (None,) * 7, 0, "h")
+
+
+def test_p3_contents_keeps_the_other_headings(spark, tmp_path):
+    from spandrel.llm.queries import p3_contents, p3_found
+
+    root = tables(spark, tmp_path, pages=([html_page(1, "Evening barns by the old quay", "{{ page.title }}", None), html_page(2, "404 Not Found", title="Quiet boats")], PAGE))
+    assert {(r.page_id, r.field) for r in p3_found(spark, root).collect()} == {(1, "h1_tags"), (2, "h1_tags")}
+    kept = {(r.page_id, r.field, r.value) for r in p3_contents(spark, root).collect() if r.value}
+    assert kept == {(1, "h1_tags", "Evening barns by the old quay"), (2, "title", "Quiet boats")}
