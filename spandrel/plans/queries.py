@@ -278,7 +278,7 @@ def extracted_pages(spark: SparkSession, root: str) -> DataFrame:
 def audited_html(spark: SparkSession, root: str) -> DataFrame:
     """Extraction and rules in one go, from HTML to issues by type."""
     pages = rules.audit(extract.extracted(rendered_pages(spark, root)))
-    return pages.select("page_id", F.explode("issues").alias("issue")).where("issue.issue_type <> 'ThinContent'").groupBy("issue.severity", "issue.issue_type").agg(F.count(F.lit(1)).alias("n"))
+    return pages.select("page_id", F.explode("issues").alias("issue")).groupBy("issue.severity", "issue.issue_type").agg(F.count(F.lit(1)).alias("n"))
 
 
 def crawled_snapshot(spark: SparkSession, root: str) -> DataFrame:

@@ -33,3 +33,10 @@ def test_p3_contents_keeps_the_other_headings(spark, tmp_path):
     assert {(r.page_id, r.field) for r in p3_found(spark, root).collect()} == {(1, "h1_tags"), (2, "h1_tags")}
     kept = {(r.page_id, r.field, r.value) for r in p3_contents(spark, root).collect() if r.value}
     assert kept == {(1, "h1_tags", "Evening barns by the old quay"), (2, "title", "Quiet boats")}
+
+
+def test_audited_html_has_all_rules(spark, tmp_path):
+    rows = [(1, 10 + i, i, f"http://h/{i}", "x") for i in range(9)]
+    root = tables(spark, tmp_path, pages=([html_page(1, "A"), html_page(2, "B")], PAGE), links=(rows, LINK), images=([], IMAGE))
+    got = {r.issue_type: r.n for r in queries.audited_html(spark, root).collect()}
+    assert got["ThinContent"] == 1 and got["MissingTitle"] == 2
