@@ -1,7 +1,7 @@
 """Breadth-first crawl, one level of depth at a time.
 
 A level's candidates are the links of the level before, each page key once (at its first occurrence, by the position of
-the page it is on and its place there), without those visited, in that order as far as the page budget goes. This is
+the page it is on and its place there), without those visited, in that order as far as the page budget, if any, goes. This is
 what a first-in first-out queue with one request at a time does. Blocked pages count against the budget. What a level
 fetched is written to the shared folder before anything reads it, so that no request is repeated by a later action.
 """
@@ -33,7 +33,7 @@ class Fetcher(Protocol):
 @dataclass(frozen=True)
 class CrawlOptions:
     max_depth: int = 5
-    max_pages: int = 200
+    max_pages: int | None = 200
     follow_external: bool = False
     keep_fragments: bool = False
     respect_robots: bool = True
@@ -64,12 +64,13 @@ def crawl(spark: SparkSession, seed: str, fetcher: Fetcher, options: CrawlOption
     pages: DataFrame | None = None
     used, levels = 0, []
     for depth in range(options.max_depth + 1):
-        left = options.max_pages - used
-        if left <= 0:
+        left = None if options.max_pages is None else options.max_pages - used
+        if left is not None and left <= 0:
             break
         first = frontier.groupBy("page_key").agg(F.min(F.struct("parent", "link_idx", "url")).alias("met")).select("page_key", "met.*")
         fresh = first if visited is None else first.join(visited, "page_key", "left_anti")
-        chosen = settle(positioned(fresh.orderBy("parent", "link_idx").limit(left), [F.asc("parent"), F.asc("link_idx")]).select("url", "page_key", F.lit(depth).alias("depth"), (F.col("position") - 1 + used).alias("seq")))
+        taken = fresh if left is None else fresh.orderBy("parent", "link_idx").limit(left)
+        chosen = settle(positioned(taken, [F.asc("parent"), F.asc("link_idx")]).select("url", "page_key", F.lit(depth).alias("depth"), (F.col("position") - 1 + used).alias("seq")))
         count = chosen.count()
         if not count:
             break

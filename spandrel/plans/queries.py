@@ -282,10 +282,10 @@ def audited_html(spark: SparkSession, root: str) -> DataFrame:
 
 
 def crawled_snapshot(spark: SparkSession, root: str) -> DataFrame:
-    """A crawl over the rendered pages from the first page of the first site, five levels deep."""
+    """A crawl over the rendered pages from the first page of the first site, five levels deep, each as wide as it is."""
     responses = rendered_pages(spark, root).withColumn("address", urls.normalized(F.col("url"))).groupBy("address").agg(F.min_by(F.struct("status_code", "content_type", "body"), "page_id").alias("r")).select(F.col("address").alias("url"), "r.*")
     seed = load(spark, root, "pages").where(F.col("url").startswith("http")).agg(F.min_by(urls.normalized(F.col("url")), "page_id").alias("seed")).first().seed
-    done = crawl.crawl(spark, seed, SnapshotFetcher(responses), crawl.CrawlOptions(max_depth=5, max_pages=10_000, follow_external=True))
+    done = crawl.crawl(spark, seed, SnapshotFetcher(responses), crawl.CrawlOptions(max_depth=5, max_pages=None, follow_external=True))
     return done.pages.select("seq", "page_key", "crawl_depth", "status_code", "title", "error")
 
 

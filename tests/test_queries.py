@@ -40,3 +40,9 @@ def test_audited_html_has_all_rules(spark, tmp_path):
     root = tables(spark, tmp_path, pages=([html_page(1, "A"), html_page(2, "B")], PAGE), links=(rows, LINK), images=([], IMAGE))
     got = {r.issue_type: r.n for r in queries.audited_html(spark, root).collect()}
     assert got["ThinContent"] == 1 and got["MissingTitle"] == 2
+
+
+def test_crawled_snapshot_has_whole_levels(spark, tmp_path):
+    rows = [(1, i, i, f"http://h/to/{i}", "x") for i in range(10_050)]
+    root = tables(spark, tmp_path, pages=([html_page(1, "A")], PAGE), links=(rows, LINK), images=([], IMAGE))
+    assert queries.crawled_snapshot(spark, root).count() == 10_051
