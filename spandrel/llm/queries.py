@@ -52,14 +52,23 @@ def content_values(spark: SparkSession, root: str) -> DataFrame:
     return single.unionByName(heads.select("page_id", "site", "url", F.lit("h1_tags").alias("field"), "place", F.col("h1").alias("value"), F.concat_ws(" ", "title", "meta_description").alias("others")))
 
 
+def page_bodies(spark: SparkSession, root: str) -> DataFrame:
+    return load(spark, root, "documents").where("doc_type = 'page_text' and page_id is not null").select("page_id", "text")
+
+
 def p3_found(spark: SparkSession, root: str) -> DataFrame:
-    return residue.stand_ins(content_values(spark, root)).select("page_id", "field").distinct()
+    return residue.stand_ins(content_values(spark, root), bodies=page_bodies(spark, root)).select("page_id", "field").distinct()
+
+
+def p3_evidence(spark: SparkSession, root: str) -> DataFrame:
+    """(source, n): how many of the values are found by what kind of evidence."""
+    return residue.stand_ins(content_values(spark, root), bodies=page_bodies(spark, root)).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
 
 
 def p3_contents(spark: SparkSession, root: str) -> DataFrame:
     """(page_id, field, value) without the values that stand in for content; other h1 of their page stay."""
     values = content_values(spark, root)
-    return values.join(residue.stand_ins(values, "place"), ["page_id", "field", "place"], "left_anti").select("page_id", "field", "value")
+    return values.join(residue.stand_ins(values, "place", bodies=page_bodies(spark, root)), ["page_id", "field", "place"], "left_anti").select("page_id", "field", "value")
 
 
 def read_texts(spark: SparkSession, root: str) -> DataFrame:
@@ -97,4 +106,4 @@ def p8_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_collapsed": p1_collapsed, "p2_found": p2_found, "p2_forms": p2_forms, "p3_found": p3_found, "p3_contents": p3_contents, "p4_found": p4_found, "p4_restored": p4_restored, "p6_ids": p6_ids, "p7_packed": p7_packed, "p8_found": p8_found, "p8_levels": p8_levels}
+    return {"p1_found": p1_found, "p1_collapsed": p1_collapsed, "p2_found": p2_found, "p2_forms": p2_forms, "p3_found": p3_found, "p3_contents": p3_contents, "p3_evidence": p3_evidence, "p4_found": p4_found, "p4_restored": p4_restored, "p6_ids": p6_ids, "p7_packed": p7_packed, "p8_found": p8_found, "p8_levels": p8_levels}

@@ -1,20 +1,28 @@
 """Values that stand in for content: unfilled placeholders, filler, and messages of servers, programs and gates.
 
-Detectors decide what a value says by itself: placeholder syntax and filler count anywhere in it, messages only where
-they are all of it but for a site's name. What merely sounds like a message is judged by evidence of the hosts: the same
-words, numbers aside, on several hosts, on pages whose address, title and body terms don't share them.
+Two kinds of evidence are summed. What a value says by itself: placeholder syntax and filler are detected anywhere in
+it and decide alone; of a message, the register of its words is weighed (see register: 1, 0.5 or 0). What the hosts say:
+the same words on several hosts (their names and figures aside), on pages whose address, title and body terms disagree
+with them, made of terms of low information, which nearly never recur in the other texts of their pages. A message is
+a case from a weight of 1 on. So the register decides alone only where a value has no other words; what is half of it,
+or is in a language of which no words are known here, needs the hosts.
 Patterns are held against the consistent form of a value (see glyphs), so odd characters hide nothing.
 """
 
 from __future__ import annotations
 
-import re
+import functools
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spandrel.llm.glyphs import consistent, same_look
+from spandrel.llm.batches import slices
+from spandrel.llm.glyphs import same_look
+from spandrel.llm.register import weights
 from spandrel.tables import settle
 
 # Names that templates give to their fields.
@@ -24,108 +32,70 @@ FILLER_TEXT = "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiu
 LOREM = [w for w in dict.fromkeys(FILLER_TEXT) if w != "in"]
 # Placeholder syntax of template languages; {id} stands for a field's name.
 PLACEHOLDERS = (
-    r"\{\{\{?[^{}]{1,80}\}?\}\}",
-    r"[$#]\{[^{}]{1,80}\}",
-    r"<%[=-]?[^%<>]{1,80}%>",
-    r"<\?(?:php|=)[^?]{1,80}\?>",
-    r"\{%[^%{}]{1,80}%\}",
+    r"\{\{\{?[^{}]+\}?\}\}",
+    r"[$#]\{[^{}]+\}",
+    r"<%[=-]?[^%<>]+%>",
+    r"<\?(?:php|=)[^?]+\?>",
+    r"\{%[^%{}]+%\}",
     r"%%[a-z][\w.]*%%",
     r"@@[a-z][\w.]*@@",
-    r"(?<!\w)__[a-z][\w.]*?__(?!\w)",
-    r"\[\[[^\[\]]{1,60}\]\]",
+    r"(?:^|[^\pL\pN_])__[a-z][\w.]*?__(?:[^\pL\pN_]|$)",
+    r"\[\[[^\[\]]+\]\]",
     r"\{[a-z][\w.]*\}",
     r"\[(?:{id})(?:[_. -]?\w+)*\]",
     r"\[\w+[_.]\w[\w.]*\]",
     r"\[(?:insert|enter|your|add|put|placeholder|replace)\b[^\[\]]*\]",
-    r"(?<![\d%\w])%(?:\d\$)?[sd](?!\w)",
+    r"(?:^|[^%\pL\pN_])%(?:\d\$)?[sd](?:[^\pL\pN_]|$)",
     r"\{\d\}",
     r"\[object object\]",
 )
 # Filler that was never replaced, as all of a value.
 FILLER = (
     r"(?:asdf|qwer|qwerty|foo|bar|blah|bla|test|text|xxx+|tbd|todo|title|dummy)(?:[ ,.-]+(?:asdf|qwer|qwerty|foo|bar|blah|bla|test|text|xxx+|tbd|todo|dummy))+",
-    rf"(?=.*\b(?:{'|'.join(w for w in LOREM if len(w) > 4)})\b)(?:(?:{'|'.join(LOREM)})[ ,.…]*){{2,}}",
+    rf"(?:(?:{'|'.join(LOREM)})[ ,.…]+)*(?:{'|'.join(w for w in LOREM if len(w) > 4)})[ ,.…]+(?:{'|'.join(LOREM)})(?:[ ,.…]+(?:{'|'.join(LOREM)}))*|(?:{'|'.join(LOREM)})[ ,.…]+(?:(?:{'|'.join(LOREM)})[ ,.…]+)*(?:{'|'.join(w for w in LOREM if len(w) > 4)})",
     r"x{3,}|tbd|todo|asdf(?:gh)?|n/a|test ?\d*|foo ?bar",
     r"(?:undefined|null|nan|none|nil)(?:[ |:–—-]+(?:undefined|null|nan|none|nil))*",
     r"untitled(?: (?:document|page|\d+))*|unbenannt(?:es dokument)?|sans titre|sin título|sem título|bez tytułu|без названия|無題",
     r"(?:sample|new|example|default|blank|test|demo) (?:page|title|post|document|heading|description|text|headline)(?: ?\(?\d+\)?)?",
     r"(?:your|the|page|my)? ?(?:meta )?(?:title|headline|heading|description|text|content|copy|tagline|name) (?:goes )?here(?: ?\(max\.? \d+ char\w*\))?",
-    r"(?:insert|enter|add|type|write|put|edit|replace)(?: (?:your|the|a|page|this|some))* (?:short |meta |brief )*(?:title|headline|heading|description|text|content|copy|summary)\b.{0,60}",
-    r"(?:title|headline|heading|text|description|content|copy) placeholder|placeholder(?: (?:title|text|headline|heading|copy|description|page|content))?(?:,? (?:to be|tbc|tbd).{0,40})?",
-    r"this is (?:a|the) (?:placeholder|sample|dummy|default) (?:title|text|description|page|heading|copy)\b.{0,60}",
+    r"(?:insert|enter|add|type|write|put|edit|replace)(?: (?:your|the|a|page|this|some))* (?:short |meta |brief )*(?:title|headline|heading|description|text|content|copy|summary)\b.*",
+    r"(?:title|headline|heading|text|description|content|copy) placeholder|placeholder(?: (?:title|text|headline|heading|copy|description|page|content))?(?:,? (?:to be|tbc|tbd).*)?",
+    r"this is (?:a|the) (?:placeholder|sample|dummy|default) (?:title|text|description|page|heading|copy)\b.*",
     r"(?:meta |page |seo )?(?:title|description|heading) \(max\.? \d+ \w+\)",
-    r"todo:? .{0,40}|tbd:? .{0,40}|fixme:? .{0,40}",
-    r"(?:default|sample|example|dummy) (?:title|headline|heading|description|text|page|content|summary) (?:for|of) .{0,60}",
+    r"(?:todo|tbd|fixme):? (?:write|add|fill|insert|replace|title|description|text|heading|headline|content|copy|summary|meta)\b.*|(?:todo|tbd|fixme): .*",
+    r"(?:default|sample|example|dummy) (?:title|headline|heading|description|text|page|content|summary) (?:for|of) .*",
     r"just another (?:\w+ )?(?:site|blog|website|page)(?: \w+)?",
     r"(?:titel|überschrift|beschreibung|text|inhalt)(?: bitte)? hier (?:eingeben|einfügen|einsetzen)",
+    r"hier (?:könnte|steht|kommt|folgt) .*(?:titel|überschrift|beschreibung|text|inhalt)\b.*",
     r"(?:titre|description|texte|contenu) à (?:compléter|remplir|définir|remplacer)",
     r"(?:insérez|saisissez|entrez|ajoutez) (?:votre|le|un) (?:texte|titre|contenu|description) ici",
-    r"(?:inserte|escriba|introduzca|ingrese|añada) (?:su|el|un|aquí)\b.{0,40}|(?:título|texto|descripción) (?:aquí|de ejemplo|de prueba)",
-    r"(?:insira|digite|escreva|adicione) (?:o|seu|um|aqui)\b.{0,40}|(?:título|texto|descrição) (?:aqui|de exemplo)",
-    r"(?:wpisz|wstaw|dodaj|wprowadź) (?:tytuł|tekst|opis|nagłówek)\b.{0,40}|(?:tytuł|opis|tekst) (?:tutaj|zastępczy)",
-    r"(?:введите|вставьте|добавьте) (?:заголовок|текст|описание|название)\b.{0,40}|(?:заголовок|описание|текст) (?:здесь|по умолчанию)",
+    r"(?:inserte|escriba|introduzca|ingrese|añada) (?:su|el|un|aquí)\b.*|(?:título|texto|descripción) (?:aquí|de ejemplo|de prueba)",
+    r"(?:insira|digite|escreva|adicione) (?:o|seu|um|aqui)\b.*|(?:título|texto|descrição) (?:aqui|de exemplo)",
+    r"(?:wpisz|wstaw|dodaj|wprowadź) (?:tytuł|tekst|opis|nagłówek)\b.*|(?:tytuł|opis|tekst) (?:tutaj|zastępczy)",
+    r"(?:введите|вставьте|добавьте) (?:заголовок|текст|описание|название)\b.*|(?:заголовок|описание|текст) (?:здесь|по умолчанию)",
     r"(?:ここに)?(?:タイトル|見出し|説明|本文|テキスト)を?(?:入力|挿入)(?:してください)?|ダミーテキスト.*",
 )
-_JS = r"(?:javascript|java script|js|scripts?|scripting|cookies)"
-_REASON = r"(?:bad request|unauthorized|payment required|forbidden|(?:page |file |object )?not found|method not allowed|not acceptable|request time-?out|conflict|gone|request entity too large|too many requests|internal server error|server error|not implemented|bad gateway|service (?:temporarily )?unavailable|gateway time-?out|access denied)"
-# Messages of servers, programs and gates, as all of a value.
+# Messages without a thing and its state, as all of a value, and what programs write.
 MESSAGES = (
-    # status codes
-    rf"(?:http(?: status| error)? ?|error:? ?|fehler:? ?|erreur:? ?|błąd:? ?|ошибка:? ?|erro:? ?|status:? ?)?[45]\d\d(?:[ :.,|–—-]+{_REASON}.{{0,60}})?",
-    rf"(?:http error|http status|error|error code|fehler|erreur|błąd|ошибка|erro) ?:? ?[45]\d\d\b.{{0,80}}",
-    r"(?:http error|http status|error|error code|fehler|erreur|błąd|ошибка|erro) ?:? ?#?\d{1,5}(?: \([\w. -]{1,60}\))?",
-    rf"(?:http )?(?:error |status )?{_REASON}(?:[ :.,!|–—-]+(?:error |code )?[45]\d\d)?[.!]?",
-    # nothing found
-    r"(?:oops|ups|sorry|uh oh|hoppla)?[!., …]*(?:(?:that|this|the)(?: requested)? )?(?:page|url|file|site|content|document)(?: you(?: are|'re|’re)? (?:requested|looking for))?(?: (?:was|is|could|can|does))?(?: ?not|n?[’']t)(?: be)? (?:found|exist|available)(?: on this server)?[.!]?(?:[ .–—-]+(?:error )?[45]\d\d)?",
-    r"(?:sorry,? |oops,? |unfortunately,? )?we (?:could|can|did)(?: ?not|n?[’']t) (?:find|locate|load|open) (?:that|this|the|your|any)(?: requested)? (?:page|url|file|site|content)\b.{0,80}",
-    r"the (?:page|file|address|content|site) (?:that )?you (?:requested|are looking for|were looking for|tried to reach|asked for)\b.{0,160}",
-    r"you (?:are not|aren[’']t|do(?: ?not|n[’']t)) (?:allowed|authori[sz]ed|permitted|have (?:the )?permissions?|have access) (?:to )?(?:access|view|open|see|use)?\b.{0,100}",
-    r"the requested (?:url|page|resource|file)\b.{0,60}(?:not|n[’']t|no longer)\b.{0,60}",
-    r"(?:(?:die|diese) )?(?:angeforderte )?seite (?:wurde )?(?:leider )?(?:nicht|existiert nicht)(?: gefunden| verfügbar)?[.!]?|fehler [45]\d\d.{0,60}",
-    r"(?:oups[ !,]*)?(?:la )?page(?: demandée)? (?:introuvable|non trouvée|n[’']existe pas|est introuvable)\b.{0,60}",
-    r"(?:no se (?:ha podido|pudo|puede) encontrar|no encontramos) la página\b.{0,40}|(?:la )?página (?:solicitada )?(?:no (?:encontrada|existe|disponible)|no se encuentra)\b.{0,40}",
-    r"(?:a )?página (?:solicitada )?(?:não (?:encontrada|existe|disponível|foi encontrada))\b.{0,40}",
-    r"nie (?:znaleziono|można (?:wyświetlić|znaleźć)|odnaleziono)(?: żądanej)? strony\b.{0,40}|strona (?:nie została znaleziona|nie istnieje)\b.{0,40}",
-    r"(?:запрошенная |запрашиваемая )?страница (?:не найдена|не существует|удалена|недоступна)\b.{0,60}",
-    r"(?:お探しの|指定された)?(?:ページ|url|ファイル)(?:が|は)(?:見つかりません|存在しません)(?:でした)?[。.]?",
-    # scripts, browsers, cookies
-    rf"(?:please |you (?:need|have|must) (?:to )?)?(?:enable|activate|turn on|allow|switch on|accept) (?:\w+ and )?{_JS}\b.{{0,80}}",
-    rf"{_JS} (?:is|are|must be|has to be|needs to be)?(?: currently)? ?(?:required|disabled|turned off|not enabled|not supported|blocked|switched off|off|needed|enabled)\b.{{0,80}}",
-    rf"(?:this|our) (?:site|page|app|application|website) (?:requires|needs|works best with|uses) {_JS}\b.{{0,80}}",
-    rf"[\w.-]{{0,60}} ?(?:does|do|will|can)(?: ?not|n[’']t) (?:work|run|function|load|be displayed)(?: properly| correctly)? without {_JS}\b.{{0,80}}",
-    rf"{_JS} (?:ist|sind) (?:deaktiviert|ausgeschaltet|erforderlich|nicht aktiviert)\b.{{0,60}}|(?:diese|die) (?:seite|website|anwendung) (?:benötigt|erfordert|braucht) {_JS}\b.{{0,80}}|bitte (?:aktivieren|erlauben) sie {_JS}\b.{{0,60}}",
-    rf"(?:veuillez |merci d[’'])?(?:activez|activer|autoriser|autorisez) {_JS}\b.{{0,60}}|(?:ce site|cette page|cette application) (?:nécessite|requiert|a besoin de) {_JS}\b.{{0,60}}|{_JS} (?:est|doit être) (?:désactivé|requis|activé)\b.{{0,60}}",
-    rf"(?:para (?:ver|usar|continuar)\b.{{0,40}} )?(?:debe |por favor,? |es necesario )?(?:active|activar|habilite|habilitar|activa) {_JS}\b.{{0,60}}|{_JS} (?:está|esta) (?:desactivado|deshabilitado)\b.{{0,60}}",
-    rf"(?:por favor,? |é necessário )?(?:ative|ativar|active|habilite|habilitar) (?:o )?{_JS}\b.{{0,60}}|{_JS} (?:está|esta) (?:desativado|desabilitado)\b.{{0,60}}",
-    rf"(?:aby (?:korzystać|skorzystać|kontynuować)\b.{{0,40}} )?(?:proszę )?(?:włącz|włączyć|uruchom|aktywuj)(?: obsługę)? {_JS}\b.{{0,60}}|{_JS} (?:jest wyłączon[ya]|wymagan[ya])\b.{{0,40}}",
-    rf"(?:для (?:просмотра|работы|продолжения)\b.{{0,40}} )?(?:пожалуйста,? )?включите(?: поддержку)? {_JS}\b.{{0,60}}|{_JS} (?:отключен|отключён|выключен|требуется)\b.{{0,40}}",
-    rf"(?:このサイト(?:は|では|を)?.{{0,30}})?{_JS}を?(?:有効|オン)に(?:して|する).{{0,30}}",
-    r"(?:your|this) (?:web )?browser is (?:not supported|out of date|outdated|no longer supported|unsupported)\b.{0,60}|(?:ihr|dein) browser wird nicht unterstützt\b.{0,40}|(?:votre )?navigateur n[’']est pas (?:pris en charge|supporté)\b.{0,40}|(?:su|tu|seu) navegador no? ?(?:es|é|está)? ?(?:compatible|soportado)\b.{0,40}",
-    r"(?:please )?(?:upgrade|update) your (?:web )?browser\b.{0,60}",
-    # gates
-    r"just a moment ?(?:\.\.\.|…|\.)?|(?:checking|verifying) (?:your|that you|if you|you are)\b.{0,60}|attention required!?.{0,30}|one more step\b.{0,30}|please wait(?: while)?\b.{0,40}|are you (?:a )?(?:human|robot)\??|verify you are (?:a )?human\b.{0,30}|security check\b.{0,30}",
-    r"(?:access (?:to this page )?(?:has been )?|request |you have been )(?:denied|blocked)[.!]?(?: \(.{0,30}\))?|(?:zugriff|accès|acceso|acesso|dostęp|доступ) (?:verweigert|refusé|denegado|negado|zabroniony|запрещён|запрещен)[.!]?|アクセスが拒否されました",
-    # programs
-    r"(?:fatal error|parse error|warning|notice|uncaught|unhandled exception|deprecated|exception)\b ?[:(].{1,200}",
-    r"traceback \(most recent call last\).{0,200}",
-    r"(?:application|runtime|server|database|internal|script|client|system|unexpected) error(?:[: .!–—-]+(?:a |an |in )?.{0,80})?",
-    r"error establishing (?:a |the )?(?:database )?connection\b.{0,40}|(?:the )?(?:server|service|site|system) is (?:temporarily |currently )?(?:unavailable|unable|down|offline|busy|overloaded)\b.{0,60}",
-    r"(?:oops|sorry)?[!, ]*(?:something|that) (?:went|has gone) wrong\b.{0,40}|(?:sorry, )?an? (?:unexpected |unknown |internal )?error (?:has )?(?:occurred|happened)\b.{0,80}",
-    r"this (?:site|page|webpage) can[’']?(?:no)?t be (?:reached|displayed|loaded|opened)[.!]?|(?:unable|failed) to (?:connect|load|open)\b.{0,40}|(?:connection|network) (?:refused|timed out|reset|failed|error)[.!]?",
-    r"(?:under (?:construction|maintenance)|coming soon|site offline|index of /.{0,60}|it works!|welcome to nginx!?|account suspended)[.!]?",
+    r"just a moment ?(?:\.\.\.|…|\.)?|attention required!?|one more step|please wait|are you (?:a )?(?:human|robot)\??|security check",
+    r"(?:error )?(?:not found|forbidden|unauthori[sz]ed|bad gateway|bad request|service unavailable|access denied|too many requests)",
+    r"(?:oops|sorry)?[!, ]*(?:something|that) (?:went|has gone) wrong\b.*",
+    r"you (?:don[’']t|do not) have (?:the )?(?:permissions?|access|rights?)\b.*",
+    r"(?:under (?:construction|maintenance)|coming soon|site offline|index of /.*|it works!|welcome to nginx!?|account suspended)",
+    r"traceback \(most recent call last\).*|(?:fatal error|parse error|warning|notice|deprecated): .* in /\S+(?: on line \d+|:\d+)",
+    r"(?:application|server|runtime|script) error(?::| [–—-]) an? \S+ exception has occurred.*",
 )
-#: Words that messages and stand-ins are made of; a value needs one to be judged by the hosts' evidence.
-HINTS = r"javascript|cookies?\b|browser|navigat\w*r|\berror\b|fehler\b|erreur|ошибка|błąd|not found|introuvable|nicht gefunden|encontrada|не найдена|見つかりません|denied|forbidden|unavailable|blocked|placeholder|goes here|hier e|\bici\b|lorem|undefined|captcha|timed out|exception|robot|permission|default|could ?n[’']t|cannot|requested"
-#: What speaks about a thing in place of being one.
-ABOUT = r"[:?]|\b(?:explained|case study|history|why|how|what|beginners|guide|poem|teach\w*|about|rights|story|tips|lessons|learn\w*|understanding|introduction|other places|again|in print|designers)\b"
-MIN_HOSTS = 5
-#: A site's name after a separator: a host, or up to three words.
-SITE = r"(?:\s*(?:[|–—·]|\s-\s)\s*[\w.-]+(?: [\w.-]+){0,2})"
+#: Hosts a value must stand on, the highest share of its terms' occurrences that recur on their pages, and the least share
+#: of its rows on pages that disagree, for the hosts to be evidence.
+MIN_HOSTS, MAX_RECURRING, MIN_DISAGREEING = 3, 0.4, 0.5
+#: A letter, figure or underscore of any script.
+LETTER = r"[\pL\pN_]"
 
 
 def _alike(pattern: str) -> str:
-    """``pattern``, written in small letters, in the consistent form of the values."""
-    return pattern if pattern.isascii() else same_look(pa.array([pattern]))[0].as_py()
+    """``pattern``, written in small letters, in the consistent form of the values, with words of any script."""
+    pattern = pattern if pattern.isascii() else same_look(pa.array([pattern]))[0].as_py()
+    return pattern.replace(r"\b.*", r"(?:[^\pL\pN_].*)?").replace(r"[\w", r"[\pL\pN_").replace(r"\w", LETTER)
 
 
 def _runs() -> list[str]:
@@ -139,59 +109,103 @@ def _lorem() -> str:
     by_letter: dict[str, list[str]] = {}
     for run in _runs():
         by_letter.setdefault(run[0], []).append(run[1:].replace(" ", r"[ ,.…]+"))
-    return r"\b(?:" + "|".join(f"{letter}(?:{'|'.join(rest)})" for letter, rest in by_letter.items()) + r")\b|^\W*lorem ipsum\W*$"
-
-
-#: A sign that every placeholder has.
-MARKS = r"[\[{<%@_]"
+    return r"(?:^|[^\pL\pN_])(?:" + "|".join(f"{letter}(?:{'|'.join(rest)})" for letter, rest in by_letter.items()) + r")(?:[^\pL\pN_]|$)|^[^\pL\pN_]*lorem ipsum[^\pL\pN_]*$"
 
 
 def placeholders() -> str:
-    return "|".join(x.replace("{id}", "|".join(FIELD_NAMES)) for x in PLACEHOLDERS)
+    return "|".join(_alike(x.replace("{id}", "|".join(FIELD_NAMES))) for x in PLACEHOLDERS)
 
 
 def whole(patterns: tuple[str, ...]) -> str:
     """A pattern of ``patterns`` as all of a value, but for a site's name after or before it."""
     body = "|".join(_alike(x) for x in patterns)
-    return rf"^[\s\"'“”«»*>.…-]*(?:[\w.-]+(?: [\w.-]+){{0,2}} [|–—-] )?(?:{body})[.!…。]*{SITE}?[\s\"'“”«»*<.]*$"
+    word = r"[@.\pL\pN_-]+"
+    return rf"^[\s\"'“”«»*>.…-]*(?:{word}(?: {word}){{0,2}} [|–—-] )?(?:{body})[.!…。]*(?:\s*(?:[|–—·]|\s-\s)\s*{word}(?: {word}){{0,2}})?[\s\"'“”«»*<.]*$"
+
 
+@functools.cache
+def _detectors() -> tuple[tuple[str, str], ...]:
+    return ("placeholder", placeholders()), ("filler", _lorem()), ("filler", whole(FILLER))
 
-def speaks(form: Column) -> Column:
-    """Whether a value, of which this is the consistent form in small letters, shows by itself that it is no content."""
-    return form.rlike(MARKS) & form.rlike(placeholders()) | form.rlike(_lorem()) | form.rlike(whole(FILLER)) | form.rlike(whole(MESSAGES))
+
+def judged(forms: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """What is detected in each value (placeholder, filler or nothing), of which these are the consistent forms in small
+    letters, and its weight as a message by its own words. The time is linear in the length of the texts."""
+    text = pc.fill_null(forms.cast(pa.string()), "")
+    found = pa.nulls(len(text), pa.string())
+    for name, pattern in reversed(_detectors()):
+        found = pc.if_else(pc.match_substring_regex(text, pattern), name, found)
+    phrase = pc.match_substring_regex(text, whole(MESSAGES)).to_numpy(zero_copy_only=False)
+    return found, pa.array(np.where(phrase, 1.0, weights(text)))
 
 
 def _terms(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda x: F.length(x) >= 4)
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}]+"), lambda x: (F.length(x) >= 3) | (F.length(x) >= 2) & (F.octet_length(x) > F.length(x)))
+
+
+def _agrees(terms: Column, page: Column) -> Column:
+    """Whether three of the terms, or over half of them, are the page's; null if there is nothing to compare."""
+    shared = F.size(F.array_intersect(terms, page))
+    return F.when((F.size(terms) > 0) & (F.size(page) > 0), (shared >= 3) | (shared * 2 > F.size(terms)))
 
 
-def stand_ins(values: DataFrame, *also: str) -> DataFrame:
-    """(page_id, field, form) of every value that stands in for content, with its form in small letters, and the columns ``also``.
+def stand_ins(values: DataFrame, *also: str, bodies: DataFrame | None = None) -> DataFrame:
+    """(page_id, field, source) of every value that stands in for content, and the columns ``also``.
 
     ``values`` has page_id, site, url, field, value and others (the page's other texts, for its terms); a list is one row
-    per element. Null, empty and blank values are never listed; neither are values about such things. A null site or url
-    gives no evidence. Nothing is decided by the status of the page.
+    per element. ``bodies`` (page_id, text) are texts of the pages; they are read for the few values that only the hosts
+    speak against. ``source`` is placeholder or filler, message where the register of the words decides alone, message and
+    hosts where both do, and hosts where these decide. Null, empty and blank values are never listed; neither are
+    values about such things. A null site or url gives no evidence. Nothing is decided by the status of the page.
     """
-    small = values.select("page_id", "site", "url", "field", *also, F.lower("value").alias("value"), "others").where("value is not null")
-    forms = consistent(small).where("form <> ''")
-    low = F.col("form")
-    hinted = low.rlike(_alike(HINTS)) & ~low.rlike(ABOUT) & (F.length("form") <= 160)
-    terms = F.array_distinct(_terms(low))
-    page = F.concat(_terms(F.coalesce(F.col("others"), F.lit(""))), _terms(F.coalesce(F.regexp_extract("url", r"^[^:]*://[^/]*/(.*)", 1), F.lit(""))))
+    # A site's own name says nothing, and would hide that sites show the same.
+    host = F.lower(F.coalesce("site", F.lit("")))
+    name = F.regexp_extract(host, r"([^.]+)\.[^.]+$", 1)
+    low = F.when(F.length(host) >= 4, F.replace(F.lower("value"), host, F.lit("@"))).otherwise(F.lower("value"))
+    slug = F.regexp_extract(F.coalesce("url", F.lit("")), r"^[^:]*://[^/]*/(.*)", 1)
+    shown = values.where("value is not null").withColumn("_low", F.when(F.length(name) >= 4, F.replace(low, name, F.lit("@"))).otherwise(low))
+    shown = shown.withColumn("_terms", F.array_distinct(_terms(F.col("_low")))).withColumn("_page", F.array_distinct(F.concat(_terms(F.col("others")), _terms(slug))))
+    # How often a term recurs in the other texts of its pages: what content is made of does, messages hardly.
+    recurring = shown.where("size(_page) > 0").select(F.explode(F.transform("_terms", lambda t: F.struct(t.alias("term"), F.array_contains("_page", t).alias("again")))).alias("x")).groupBy("x.term").agg(F.avg(F.col("x.again").cast("double")).alias("again"))
+    small = shown.select("page_id", "site", "field", *also, F.col("_low").alias("_value"), "_terms", _agrees(F.col("_terms"), F.col("_page")).alias("_agrees"))
+    kept = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in small.drop("_value").schema)
     # Few rows are left: they are written down, so that texts are looked at once.
-    judged = forms.withColumn("verdict", F.when(speaks(low), 2).when(hinted, 1).otherwise(0)).where("verdict > 0")
-    left = settle(judged.select("page_id", "site", "field", *also, "form", "verdict", F.when(F.col("verdict") == 1, F.size(F.array_intersect(terms, page)) * 2 <= F.size(terms)).alias("mismatched")))
+    left = settle(small.mapInArrow(_open, f"{kept}, _form string, _found string, _weight double, _plain boolean"))
     # Words alike on several hosts, names of hosts and numbers aside, on pages that speak of something else.
-    alike = F.regexp_replace(F.regexp_replace(low, r"\b[a-z0-9-]+(?:\.[a-z0-9-]+)+\b", "@"), r"\d+", "#")
-    weighed = left.where("verdict = 1").withColumn("key", alike)
-    by_host = weighed.groupBy("key", "site").agg(F.count(F.lit(1)).alias("n"), F.count_if("mismatched").alias("m"))
-    evidence = by_host.groupBy("key").agg(F.count("site").alias("hosts"), F.sum("n").alias("n"), F.sum("m").alias("m")).where((F.col("hosts") >= MIN_HOSTS) & (F.col("m") * 5 >= F.col("n") * 4)).select("key")
-    backed = weighed.where("mismatched").join(evidence, "key", "left_semi")
-    return left.where("verdict = 2").select("page_id", "field", "form", *also).unionByName(backed.select("page_id", "field", "form", *also))
-
-
-def judge(text: str | None) -> bool:
-    """The detectors' verdict on one value, for tests and small uses; None and blank are no case."""
-    if text is None or not (low := same_look(pa.array([text.lower()]))[0].as_py()):
-        return False
-    return any(re.search(x, low) for x in (placeholders(), _lorem(), whole(FILLER), whole(MESSAGES)))
+    alike = F.regexp_replace(F.regexp_replace("_form", r"[a-z0-9@-]+(?:\.[a-z0-9@-]+)+", "@"), r"\d+", "#")
+    weighed = left.where("_found is null").withColumn("_key", alike)
+    # Rows stored with odd characters, whose terms can't be compared, follow those that aren't.
+    by_host = weighed.groupBy("_key", "site").agg(F.count_if("_plain").alias("plain"), F.count_if(F.col("_plain") & ~F.col("_agrees")).alias("m"), F.first(F.when(F.col("_plain"), F.col("_terms")), True).alias("_terms"))
+    spread = by_host.groupBy("_key").agg(F.count("site").alias("hosts"), F.sum("plain").alias("n"), F.sum("m").alias("m"), F.first("_terms", True).alias("_terms")).where((F.col("hosts") >= MIN_HOSTS) & (F.col("n") > 0) & (F.col("m") >= F.col("n") * MIN_DISAGREEING))
+    of_key = spread.select("_key", F.explode("_terms").alias("term")).join(recurring, "term", "left")
+    evidence = of_key.groupBy("_key").agg(F.avg(F.coalesce("again", F.lit(0.0))).alias("again")).where(F.col("again") <= MAX_RECURRING).select("_key", F.lit(True).alias("_backed"))
+    both = weighed.join(evidence, "_key", "left").where((F.col("_weight") >= 1) | F.col("_backed") & ~F.coalesce("_agrees", F.lit(False)))
+    source = F.when(F.col("_weight") < 1, "hosts").when(F.col("_backed"), "message and hosts").otherwise("message")
+    cases = both.withColumn("source", source)
+    if bodies is not None:
+        cases = settle(cases)
+        doubtful = cases.where("source = 'hosts'").select("page_id", "_key", "_terms").dropDuplicates(["page_id", "_key"])
+        read = bodies.select("page_id", F.col("text").alias("_text")).join(doubtful, "page_id").where(_agrees(F.col("_terms"), F.array_distinct(_terms(F.col("_text"))))).select("page_id", "_key", F.lit("hosts").alias("source"))
+        cases = cases.join(read, ["page_id", "_key", "source"], "left_anti")
+    detected = left.where("_found is not null").select("page_id", "field", F.col("_found").alias("source"), *also)
+    return detected.unionByName(cases.select("page_id", "field", "source", *also))
+
+
+def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows that are or may be cases, with form, what is detected and weight in place of the value."""
+    for batch in batches:
+        for part in slices(batch, "_value"):
+            form = same_look(part.column("_value")).cast(pa.string())
+            found, weight = judged(form)
+            plain = pc.equal(pc.replace_substring_regex(part.column("_value"), r"\s+", ""), pc.replace_substring(form, " ", ""))
+            kept = [i for i, x in enumerate(part.schema.names) if x != "_value"]
+            out = pa.RecordBatch.from_arrays([*(part.column(i) for i in kept), form, found, weight, plain], [*(part.schema.names[i] for i in kept), "_form", "_found", "_weight", "_plain"])
+            shows = pc.and_(pc.greater(pc.binary_length(form), 0), pc.or_(pc.is_valid(found), pc.greater(weight, 0)))
+            yield out.filter(shows)
+
+
+def judge(text: str | None) -> tuple[str | None, float]:
+    """What is detected in one value and its weight as a message, for tests and small uses; (None, 0) for None and blank."""
+    form = same_look(pa.array([text.lower() if text is not None else None], pa.string()))
+    found, weight = judged(form)
+    return found[0].as_py(), weight[0].as_py()
