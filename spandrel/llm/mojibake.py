@@ -13,38 +13,34 @@ from __future__ import annotations
 import functools
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from spandrel.llm import codepages
+from spandrel.llm.codepages import GREEK, RUSSIAN, RUSSIAN_NEVER, SCRIPTS, SIGNS, Script, latin_edits, script_pairs
 from spandrel.llm.glyphs import LOOKALIKES
 
 #: Encodings in which UTF-8 may have been read.
 READ_AS = ("cp1252", "latin-1", "cp1250", "cp1251", "cp1254", "iso8859-2", "iso8859-15", "mac-roman", "cp437", "cp850", "cp852", "cp866", "koi8-r", "gb18030", "big5", "cp932", "euc-kr")
 MULTIBYTE = ("gb18030", "big5", "cp932", "euc-kr")
-#: (written in, read as) where one byte is one letter.
-CYRILLIC_AS_LATIN = (("cp1251", "cp1252"), ("koi8-r", "cp1252"), ("cp1251", "mac-roman"), ("cp866", "cp1252"))
-CYRILLIC_AS_CYRILLIC = (("koi8-r", "cp1251"), ("cp1251", "koi8-r"), ("cp866", "cp1251"), ("cp1251", "cp866"))
+#: (written in, read as) where one byte is one letter, or half of one.
 POLISH_AS_LATIN = (("iso8859-2", "cp1252"), ("cp1250", "cp1252"))
 JAPANESE_AS_LATIN = (("cp932", "cp1252"), ("euc-jp", "cp1252"))
+#: Pairs for which all two Cyrillic letters in a row are looked for, not only frequent ones.
+ALL_CYRILLIC = tuple((w, r) for w in ("cp1251", "koi8-r", "cp866") for r in ("cp1252", "mac-roman") if (w, r) != ("koi8-r", "mac-roman"))
 #: Letters and signs whose garbled forms are looked for.
 REPERTOIRE = "".join(map(chr, [*range(0xA0, 0x180), *range(0x218, 0x21C), *range(0x386, 0x3CF), *range(0x400, 0x460), 0x490, 0x491, *range(0x2010, 0x2040), 0x20AC, 0x2116, 0x2122, 0x221A, *range(0x2080, 0x208A), *range(0x3000, 0x3003), 0x300C, 0x300D, *range(0x3041, 0x3097), *range(0x30A1, 0x30FD), *range(0xFF01, 0xFF5F), 0xFEFF]))
 #: The ideographs of the first level of the Japanese standard, in the order of their codes.
 KANJI = "".join(dict.fromkeys(bytes([a, b]).decode("euc-jp", "ignore") for a in range(0xB0, 0xD0) for b in range(0xA1, 0xFF)))
-# Frequent pairs of letters in Russian.
-RUSSIAN_PAIRS = "ст ен ов но ни на ра ко то ро во го ре ли ер пр ла ан ка ос ва ор та от ол ел ом не по ин ес ны ые ый ий ая их ам ми де ле те за до ве пе ри ос ло ки не об на ть ет ят ют ие ой ых ча ша ши жи уз го кн иг ти иц ус из ши ме ль си ся же ту ск оч ог ед ле со ав ат ад се зд уд ря ря ду му лу бу ку".split()
 # Pairs of letters that Polish has and the languages written with the garbled letters haven't.
 POLISH_PAIRS = "ięc ięk ięd ięt ięż ięs ięć pię ęk ęś ęż ędz ęg ęb rzę czę szę ęz ąc ąz ąd ąt ąk ąs ąż ąp ąb cią ają łą łę ść śc śl śn śm śp św śr śk ąś źr źd źn ćw ńc ńs żn żd ża żó ży że żo łó ło ła ły łe łk łk ół ał ył iał ąć yć óć eć".split()
 
 _CONTROL = re.compile("[\x80-\x9f]")
 _HIGH = re.compile("[^\x00-\x7f]+")
-_CYRILLIC = re.compile("[Ѐ-џ]{2,}")
-_ALL_HIGH = re.compile("(?<![A-Za-z])[À-ÿ¨¸†-›ŒœŠšŸŽžƒˆ˜\x80-\x9f]{3,}(?![A-Za-z])")
 _INVERTED = re.compile("(?<![Ѐ-џ])[а-яё][А-ЯЁ]{2,}")
-#: What Russian never has: й after a consonant, a sign after a vowel or at the start, a hard sign but before е, ё, ю, я.
-_NEVER = re.compile("[бвгджзклмнпрстфхцчшщ]й|[аеёиоуыэюя][ьъ]|(?<![Ѐ-џ])[ьъы]|ъ(?![еёюя])")
 _KANA = re.compile("[぀-ヿ]")
 
 
@@ -98,14 +94,19 @@ def automaton() -> ahocorasick.Automaton:
             if codec in MULTIBYTE and len(data) == 3:  # its bytes pair up with those of what stands beside it
                 add(_read(data[:2], codec), ("utf-8", codec), 1)
                 add(_read(data[1:], codec), ("utf-8", codec), 1)
-    for pair in CYRILLIC_AS_LATIN:
+    for pair in ALL_CYRILLIC:
         for a in map(chr, range(0x410, 0x450)):
             for b in map(chr, range(0x430, 0x450)):
                 add(_read((a + b).encode(pair[0]), pair[1]), pair)
-    for pair in CYRILLIC_AS_CYRILLIC:
-        for two in set(RUSSIAN_PAIRS):
-            for form in (two, two.capitalize(), two.upper()):
-                add(_read(form.encode(pair[0]), pair[1]), pair)
+    for script in SCRIPTS:
+        for pair in script_pairs(script):
+            for two in script.pairs:
+                for form in (two, two.capitalize(), two.upper()):
+                    add(codepages.garbled(form, *pair), pair)
+    for pair, signs in sign_pairs():
+        for figure in "0123456789":
+            for sign in signs:
+                add(f"{figure} {sign}", pair)
     for pair in POLISH_AS_LATIN:
         for seq in set(POLISH_PAIRS):
             for form in (seq, seq.capitalize(), seq.upper()):
@@ -134,26 +135,40 @@ def restore(text: str | None) -> tuple[bool, str | None]:
     if text is None or text.isascii():
         return False, text
     lost = "�" in text or _CONTROL.search(text) is not None
-    hit, now = False, _LONE.sub(lambda m: _LONE_SIGNS[m[0]], text)
-    hit = now != text
-    for turn in range(4):  # garbled more than once, as UTF-8
-        again, now = _pass(now, turn == 0)
+    hit, now = False, text
+    for _ in range(4):  # garbled more than once, as UTF-8
+        again, now = _pass(now, _utf8_edits)
         if not again:
             break
         hit = True
-    return hit or lost, now
+    again, now = _pass(now, _letter_edits)
+    return hit or again or lost, now
+
+
+Hit = tuple[int, int, tuple[tuple[str, str], ...]]
+Edit = tuple[int, int, str]
 
 
-def _pass(text: str, letters_too: bool) -> tuple[bool, str]:
+def _hits(text: str, runs: list[tuple[int, int]]) -> list[Hit]:
+    """Where garbled sequences stand: every sequence has a character of a run, and at most two beside it."""
+    find = automaton().iter
+    return [(end - n + 1, end + 1, of) for a, b in runs for end, (n, of) in find(text, max(0, a - 2), min(len(text), b + 1))]
+
+
+def _pass(text: str, work: Callable[[str, list[tuple[int, int]], list[Hit]], tuple[bool, list[Edit]]]) -> tuple[bool, str]:
+    """Whether ``work`` finds anything garbled, and the text with its edits; everything else stays as it is."""
     runs = [m.span() for m in _HIGH.finditer(text)]
-    find, hits = automaton().iter, []
-    for a, b in runs:  # every sequence has a character of a run, and at most one beside it
-        hits += [(end - n + 1, end + 1, of) for end, (n, of) in find(text, max(0, a - 1), min(len(text), b + 1))]
-    if not hits:
-        return False, text
-    edits: list[tuple[int, int, str]] = []
-    pairs = {p for _, _, of in hits for p in of}
-    at, own = 0, {}
+    found, edits = work(text, runs, _hits(text, runs))
+    out, at = [], 0
+    for a, b, new in sorted(edits):
+        if a >= at:
+            out += [text[at:a], new]
+            at = b
+    return found, "".join([*out, text[at:]])
+
+
+def _utf8_edits(text: str, runs: list[tuple[int, int]], hits: list[Hit]) -> tuple[bool, list[Edit]]:
+    at, own, edits = 0, {}, []
     for h in sorted((h for h in hits if h[2][-1][0] == "utf-8"), key=lambda h: h[0]):  # the pairs are in order, utf-8 last
         while runs[at][1] <= h[0]:
             at += 1
@@ -161,19 +176,29 @@ def _pass(text: str, letters_too: bool) -> tuple[bool, str]:
             own.setdefault(at, []).append(h)
     for k, of in own.items():
         edits += _utf8_run(text, *runs[k], of)
-    if not edits and letters_too:
-        for group, work in ((JAPANESE_AS_LATIN, _japanese), (CYRILLIC_AS_LATIN, _cyrillic_as_latin), (CYRILLIC_AS_CYRILLIC, _cyrillic_as_cyrillic), (POLISH_AS_LATIN, _polish)):
-            # Of several pairs the one that restores the most.
-            if edits := max((work(text, pair, hits) for pair in group if pair in pairs), key=lambda e: sum(b - a for a, b, _ in e), default=[]):
-                break
-    if not edits:
-        return False, text
-    out, at = [], 0
-    for a, b, new in sorted(edits):
-        if a >= at:
-            out += [text[at:a], new]
-            at = b
-    return True, "".join([*out, text[at:]])
+    return bool(edits), edits
+
+
+def _letter_edits(text: str, runs: list[tuple[int, int]], hits: list[Hit]) -> tuple[bool, list[Edit]]:
+    """Of single-byte pairs the one whose restored words are likeliest. Where languages tie, nothing is restored."""
+    pairs = {p for _, _, of in hits for p in of if p[0] != "utf-8"}
+    for pair in JAPANESE_AS_LATIN:
+        if pair in pairs and (edits := _japanese(text, pair, hits)):
+            return True, edits
+    ranked: list[tuple[float, str, list[Edit]]] = []
+    for script in SCRIPTS:
+        for pair in script_pairs(script):
+            if pair in pairs and (edits := _script_edits(text, script, pair, hits)):
+                ranked.append((script.score(" ".join(new for _, _, new in edits)) * sum(b - a for a, b, _ in edits) / 2 ** sum(x in codepages.RARE - {"koi8-r", "cp866"} for x in pair), script.name, edits))
+    if ranked:
+        best = max(ranked, key=lambda x: x[0])
+        tied = any(x[1] != best[1] and x[0] >= 0.9 * best[0] for x in ranked)
+        return True, [] if tied else best[2]
+    signs = _signs(text, hits)
+    if edits := max((_polish(text, pair, hits) for pair in POLISH_AS_LATIN if pair in pairs), key=lambda e: sum(b - a for a, b, _ in e), default=[]):
+        return True, edits
+    found, edits = latin_edits(text)
+    return found or bool(signs), edits or signs
 
 
 def _utf8_run(text: str, start: int, end: int, hits: list) -> list[tuple[int, int, str]]:
@@ -193,7 +218,7 @@ def _utf8_run(text: str, start: int, end: int, hits: list) -> list[tuple[int, in
             right = data[: e.start].decode("utf-8") + "�"
         if len(right) < len(data) and right != run and _fits(text, start, end, right, codec):
             return [(start, end, right)]
-    # The run as a whole is no UTF-8: only long sequences in it, or ones that make up most of it.
+    # The run as a whole is no UTF-8: the matched sequences in it alone, whatever they touch.
     spans, at = [], -1
     for a, b, of in sorted(hits, key=lambda h: (h[0], -h[1])):
         read = [r for w, r in of if w == "utf-8" and r not in MULTIBYTE]
@@ -201,14 +226,16 @@ def _utf8_run(text: str, start: int, end: int, hits: list) -> list[tuple[int, in
             spans.append((a, b, read[0]))
             at = b
     covered = sum(b - a for a, b, _ in spans)
-    if spans and (covered >= 0.6 * (end - start) and len(spans) >= 2 or any(b - a >= 3 for a, b, _ in spans)):
-        out = []
-        for a, b, codec in spans:
-            data = _bytes(text[a:b], codec)
-            if data:
-                out.append((a, b, data.decode("utf-8", "replace")))
-        return out
-    return []
+    sure = spans and (covered >= 0.6 * (end - start) and len(spans) >= 2 or any(b - a >= 3 for a, b, _ in spans))
+    out = []
+    for a, b, codec in spans:
+        data = _bytes(text[a:b], codec)
+        right = data.decode("utf-8", "replace") if data else None
+        if right and covered < 0.6 * (end - start) and all("㐀" <= c <= "鿿" for c in right):
+            continue  # a lone ideograph beside what is no UTF-8
+        if right and (sure or text[a] in "ÃÂ" and not text[b - 1].isspace() and text[b : b + 1].isalpha() and _fits(text, a, b, right, codec)):
+            out.append((a, b, right))
+    return out
 
 
 def _visible(ch: str) -> bool:
@@ -268,75 +295,96 @@ def _quoted(before: str, closing: str) -> bool:
 
 
 def _japanese(text: str, pair: tuple[str, str], hits: list) -> list[tuple[int, int, str]]:
-    edits = []
+    edits, own = [], [(a, b) for a, b, of in hits if pair in of]
     for m in re.finditer(r"[^\x00-\x7f](?:[^\s]*[^\x00-\x7f])?[\x40-\x7e]?", text):
+        if not any(m.start() < b and a < m.end() for a, b in own):
+            continue
         for end in (m.end(), m.end() - 1):
             data = _bytes(text[m.start() : end], pair[1])
             try:
                 right = data.decode(pair[0]) if data else ""
             except UnicodeDecodeError:
                 continue
-            if len(_KANA.findall(right)) + len(re.findall("[一-鿿]", right)) >= max(2, len(right) // 2) and _KANA.search(right):
+            if len(_KANA.findall(right)) + len(re.findall("[一-鿿]", right)) >= max(3 if re.search("[A-Za-z]", right) else 2, len(right) // 2) and _KANA.search(right):
                 edits.append((m.start(), end, right))
                 break
     return edits
 
 
-def _cyrillic_as_latin(text: str, pair: tuple[str, str], hits: list) -> list[tuple[int, int, str]]:
-    """Words made of nothing but accented letters, at least one of three letters."""
-    edits, sure = [], False
-    for m in re.finditer(r"[^\x00-\x7f]+", text):
-        near = text[max(0, m.start() - 1) : m.start()] + text[m.end() : m.end() + 1]
-        if re.search("[A-Za-z]", near) or not any(map(str.isalpha, m[0])):
-            continue
-        data = _bytes(m[0], pair[1])
-        right = data.decode(pair[0], "replace") if data else ""
-        if re.fullmatch("[Ѐ-џ№–—’«» ]+", right):
-            edits.append((m.start(), m.end(), right))
-            sure |= bool(_ALL_HIGH.search(m[0])) and bool(re.search("[а-яё]{2}|[А-Я]{3}", right)) and _score(right) >= 0.25
-    return edits if sure and sum(len(re.findall("[Ѐ-џ]", new)) for _, _, new in edits) >= 4 else []
-
-
-def _score(text: str) -> float:
-    """Share of the letter pairs of Cyrillic words that are frequent ones in Russian."""
-    low, total, good = text.lower(), 0, 0
-    for m in _CYRILLIC.finditer(low):
-        for i in range(len(m[0]) - 1):
-            total += 1
-            good += m[0][i : i + 2] in _PAIRS
-    return good / total if total else 0.0
-
-
-_PAIRS = frozenset(RUSSIAN_PAIRS)
+def _matched(text: str, words: list[Edit], own: list[tuple[int, int]]) -> list[Edit]:
+    """Those of ``words`` in which a sequence matches, and those that only such words enclose: none but signs, figures
+    and space stand between, or between them and the end of the text."""
+    sure = [any(a < b2 and a2 < b for a2, b2 in own) for a, b, _ in words]
+    out: list[Edit] = []
+    for i, word in enumerate(words):
+        if not sure[i]:
+            left = next((words[j][1] for j in range(i - 1, -1, -1) if sure[j]), None)
+            right = next((words[j][0] for j in range(i + 1, len(words)) if sure[j]), None)
+            before = text[0 if left is None else left : word[0]]
+            behind = text[word[1] : len(text) if right is None else right]
+            if left is None and right is None or re.search("[A-Za-z]", before) or re.search("[A-Za-z]", behind):
+                continue
+        out.append(word)
+    return out
 
 
-def _cyrillic_as_cyrillic(text: str, pair: tuple[str, str], hits: list) -> list[tuple[int, int, str]]:
-    """Words that have small and capital letters the wrong way round, or read as Russian only when restored."""
-    edits, before, after = [], [], []
-    inverted = bool(_INVERTED.search(text))
-    for m in re.finditer(r"[^\x00-\x7f]+", text):
+def _script_edits(text: str, script: Script, pair: tuple[str, str], hits: list[Hit]) -> list[Edit]:
+    """Words that aren't likely as they stand and are words of ``script`` when restored."""
+    own = [(a, b) for a, b, of in hits if pair in of]
+    words, stood = [], []
+    for m in _HIGH.finditer(text):
         if re.search("[A-Za-z]", text[max(0, m.start() - 1) : m.start()] + text[m.end() : m.end() + 1]):
-            continue  # look-alike letters within a Latin word
-        if not any(map(str.isalpha, m[0])):
-            continue
-        data = _bytes(m[0], pair[1])
-        right = data.decode(pair[0], "replace") if data else ""
-        if not re.fullmatch("[Ѐ-џ№–—…’«» ]+", right):
-            continue
-        edits.append((m.start(), m.end(), right))
-        before.append(m[0])
-        after.append(right)
-    if not edits:
-        return []
-    a, b = " ".join(before), " ".join(after)
-    if _INVERTED.search(b):
+            continue  # within a Latin word
+        if any(map(str.isalpha, m[0])):
+            stood.append("".join(c for c in unicodedata.normalize("NFKC", m[0]) if not c.isascii() and not c.isspace() and unicodedata.category(c) not in ("Cf", "Mn", "Pd", "Pi", "Pf", "Po", "Ps", "Nd")))
+        data = codepages.encoded(m[0], pair[1])
+        right = codepages.decoded(data, pair[0]) if data else ""
+        if script.only.fullmatch(right):
+            words.append((m.start(), m.end(), right))
+    words = _matched(text, words, own)
+    new = " ".join(x for _, _, x in words)
+    letters = len(re.findall(f"[{script.letters}]", new))
+    if not words or any(a.islower() and b.isupper() for a, b in zip(new, new[1:], strict=False)):
         return []
-    letters = len(re.findall("[Ѐ-џ]", b))
-    if letters >= 4 and _NEVER.search(a.lower()) and not _NEVER.search(b.lower()) and _score(b) >= 0.3:
-        return edits
-    if inverted and _score(b) >= 0.2 or letters >= 4 and _score(a) < 0.25 and _score(b) >= max(0.34, 1.5 * _score(a)):
-        return edits
-    return []
+    as_is = " ".join(filter(None, stood))
+    stands = next((x for x in SCRIPTS if len(re.findall(f"[{x.letters}]", as_is)) >= 0.8 * len(as_is.replace(" ", ""))), None) if as_is else None
+    after = script.score(new)
+    if stands is None:
+        # Words of nothing but accented letters and signs, at least one of three.
+        return words if letters >= 4 and any(sum(map(_visible, text[a:b])) >= max(2, 0.6 * (b - a)) and re.search(f"[{script.letters}]{{3}}", x) and script.score(x) >= 0.25 for a, b, x in words) else []
+    before = stands.score(as_is)
+    if stands is RUSSIAN and script is RUSSIAN:
+        a = " ".join(text[x:y] for x, y, _ in words)
+        if letters >= 4 and RUSSIAN_NEVER.search(a.lower()) and not RUSSIAN_NEVER.search(new.lower()) and after >= 0.3 or _INVERTED.search(text) and after >= 0.2:
+            return words
+    if stands is not script:  # one script in the place of another: only if no word is likely as it stands
+        return words if letters >= 4 and before < 0.2 and after >= 0.5 and codepages.NEVER[stands.name].search(as_is.lower()) and not codepages.NEVER[script.name].search(new.lower()) else []
+    return words if letters >= 4 and before < 0.25 and after >= max(0.34, 1.5 * before) else []
+
+
+def sign_pairs() -> list[tuple[tuple[str, str], str]]:
+    """For each pair of single-byte encodings what signs behind figures become, if that is no sign and no word."""
+    out = []
+    for w in dict.fromkeys(x for of in (codepages.WESTERN, codepages.CENTRAL, codepages.TURKISH, RUSSIAN.written, GREEK.written) for x in of):
+        for r in codepages.READ:
+            signs = "".join(bad for sign in SIGNS if (bad := codepages.garbled(sign, w, r)) and bad != sign and (unicodedata.category(bad) in ("Sk", "Lm") or bad in "њЊџЏћЋђЂљЉ"))
+            if r != w and signs:
+                out.append(((w, r), signs))
+    return out
+
+
+def _signs(text: str, hits: list[Hit]) -> list[Edit]:
+    """Signs behind figures, where all pairs that match agree: a degree before its scale, another before no letter."""
+    meant: dict[tuple[int, int], set[str]] = {}
+    for a, b, of in hits:
+        if b - a == 3 and text[a].isdigit() and text[a + 1] == " ":
+            for w, r in of:
+                if w == "utf-8":
+                    continue
+                right = codepages.decoded(codepages.encoded(text[b - 1], r) or b"?", w)
+                if right == "°" and re.match(r"[CF]\b", text[b:]) or right == "€" and not text[b : b + 1].isalpha():
+                    meant.setdefault((b - 1, b), set()).add(right)
+    return [(a, b, next(iter(signs))) for (a, b), signs in meant.items() if len(signs) == 1]
 
 
 _POLISH_SYMBOL = re.compile("(?<=[A-Za-zó])[±³¶¼¿¹£¦¬¯](?=[A-Za-zóêæñ])|(?<![\\w±³¶¼¿])[³¶¼¦¯¹](?=[a-zó]{2})|(?<=[a-z]{2})[±¹³¶](?![\\w])|(?<=[a-z])[±¶](?!\\w)")
@@ -354,14 +402,21 @@ def _polish(text: str, pair: tuple[str, str], hits: list) -> list[tuple[int, int
         sure = bool(own) and not other and _polish_likely(text, pair)
     if not sure:
         return []
-    edits = []
+    own = [(a, b) for a, b, of in hits if pair in of]
+    words, others = [], False
     for m in re.finditer(r"[^\W_\d]*[^\x00-\x7f][^\s\x00-\x40]*", text):
         data = _bytes(m[0], pair[1])
         right = data.decode(pair[0], "replace") if data else m[0]
-        left = right.translate(_POLISH_LETTERS)
-        if right != m[0] and left.isascii():
-            edits.append((m.start(), m.end(), right))
-    return edits
+        if not re.search("[A-Za-z]", right) or not right.translate(_POLISH_LETTERS).isascii():
+            others |= any(map(str.isalpha, m[0]))
+        elif right != m[0]:
+            words.append((m.start(), m.end(), right))
+    edited = {(a, b) for a, b, _ in words}
+    if any(codepages.odd(m[0])[1] for m in re.finditer(r"[^\W_\d]*[^\x00-\x7f][^\s\x00-\x40]*", text) if m.span() not in edited):
+        return []  # what is wrong there, this pair doesn't explain
+    sure = [any(a < y and x < b for x, y in own) for a, b, _ in words]
+    # Words without a match only where all words of the text are Polish, or between matched ones.
+    return [w for i, w in enumerate(words) if sure[i] or not others or any(sure[:i]) and any(sure[i:])]
 
 
 def _polish_likely(text: str, pair: tuple[str, str]) -> bool:
@@ -370,9 +425,6 @@ def _polish_likely(text: str, pair: tuple[str, str]) -> bool:
     return bool(right) and not re.search("[^\x00-\x7fąćęłńóśźżĄĆĘŁŃÓŚŹŻ–’„”…°№ ]", right) and bool(re.search("|".join(POLISH_PAIRS), right.lower()))
 
 
-#: A sign by itself in the place of another: the euro of cp1251 read as cp1252, the degree of koi8-r read as cp1251.
-_LONE_SIGNS = {"ˆ": "€", "њ": "°"}
-_LONE = re.compile(r"(?<=\d )ˆ(?![^\W\d])|(?<=\d )њ(?=[CF]\b)")
 _MEMO_LIMIT = 200_000
 
 

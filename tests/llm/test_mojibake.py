@@ -2,7 +2,7 @@ import pytest
 from hypothesis import assume, given, settings
 from hypothesis import strategies as st
 
-from spandrel.llm import mojibake
+from spandrel.llm import codepages, mojibake
 from spandrel.llm.mojibake import restore
 
 GOOD = ["Öffnungszeiten für Gäste – Küche", "Élèves près de l’été, n° 3", "Łódź: święta i żaglówki", "Проверено читателями в прошлом году", "古い船の作り方 第12回", "Señores y años – 20 €"]
@@ -71,3 +71,47 @@ def test_frames(spark):
     assert {(r.id, r.restored) for r in mojibake.garbled(df).collect()} == {(1, "été"), (6, "été")}
     assert {r.id: (r.garbled, r.restored) for r in mojibake.repaired(df).collect()} == {1: (True, "été"), 2: (False, "été"), 3: (False, None), 4: (False, ""), 5: (False, "plain"), 6: (True, "été")}
     assert mojibake.garbled(df.limit(0)).count() == 0
+
+
+SAMPLES = {"ru": "Проверено читателями в прошлом году", "el": "Οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια", "cs": "Příliš žluťoučký kůň úpěl ďábelské ódy", "tr": "Bütün insanlar özgür doğar, akıl ve vicdan sahibidirler, kardeşçe yaşar", "pl": "Więcej gałęzi, książki i świeże jabłka", "fr": "Élèves près de la forêt, goûter à l'été, garçon", "de": "Öffnungszeiten für Gäste, Grüße aus der Küche", "es": "Señores y años, corazón de niño, pingüino"}
+RIGHT = ["Tous à l’été, très tôt", "Książki i gałęzie", "Οι άνθρωποι και η θάλασσα", "Северные мосты и реки", "£5 ±3 € 20 °C", "Käse und Brot", "古い船"]
+
+
+def single_byte_pairs(language):
+    written = {"ru": codepages.RUSSIAN.written, "el": codepages.GREEK.written}.get(language) or codepages.LATIN[language][1]
+    for w in written:
+        for r in codepages.READ:
+            bad = codepages.garbled(SAMPLES[language], w, r)
+            if w != r and bad is not None and bad != SAMPLES[language]:
+                yield w, r, bad
+
+
+@pytest.mark.parametrize("language", sorted(SAMPLES))
+def test_all_single_byte_pairs(language):
+    """Every pair's result is found but where letters are lost or both are letters of Greek and Russian; most are restored."""
+    assert restore(SAMPLES[language]) == (False, SAMPLES[language])
+    got = [(w, r, restore(bad)) for w, r, bad in single_byte_pairs(language)]
+    windows = [x for x in got if not codepages.RARE & set(x[:2]) and "cp866" not in x[:2] and not {"cp1253", "iso8859-7"} & set(x[:2]) - set(codepages.GREEK.written if language == "el" else ())]
+    assert sum(found for _, _, (found, _) in got) >= 0.9 * len(got)
+    assert sum(text == SAMPLES[language] for _, _, (_, text) in got) >= 0.7 * len(got)
+    assert sum(text == SAMPLES[language] for _, _, (_, text) in windows) >= 0.7 * len(windows)
+
+
+@pytest.mark.parametrize("pair", [("ru", "cp1251", "cp1252"), ("ru", "koi8-r", "cp1252"), ("pl", "cp1250", "cp1252"), ("el", "cp1253", "cp1252"), ("cs", "cp1250", "cp1252"), ("tr", "cp1254", "cp1252")])
+@pytest.mark.parametrize("right", RIGHT)
+def test_text_outside_of_matches_stays(pair, right):
+    """Whatever is beside it, correct text comes back byte for byte; where it makes the case undecidable, so does all."""
+    language, written, read = pair
+    for text in (right + " / " + codepages.garbled(SAMPLES[language], written, read), codepages.garbled(SAMPLES[language], written, read) + " / " + right):
+        _, now = restore(text)
+        assert right in now
+
+
+def test_utf8_beside_correct_letters():
+    assert restore("café Ã©à") == (True, "café éà")
+
+
+def test_two_restorations_leave_the_text():
+    assert restore("Käse crème") == (False, "Käse crème")
+    found, edits = codepages.latin_edits("SeĄores y aĄos, corazón")
+    assert found and edits == []
