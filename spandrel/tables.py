@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,10 +39,12 @@ def load(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a local one where that is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Only where the master is local (tests) is one made if it is unset."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spandrel-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -48,3 +53,20 @@ def settle(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder, so that it is computed once and outlives its executors."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder: compressed, and read by columns. It is removed when the driver ends."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}.parquet"
+    df.write.parquet(path)
+    atexit.register(_remove, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:  # noqa: BLE001, S110
+        pass  # the session has ended before
