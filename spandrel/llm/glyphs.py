@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spandrel.llm.batches import slices
+from spandrel.tables import written
 
 # Letters of other scripts beside the Latin letters they look like.
 LOOKALIKES = (
@@ -29,7 +30,7 @@ LOOKALIKES = (
     ("αγινορυχϲ", "ayivopuxc"),
     # Armenian, and Latin letters of odd shape
     ("օսոհցյ", "ounhgj"),
-    ("ɑɡıƖǀ", "agill"),
+    ("ɑɡƖǀ", "agll"),
     # hyphens that do and don't allow a line break
     ("\u2010\u2011", "--"),
 )
@@ -216,7 +217,8 @@ def same_looking(values: DataFrame) -> DataFrame:
     store the very value of the first aren't listed. Null, blank and invisible values form no group.
     """
     values = values.select("field", "id", "value")
-    forms = distinct_forms(values)
-    firsts = forms.groupBy("field", "form").agg(F.min(F.struct("low", "value")).alias("first"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    others = forms.join(firsts, ["field", "form"]).where("value <> first.value").select("field", "value", F.col("first.low").alias("first_id"))
+    forms = written(distinct_forms(values))
+    firsts = forms.groupBy("field", "form").agg(F.min("low").alias("first_id"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
+    # Each stored value has its own smallest id, so the first one's is told by it.
+    others = forms.join(firsts, ["field", "form"]).where("low <> first_id").select("field", "value", "first_id")
     return values.join(others, ["field", "value"]).select("field", "first_id", "id")

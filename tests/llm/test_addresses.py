@@ -2,7 +2,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from spandrel.llm.addresses import canonical_address, collapse_addresses, repeated_addresses
+from spandrel.llm.addresses import _survivors, canonical_address, collapse_addresses, repeated_addresses, with_built_in
 
 PLAIN = "https://h.example/a/caf%C3%A9/x-1?id=1&q=old%20town"
 SPELLINGS = [
@@ -74,3 +74,27 @@ def test_hot_address_long_address_empty_table_and_clashes(spark):
     clash = hot.selectExpr("*", "1 as n", "'z' as address", "2 as first_id", "3 as low")
     assert repeated_addresses(clash).columns == ["kind", "first_id", "copy_id"] and repeated_addresses(clash).count() == 2999
     assert repeated_addresses(hot.limit(0)).count() == 0 and collapse_addresses(hot.limit(0)).count() == 0
+
+
+ODD = ["http://h/%FF", "http://h/%", "http://u@h/", "http://[::1]/", "http://h%2Eexample/", "http://h/%EF%BF%BD", "http://h:x/", "http://h/?a=%", "http://h/\u2028x ", "\x1chttp://h/a*b~c/%7E%2a", "http://h/a+b?c+d=e+f&&=&x", "HTTP://H:080./", "http://h/a/../../b/./%2e%2E/c"]
+
+
+def test_built_in_expressions_agree(spark):
+    texts = [PLAIN, *SPELLINGS, *OTHERS, *ODD]
+    rows = with_built_in(spark.createDataFrame([(x,) for x in texts], "url string")).withColumnRenamed("easy", "b").collect()
+    assert all(r.b is None or r.b == canonical_address(r.url) for r in rows)
+    assert sum(r.b is not None for r in rows) >= len(texts) - 8
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet="hH:/.?#&=%+ *~aé2eE", max_size=25), min_size=20, max_size=40))
+def test_built_in_expressions_agree_on_anything(spark, tails):
+    texts = [f"http://h{x}" for x in tails]
+    rows = with_built_in(spark.createDataFrame([(x,) for x in texts], "url string")).withColumnRenamed("easy", "b").collect()
+    assert [r for r in rows if r.b is not None and r.b != canonical_address(r.url)] == []
+
+
+def test_addresses_are_canonicalised_once(spark):
+    df = spark.createDataFrame([("pages", 1, PLAIN), ("pages", 2, PLAIN + "#x")], "kind string, id bigint, url string")
+    plan = lambda x: x._jdf.queryExecution().executedPlan().toString()
+    assert plan(_survivors(df)).count("ArrowEvalPython") == 1 and "ArrowEvalPython" not in plan(repeated_addresses(df))

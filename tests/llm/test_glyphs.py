@@ -80,3 +80,13 @@ def test_groups(spark):
 def test_a_hot_value(spark, n):
     df = spark.range(n).selectExpr("'t' as field", "id", "if(id % 2 = 0, 'a b', 'a　b') as value")
     assert glyphs.same_looking(df).count() == n // 2
+
+
+def test_values_are_brought_to_their_form_once(spark):
+    df = spark.createDataFrame([("t", 1, "a"), ("t", 2, "а")], "field string, id bigint, value string")
+    plan = lambda x: x._jdf.queryExecution().executedPlan().toString()
+    assert plan(glyphs.distinct_forms(df)).count("MapInArrow") == 1 and "MapInArrow" not in plan(glyphs.same_looking(df))
+
+
+def test_dotless_i_is_seen():
+    assert len(set(glyphs.same_look(pa.array(["ısı", "isi"])).to_pylist())) == 2
