@@ -67,13 +67,28 @@ class Script:
     def only(self) -> re.Pattern:
         return re.compile(f"[{self.letters}№–—…’«» ]+")
 
+    @functools.cached_property
+    def three(self) -> re.Pattern:
+        return re.compile(f"[{self.letters}]{{3}}")
+
+    @functools.cached_property
+    def frequent(self) -> frozenset[str]:
+        return frozenset(self.pairs)
+
+    @functools.cached_property
+    def letter(self) -> re.Pattern:
+        return re.compile(f"[{self.letters}]")
+
+    def count(self, text: str) -> int:
+        return len(self.letter.findall(text))
+
     def score(self, text: str) -> float:
         """Share of the pairs of letters of its words that are frequent."""
         low, total, good = bare(text.lower()) if self.name == "el" else text.lower(), 0, 0
         for m in self.word.finditer(low):
             for i in range(len(m[0]) - 1):
                 total += 1
-                good += m[0][i : i + 2] in self.pairs
+                good += m[0][i : i + 2] in self.frequent
         return good / total if total else 0.0
 
 
@@ -119,8 +134,9 @@ def garbled(text: str, written: str, read: str) -> str | None:
         return None
 
 
-def script_pairs(script: Script) -> list[tuple[str, str]]:
-    return [(w, r) for w in script.written for r in READ + (("iso8859-5",) if script is RUSSIAN else ()) if r != w and garbled("".join(script.pairs[:9]), w, r) != "".join(script.pairs[:9])]
+@functools.cache
+def script_pairs(script: Script) -> tuple[tuple[str, str], ...]:
+    return tuple((w, r) for w in script.written for r in READ + (("iso8859-5",) if script is RUSSIAN else ()) if r != w and garbled("".join(script.pairs[:9]), w, r) != "".join(script.pairs[:9]))
 
 
 @functools.cache
@@ -152,6 +168,10 @@ _WORD = re.compile(r"(?:[A-Za-z]|[^\x00-\x7f\s])+")
 _HARMLESS = frozenset("’‘ʼ·‧–—‑‐…“”„«»‹›™®©²³¹°½¼¾×÷№€\xad​‌‍⁠﻿′″")
 
 
+#: Anything but small letters of western languages and such signs.
+_UNUSUAL = re.compile(f"[^\x00-\x7f\xa0{''.join(sorted(MIXED - set('ªº')))}{''.join(sorted(_HARMLESS - set('²³¹½¼¾')))}]")
+
+
 @functools.cache
 def likely(marks: frozenset[str]) -> bool:
     """Whether some language in Latin script has all these letters (small ones)."""
@@ -185,6 +205,8 @@ def latin_edits(text: str) -> tuple[bool, list[tuple[int, int, str]]]:
 
     Where two pairs of encodings restore them to different words, nothing is edited.
     """
+    if not _UNUSUAL.search(text):
+        return False, []
     words = [(m.start(), m.end(), m[0]) for m in _WORD.finditer(text) if not m[0].isascii()]
     words = [w for w in words if any(c.isascii() for c in w[2])]
     if not words:

@@ -136,13 +136,15 @@ def restore(text: str | None) -> tuple[bool, str | None]:
         return False, text
     lost = "�" in text or _CONTROL.search(text) is not None
     hit, now = False, text
-    for _ in range(4):  # garbled more than once, as UTF-8
-        again, now = _pass(now, _utf8_edits)
-        if not again:
-            break
-        hit = True
-    again, now = _pass(now, _letter_edits)
-    return hit or again or lost, now
+    for turn in range(5):
+        runs = [m.span() for m in _HIGH.finditer(now)]
+        hits = _hits(now, runs)
+        found, edits = _utf8_edits(now, runs, hits) if turn < 4 else (False, [])  # garbled more than once, as UTF-8
+        if not found:
+            found, edits = _letter_edits(now, hits)
+            return hit or found or lost, _applied(now, edits)
+        hit, now = True, _applied(now, edits)
+    return hit or lost, now
 
 
 Hit = tuple[int, int, tuple[tuple[str, str], ...]]
@@ -155,16 +157,14 @@ def _hits(text: str, runs: list[tuple[int, int]]) -> list[Hit]:
     return [(end - n + 1, end + 1, of) for a, b in runs for end, (n, of) in find(text, max(0, a - 2), min(len(text), b + 1))]
 
 
-def _pass(text: str, work: Callable[[str, list[tuple[int, int]], list[Hit]], tuple[bool, list[Edit]]]) -> tuple[bool, str]:
-    """Whether ``work`` finds anything garbled, and the text with its edits; everything else stays as it is."""
-    runs = [m.span() for m in _HIGH.finditer(text)]
-    found, edits = work(text, runs, _hits(text, runs))
+def _applied(text: str, edits: list[Edit]) -> str:
+    """``text`` with the edits; everything else stays as it is."""
     out, at = [], 0
     for a, b, new in sorted(edits):
         if a >= at:
             out += [text[at:a], new]
             at = b
-    return found, "".join([*out, text[at:]])
+    return "".join([*out, text[at:]])
 
 
 def _utf8_edits(text: str, runs: list[tuple[int, int]], hits: list[Hit]) -> tuple[bool, list[Edit]]:
@@ -179,16 +179,17 @@ def _utf8_edits(text: str, runs: list[tuple[int, int]], hits: list[Hit]) -> tupl
     return bool(edits), edits
 
 
-def _letter_edits(text: str, runs: list[tuple[int, int]], hits: list[Hit]) -> tuple[bool, list[Edit]]:
+def _letter_edits(text: str, hits: list[Hit]) -> tuple[bool, list[Edit]]:
     """Of single-byte pairs the one whose restored words are likeliest. Where languages tie, nothing is restored."""
     pairs = {p for _, _, of in hits for p in of if p[0] != "utf-8"}
     for pair in JAPANESE_AS_LATIN:
         if pair in pairs and (edits := _japanese(text, pair, hits)):
             return True, edits
     ranked: list[tuple[float, str, list[Edit]]] = []
-    for script in SCRIPTS:
+    view = _View(text) if pairs else None
+    for script in SCRIPTS if view and view.doubtful else ():
         for pair in script_pairs(script):
-            if pair in pairs and (edits := _script_edits(text, script, pair, hits)):
+            if pair in pairs and (edits := _script_edits(view, script, pair, hits)):
                 ranked.append((script.score(" ".join(new for _, _, new in edits)) * sum(b - a for a, b, _ in edits) / 2 ** sum(x in codepages.RARE - {"koi8-r", "cp866"} for x in pair), script.name, edits))
     if ranked:
         best = max(ranked, key=lambda x: x[0])
@@ -328,37 +329,59 @@ def _matched(text: str, words: list[Edit], own: list[tuple[int, int]]) -> list[E
     return out
 
 
-def _script_edits(text: str, script: Script, pair: tuple[str, str], hits: list[Hit]) -> list[Edit]:
+class _View:
+    """The words of a text that have no Latin letter of ASCII, the script they stand in, and how likely they are in it."""
+
+    def __init__(self, text: str) -> None:
+        self.text = text
+        self.words, stood = [], []
+        for m in _HIGH.finditer(text):
+            a, b = m.span()
+            if _ascii_letter(text[a - 1 : a]) or _ascii_letter(text[b : b + 1]):
+                continue  # within a Latin word
+            self.words.append((a, b, m[0]))
+            if not m[0].isalpha():
+                shown = "".join(c for c in unicodedata.normalize("NFKC", m[0]) if not c.isascii() and not c.isspace() and unicodedata.category(c) not in ("Cf", "Mn", "Pd", "Pi", "Pf", "Po", "Ps", "Nd"))
+                stood.append(shown if any(map(str.isalpha, m[0])) else "")
+            else:
+                stood.append("".join(c for c in unicodedata.normalize("NFKC", m[0]) if not c.isascii()))
+        self.as_is = " ".join(filter(None, stood))
+        size = len(self.as_is.replace(" ", ""))
+        self.stands = next((x for x in SCRIPTS if x.count(self.as_is) >= 0.8 * size), None) if size else None
+        self.before = self.stands.score(self.as_is) if self.stands else 0.0
+        #: Text that is likely as it stands is left alone.
+        self.doubtful = bool(self.words) and (self.stands is None or self.before < 0.25 or bool(codepages.NEVER[self.stands.name].search(self.as_is.lower())) or bool(_INVERTED.search(text)))
+
+
+def _ascii_letter(c: str) -> bool:
+    return c.isascii() and c.isalpha()
+
+
+def _script_edits(view: _View, script: Script, pair: tuple[str, str], hits: list[Hit]) -> list[Edit]:
     """Words that aren't likely as they stand and are words of ``script`` when restored."""
+    text, stands, before = view.text, view.stands, view.before
     own = [(a, b) for a, b, of in hits if pair in of]
-    words, stood = [], []
-    for m in _HIGH.finditer(text):
-        if re.search("[A-Za-z]", text[max(0, m.start() - 1) : m.start()] + text[m.end() : m.end() + 1]):
-            continue  # within a Latin word
-        if any(map(str.isalpha, m[0])):
-            stood.append("".join(c for c in unicodedata.normalize("NFKC", m[0]) if not c.isascii() and not c.isspace() and unicodedata.category(c) not in ("Cf", "Mn", "Pd", "Pi", "Pf", "Po", "Ps", "Nd")))
-        data = codepages.encoded(m[0], pair[1])
+    words = []
+    for a, b, word in view.words:
+        data = codepages.encoded(word, pair[1])
         right = codepages.decoded(data, pair[0]) if data else ""
         if script.only.fullmatch(right):
-            words.append((m.start(), m.end(), right))
+            words.append((a, b, right))
     words = _matched(text, words, own)
     new = " ".join(x for _, _, x in words)
-    letters = len(re.findall(f"[{script.letters}]", new))
+    letters = script.count(new)
     if not words or any(a.islower() and b.isupper() for a, b in zip(new, new[1:], strict=False)):
         return []
-    as_is = " ".join(filter(None, stood))
-    stands = next((x for x in SCRIPTS if len(re.findall(f"[{x.letters}]", as_is)) >= 0.8 * len(as_is.replace(" ", ""))), None) if as_is else None
     after = script.score(new)
     if stands is None:
         # Words of nothing but accented letters and signs, at least one of three.
-        return words if letters >= 4 and any(sum(map(_visible, text[a:b])) >= max(2, 0.6 * (b - a)) and re.search(f"[{script.letters}]{{3}}", x) and script.score(x) >= 0.25 for a, b, x in words) else []
-    before = stands.score(as_is)
+        return words if letters >= 4 and any(sum(map(_visible, text[a:b])) >= max(2, 0.6 * (b - a)) and script.three.search(x) and script.score(x) >= 0.25 for a, b, x in words) else []
     if stands is RUSSIAN and script is RUSSIAN:
         a = " ".join(text[x:y] for x, y, _ in words)
         if letters >= 4 and RUSSIAN_NEVER.search(a.lower()) and not RUSSIAN_NEVER.search(new.lower()) and after >= 0.3 or _INVERTED.search(text) and after >= 0.2:
             return words
     if stands is not script:  # one script in the place of another: only if no word is likely as it stands
-        return words if letters >= 4 and before < 0.2 and after >= 0.5 and codepages.NEVER[stands.name].search(as_is.lower()) and not codepages.NEVER[script.name].search(new.lower()) else []
+        return words if letters >= 4 and before < 0.2 and after >= 0.5 and codepages.NEVER[stands.name].search(view.as_is.lower()) and not codepages.NEVER[script.name].search(new.lower()) else []
     return words if letters >= 4 and before < 0.25 and after >= max(0.34, 1.5 * before) else []
 
 
