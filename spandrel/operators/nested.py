@@ -93,19 +93,24 @@ def _is_object(v: Column) -> Column:
     return F.try_variant_get(v, "$", "struct<_:string>").isNotNull()
 
 
-def found_within(rows: DataFrame, column: str, name: str, depth: int = 3) -> DataFrame:
+def found_within(rows: DataFrame, column: str, name: str, text: str) -> DataFrame:
     """``rows`` with the VARIANT ``column`` being the object with the field ``name`` that it is or holds, else null.
 
-    It may be wrapped in an object or a JSON string, ``depth`` times. Each step is a projection of its own, so that no
-    expression is repeated in the next.
+    It may be wrapped in objects and JSON strings any number of times; ``text`` is the column of the text that was parsed.
+    A wrapper adds a brace or a quotation mark of its own before the field, so their number there bounds the steps.
     """
-    v = F.col(column)
     has = lambda x: F.try_variant_get(x, f"$.{name}", "variant").isNotNull()
-    for _ in range(depth):
+
+    def step(v: Column) -> Column:
         values = F.map_values(F.try_variant_get(v, "$", "map<string,variant>"))
-        likely = F.filter(values, lambda x: has(x) | F.coalesce(F.try_variant_get(x, "$", "string").rlike(rf'^\s*[{{"].*{name}'), F.lit(False)))
-        text = F.try_variant_get(v, "$", "string")
-        rows = rows.withColumn(column, F.when(has(v), v).when(_is_object(v), F.get(likely, F.lit(0))).otherwise(whole_json(text)))
+        likely = F.filter(values, lambda x: has(x) | F.coalesce(F.try_variant_get(x, "$", "variant").isNotNull() & (_is_object(x) | F.try_variant_get(x, "$", "string").rlike(r'^\s*[{"]')) & F.contains(F.try_variant_get(x, "$", "string"), F.lit(name)), F.lit(False)))
+        return F.when(has(v), v).when(_is_object(v), F.get(likely, F.lit(0))).otherwise(whole_json(F.try_variant_get(v, "$", "string")))
+
+    before = F.expr(f"left({text}, length({text}) - length(substring_index({text}, '\"{name}', -1)))")
+    steps = F.length(F.regexp_replace(before, r"[^{]", "")) + F.regexp_count(before, F.lit(r'"(?=\\*["{])'))
+    v = F.col(column)
+    inner = F.aggregate(F.sequence(F.lit(1), F.greatest(steps, F.lit(1))), v, lambda x, _: step(x))
+    rows = rows.withColumn(column, F.when(has(v), v).otherwise(inner))
     return rows.withColumn(column, F.when(has(v), v))
 
 
@@ -132,23 +137,22 @@ def _named(child: str) -> Callable[[Column], Column]:
     return lambda x: F.struct(F.lit(child).alias("child"), x["idx"].alias("idx"), x["key"].alias("key"), x["element"].alias("element"))
 
 
-def _items(v: Column, child: str) -> Column:
-    """The members of a list of child records as (child, idx, item, value), read as structs of the one field needed."""
-    field = ITEM[child]
-    read = lambda x: F.try_variant_get(x, "$", f"struct<{field}:string>")
-    of_list = F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x, i: F.struct(i.alias("idx"), read(x).alias("record")))
-    single = F.when(_is_object(v), F.array(F.struct(F.lit(0).alias("idx"), read(v).alias("record"))))
-    listed = F.filter(F.coalesce(of_list, single, F.array().cast(f"array<struct<idx:int,record:struct<{field}:string>>>")), lambda x: x["record"].isNotNull())
-    return F.transform(listed, lambda x: F.struct(F.lit(child).alias("child"), x["idx"].alias("idx"), x["record"][field].alias("item"), F.lit("").alias("value")))
+def inlined(table: Table, name: str) -> list[tuple[str, str]]:
+    """The (field, path) of the columns that the singleton ``name`` became in ``table``."""
+    return [(path.rpartition(".")[2], path) for column, path, _ in table.columns if path.startswith(f"$.{name}.")]
 
 
-def unnest(rows: DataFrame, table: Table, carry: dict[str, str] | None = None) -> DataFrame:
+def unnest(rows: DataFrame, table: Table, carry: dict[str, str] | None = None, singles: tuple[str, ...] = ()) -> DataFrame:
     """(id, parent_id, child, idx, key, element, carried...) of all members of all lists of the rows of ``table``.
 
-    ``rows`` has id and element; ``carry`` maps further columns to names that the result has them by.
+    ``rows`` has id and element; ``carry`` maps further columns to names that the result has them by. Of the inlined
+    singletons ``singles`` there is a member for each field that isn't null, by its name as key.
     """
     carried = [F.col(a).alias(b) for a, b in (carry or {}).items()]
     lists = []
+    for name in singles:
+        fields = F.array(*(F.struct(F.lit(name).alias("child"), F.lit(0).alias("idx"), F.lit(f).alias("key"), F.try_variant_get("element", path, "variant").alias("element")) for f, path in inlined(table, name)))
+        lists.append(F.filter(fields, lambda x: ~F.is_variant_null(x["element"]) & x["element"].isNotNull()))
     for path, child in table.children:
         name = path.rpartition(".")[2]
         members = as_list(F.try_variant_get("element", path, "variant"), name in table.element.keyed, child.sign)
@@ -163,6 +167,19 @@ def columns_of(table: Table) -> list[Column]:
     return [F.try_variant_get("element", path, kind).alias(name) for name, path, kind in table.columns]
 
 
+def _roots(documents: DataFrame, id_column: str, text_column: str, root: Element, marker: str | None) -> DataFrame:
+    """(id, parent_id, child, idx, key, element) of the root elements. A field given twice counts as it is given last."""
+    spark = documents.sparkSession
+    conf, before = "spark.sql.variant.allowDuplicateKeys", spark.conf.get("spark.sql.variant.allowDuplicateKeys", "false")
+    spark.conf.set(conf, "true")  # it is read when the expressions are made
+    try:
+        top = documents.select(F.col(id_column).cast("string").alias("id"), F.col(text_column).alias("_text"), whole_json(text_column).alias("element"))
+        top = found_within(top, "element", marker, "_text") if marker else top
+        return top.select("id", F.lit(None).cast("string").alias("parent_id"), F.lit(root.name).alias("child"), F.lit(0).alias("idx"), F.lit(None).cast("string").alias("key"), "element")
+    finally:
+        spark.conf.set(conf, before)
+
+
 def shred(documents: DataFrame, id_column: str, text_column: str, root: Element, marker: str | None = None) -> dict[str, DataFrame]:
     """The tables of JSON documents, by element name: id, parent_id, child, idx, key, and the element's columns.
 
@@ -172,8 +189,7 @@ def shred(documents: DataFrame, id_column: str, text_column: str, root: Element,
     level by level until a level is empty.
     """
     tables = analyse(root)
-    top = documents.select(F.col(id_column).cast("string").alias("id"), whole_json(text_column).alias("element"))
-    top = (found_within(top, "element", marker) if marker else top).select("id", F.lit(None).cast("string").alias("parent_id"), F.lit(root.name).alias("child"), F.lit(0).alias("idx"), F.lit(None).cast("string").alias("key"), "element")
+    top = _roots(documents, id_column, text_column, root, marker)
     found: dict[str, DataFrame] = {root.name: top.where("element is not null")}
     keys = ["id", "parent_id", "child", "idx", "key", "element"]
     level = {root.name: top}
@@ -228,11 +244,24 @@ def report_children(reports: DataFrame) -> DataFrame:
     that are null, empty, not whole valid JSON or no report give no rows.
     """
     tables = analyse(REPORT)
-    parsed = reports.select("report_id", F.col("report_id").cast("string").alias("id"), whole_json("payload").alias("element"))
-    top = found_within(parsed, "element", "pages")
-    pages = unnest(top, tables["report"], {"report_id": "report_id"})
+    top = _roots(reports, "report_id", "payload", REPORT, "pages")
+    pages = unnest(top, tables["report"], {"id": "report_id"})
     page_key = F.coalesce(F.try_variant_get("element", "$.url", "string"), F.col("key"))
-    keyed = pages.select("report_id", "id", page_key.alias("page_key"), "element")
-    tags = F.array(*(F.struct(F.lit("open_graph").alias("child"), F.lit(0).alias("idx"), F.lit(t).alias("item"), F.try_variant_get("element", f"$.open_graph.{t}", "string").alias("value")) for t in TAGS))
-    members = [_items(F.try_variant_get("element", path, "variant"), path.rpartition(".")[2]) for path, _ in tables["pages"].children]
-    return keyed.select("report_id", "page_key", F.inline_outer(F.concat(*members, tags))).where("value is not null").drop("value")
+    keyed = pages.select(F.col("report_id").cast("bigint").alias("report_id"), "id", page_key.alias("page_key"), "element")
+    members = unnest(keyed, tables["pages"], {"report_id": "report_id", "page_key": "page_key"}, ("open_graph",))
+    item = F.col("key")
+    for child, name in ITEM.items():
+        item = F.when(F.col("child") == child, F.try_variant_get("element", f"$.{name}", "string")).otherwise(item)
+    return members.select("report_id", "page_key", "child", "idx", item.alias("item"))
+
+
+def children_of_tables(tables: dict[str, DataFrame]) -> DataFrame:
+    """The rows of ``report_children`` by the keys of the tables of saved reports, with a join of children and pages."""
+    pages = tables["pages"]
+    page_key = F.coalesce("url", "key").alias("page_key")
+    parents = pages.select(F.col("id").alias("parent_id"), F.col("parent_id").cast("bigint").alias("report_id"), page_key)
+    records = [tables[child].select("parent_id", F.lit(child).alias("child"), "idx", F.col(name).alias("item")) for child, name in ITEM.items()]
+    out = records[0].unionByName(records[1]).unionByName(records[2]).join(parents, "parent_id").select("report_id", "page_key", "child", "idx", "item")
+    tags = F.array(*(F.when(F.col(f"open_graph_{t}").isNotNull(), F.lit(t)) for t in TAGS))
+    of_tags = pages.select(F.col("parent_id").cast("bigint").alias("report_id"), page_key, F.lit("open_graph").alias("child"), F.lit(0).alias("idx"), F.explode(F.array_compact(tags)).alias("item"))
+    return out.unionByName(of_tags)

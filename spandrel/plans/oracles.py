@@ -144,8 +144,8 @@ def _clean(x: str) -> str:
 EXTRACTED = "(content_type IS NULL OR regexp_matches(lower(content_type), 'text/html|application/xhtml'))"
 
 
-#: Child records of reports: the report within its wrappers, its pages, their lists, their members.
-CHILDREN = """
+#: Pages of reports: the report within its wrappers, its pages, in a list or in the order of their keys.
+PAGES = """
     WITH valid AS (SELECT report_id, payload AS t FROM reports WHERE json_valid(payload)),
     opened AS (SELECT report_id, CASE json_type(t) WHEN 'VARCHAR' THEN json_extract_string(t, '$') ELSE t END AS t FROM valid),
     objects AS (SELECT report_id, t FROM opened WHERE json_valid(t) AND json_type(t) = 'OBJECT'),
@@ -155,20 +155,37 @@ CHILDREN = """
             FROM json_each(t) e WHERE json_type(e.value) IN ('OBJECT', 'VARCHAR') AND contains(CAST(e.value AS VARCHAR), 'pages')) END AS t
         FROM objects),
     found AS (SELECT report_id, json_extract(t, '$.pages') AS pages FROM unwrapped WHERE json_valid(t) AND json_exists(t, '$.pages')),
-    pages AS (SELECT f.report_id, e.key AS k, e.value AS page FROM found f, json_each(f.pages) e WHERE json_type(f.pages) IN ('ARRAY', 'OBJECT') AND json_type(e.value) = 'OBJECT'),
-    keyed AS (SELECT report_id, coalesce(json_extract_string(page, '$.url'), CAST(k AS VARCHAR)) AS page_key, page FROM pages),
-    lists AS (SELECT report_id, page_key, c.child, c.field, json_extract(page, '$.' || c.child) AS l FROM keyed, (VALUES ('links', 'url'), ('images', 'src'), ('issues', 'issue_type')) c(child, field)),
-    members AS (
-        SELECT report_id, page_key, child, field, 0 AS idx, l AS e FROM lists WHERE json_type(l) = 'OBJECT'
-        UNION ALL SELECT report_id, page_key, child, field, CAST(e.key AS INTEGER), e.value FROM lists, json_each(l) e WHERE json_type(l) = 'ARRAY')
-    SELECT report_id, page_key, child, idx, json_extract_string(e, '$.' || field) AS item FROM members WHERE json_type(e) = 'OBJECT'
+    members AS (SELECT f.report_id, json_type(f.pages) AS kind, CAST(e.key AS VARCHAR) AS k, e.value AS page FROM found f, json_each(f.pages) e WHERE json_type(f.pages) IN ('ARRAY', 'OBJECT')),
+    placed AS (SELECT *, CASE kind WHEN 'ARRAY' THEN CAST(CASE kind WHEN 'ARRAY' THEN k END AS INTEGER) ELSE CAST(row_number() OVER (PARTITION BY report_id, kind ORDER BY k) - 1 AS INTEGER) END AS idx FROM members),
+    pages AS (SELECT report_id, CASE kind WHEN 'OBJECT' THEN k END AS key, idx, page, report_id || '/pages.' || idx AS id FROM placed WHERE json_type(page) = 'OBJECT')"""
+#: Child records of pages.
+CHILDREN = f"""{PAGES},
+    keyed AS (SELECT report_id, id, coalesce(json_extract_string(page, '$.url'), key) AS page_key, page FROM pages),
+    lists AS (SELECT report_id, id, page_key, c.child, c.field, json_extract(page, '$.' || c.child) AS l FROM keyed, (VALUES ('links', 'url'), ('images', 'src'), ('issues', 'issue_type')) c(child, field)),
+    records AS (
+        SELECT report_id, id, page_key, child, field, 0 AS idx, l AS e FROM lists WHERE json_type(l) = 'OBJECT'
+        UNION ALL SELECT report_id, lists.id, page_key, child, field, CAST(e.key AS INTEGER), e.value FROM lists, json_each(l) e WHERE json_type(l) = 'ARRAY')"""
+FOUND = f"""{CHILDREN}
+    SELECT report_id, page_key, child, idx, json_extract_string(e, '$.' || field) AS item FROM records WHERE json_type(e) = 'OBJECT'
     UNION ALL SELECT report_id, page_key, 'open_graph', 0, t.tag FROM keyed, (VALUES ('og_title'), ('og_description'), ('og_image'), ('og_url'), ('og_type'), ('og_site_name'), ('og_locale')) t(tag)
         WHERE json_extract_string(page, '$.open_graph.' || t.tag) IS NOT NULL"""
 
 
+def _json(e: str, *fields: str) -> str:
+    return ", ".join(f"json_extract_string({e}, '$.{f}') AS {f.replace('.', '_')}" for f in fields)
+
+
+def _number(e: str, *fields: str) -> str:
+    return ", ".join(f"TRY_CAST(json_extract_string({e}, '$.{f}') AS INTEGER) AS {f}" for f in fields)
+
+
 def oracle_sql() -> dict[str, str]:
     out = {
-        "p5_found": CHILDREN,
+        "p5_found": FOUND,
+        "p5_shredded": FOUND,
+        "p5_links": f"{CHILDREN} SELECT id || '/links.' || idx AS id, id AS parent_id, report_id, idx, {_json('e', 'url', 'text')}, TRY_CAST(json_extract_string(e, '$.is_external') AS BOOLEAN) AS is_external, {_number('e', 'status_code')}, {_json('e', 'redirected_url', 'check_error')} FROM records WHERE child = 'links' AND json_type(e) = 'OBJECT'",
+        "p5_pages": f"{PAGES} SELECT id, CAST(report_id AS VARCHAR) AS parent_id, 'pages' AS child, idx, key, {_json('page', 'url', 'content_type', 'title', 'meta_description', *(f'open_graph.{t}' for t in TAGS))}, {_number('page', 'status_code', 'crawl_depth')}, CASE json_type(page, '$.h1_tags') WHEN 'ARRAY' THEN json_extract_string(page, '$.h1_tags[*]') END AS h1_tags FROM pages",
+        "report_documents": f"{PAGES} SELECT id, CAST(report_id AS VARCHAR) AS parent_id, idx, {_json('page', 'url', 'title')}, {_number('page', 'status_code', 'crawl_depth')} FROM pages",
         "page_rule_issues": f"WITH {AUDIT} SELECT page_id, rule_idx, severity, issue_type, message FROM page_issues",
         "title_issues": _types("MissingTitle", "TitleTooShort", "TitleTooLong"),
         "description_issues": _types("MissingMetaDescription", "MetaDescriptionTooShort", "MetaDescriptionTooLong"),

@@ -299,6 +299,11 @@ def p5_found(spark: SparkSession, root: str) -> DataFrame:
     return nested.report_children(load(spark, root, "reports"))
 
 
+def p5_shredded(spark: SparkSession, root: str) -> DataFrame:
+    """The same rows from the flat tables, joined by their keys."""
+    return nested.children_of_tables(nested.report_tables(load(spark, root, "reports")))
+
+
 def p5_links(spark: SparkSession, root: str) -> DataFrame:
     """The flat table of links with the keys of their page and report."""
     tables = nested.report_tables(load(spark, root, "reports"))
@@ -311,7 +316,7 @@ def p5_pages(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = (page_rule_issues, link_issues, link_issues_without_redirects, issues_by_type, issues_by_severity, title_length_histogram, content_indicators, broken_links, checked_links, probe_outcomes, unique_links, link_fan_in, repeated_links_per_page, skipped_schemes, normalized_urls, url_parts, pages_per_origin, external_links, crawlable_links, image_endings, redirects, robots_decisions, crawl_summary, page_counts, view_errors, view_search, view_first_page, view_table, report_order, issue_order, display_titles, shortened_titles, load_delays, bfs_depths, unreached_pages, extracted_pages, audited_html, crawled_snapshot, report_documents, p5_found, p5_links, p5_pages)
+    own = (page_rule_issues, link_issues, link_issues_without_redirects, issues_by_type, issues_by_severity, title_length_histogram, content_indicators, broken_links, checked_links, probe_outcomes, unique_links, link_fan_in, repeated_links_per_page, skipped_schemes, normalized_urls, url_parts, pages_per_origin, external_links, crawlable_links, image_endings, redirects, robots_decisions, crawl_summary, page_counts, view_errors, view_search, view_first_page, view_table, report_order, issue_order, display_titles, shortened_titles, load_delays, bfs_depths, unreached_pages, extracted_pages, audited_html, crawled_snapshot, report_documents, p5_found, p5_shredded, p5_links, p5_pages)
     out: dict[str, Query] = {f.__name__: f for f in own}
     out |= {
         "title_issues": _of_types("MissingTitle", "TitleTooShort", "TitleTooLong"),

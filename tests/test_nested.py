@@ -1,6 +1,6 @@
 import json
 
-from spandrel.operators.nested import Element, analyse, report_children, report_tables, shred
+from spandrel.operators.nested import Element, analyse, children_of_tables, report_children, report_tables, shred
 
 
 def children(spark, *payloads):
@@ -19,6 +19,27 @@ def test_shapes_of_reports(spark):
     assert got == sorted((i, *r) for i in range(len(shapes)) for r in ROWS)
 
 
+def test_any_number_of_wrappers(spark):
+    shapes = []
+    for wrap in (lambda x: {"report": x}, lambda x: json.dumps(x), lambda x: {"a": 1, "data": json.dumps(x)}):
+        value = {"start_url": "http://h/pages/", "pages": [PAGE]}
+        for _ in range(6):
+            value = wrap(value)
+            shapes.append(value if isinstance(value, str) else json.dumps(value))
+    assert children(spark, *shapes) == sorted((i, *r) for i in range(len(shapes)) for r in ROWS)
+
+
+def test_fields_given_twice(spark):
+    assert children(spark, '{"a": 1, "a": 2, "pages": [{"url": "u", "url": "v", "links": [{"url": "x"}]}]}') == [(0, "v", "links", 0, "x")]
+
+
+def test_tables_give_the_same_children(spark):
+    page = {**PAGE, "url": None}
+    df = spark.createDataFrame([(1, json.dumps({"pages": {"k2": PAGE, "k1": page}})), (2, json.dumps({"pages": [None, PAGE]})), (3, None)], "report_id bigint, payload string")
+    rows = lambda x: sorted(map(str, x.collect()))
+    assert rows(children_of_tables(report_tables(df))) == rows(report_children(df)) and len(rows(report_children(df))) == 12
+
+
 def test_what_gives_no_rows(spark):
     whole = json.dumps({"pages": [PAGE]})
     assert children(spark, None, "", "  ", "null", "[]", "{}", '{"a": 1}', whole[:-1], whole + "x", whole + whole, '{"pages": null}', '{"pages": []}', '{"pages": [null, 3, "x"]}', "'x'", '"x"') == []
