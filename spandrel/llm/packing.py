@@ -2,10 +2,11 @@
 
 Sizes are whole numbers up to the capacity, so the driver plans over the histogram of sizes, never over documents: it
 assigns the sizes in descending order, each time to the containers of lowest cost (linear plus quadratic in the sizes
-of what they hold) that have room. Where that takes more containers than best fit, sizes from a limit on go where they
-leave the least room, and only the smaller ones by cost; the limit is the highest that needs no more. Containers that hold the same sizes are one class with a count, so the plan's size
-goes with the number of distinct sizes. It is carried out by ranking the documents of a size and joining ranks with the
-plan's intervals. A size that more than RANKED_AT_ONCE documents have is ranked in parts, by salt.
+of what they hold) that have room. Their number is fixed before: as many as best fit takes. Near the end lowest cost
+leaves many small rooms that nothing fits, so the sizes below a limit go where they leave the least room; the limit is
+the lowest with which all documents find room (see README for the share that is assigned by cost). Containers that hold
+the same sizes are one class with a count, so the plan's size goes with the number of distinct sizes. It is carried out
+by ranking the documents of a size, in salted parts, and joining ranks with the plan's intervals.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 from spandrel.llm.tokens import TOKENIZERS, measured
 from spandrel.tables import settle
 
-#: The most documents of one size that are ranked in one task, about.
-RANKED_AT_ONCE = 1_000_000
+#: Parts in which the documents of each size are ranked, so that no size is a task's alone.
+SALTS = 64
 #: Ranks of one size that are joined with the plan at once.
 BLOCK = 4096
 #: Weight of the quadratic part of the cost: attention over n tokens costs n + n * n / ATTENTION.
@@ -39,6 +40,7 @@ class Plan:
     def __init__(self) -> None:
         self.rows: list[tuple[int, int, int, int, int, int]] = []  # size, from rank, to rank, container, per, place
         self.containers = 0
+        self.by_cost = 0  # tokens that were assigned by cost
 
 
 #: A class of containers: (cost, first container, count, room, items so far). The first container makes it unique.
@@ -105,31 +107,28 @@ def best_fit(sizes: dict[int, int], capacity: int) -> int:
     return max(used, 1)
 
 
-def balanced(sizes: dict[int, int], capacity: int, containers: int, tight_from: int) -> Plan | None:
+def balanced(sizes: dict[int, int], capacity: int, containers: int, tight_below: int) -> Plan | None:
     """A plan of ``containers`` for the histogram ``sizes``, None where descending sizes don't all find room.
 
-    Sizes below ``tight_from`` go to the classes of lowest cost with room; a class without room waits until sizes are
-    small enough. Larger ones go where they leave the least room.
+    Sizes of ``tight_below`` and more go to the classes of lowest cost with room; a class without room waits until sizes
+    are small enough. Smaller ones go where they leave the least room.
     """
     plan = Plan()
     plan.containers = containers
-    tight = _Tight([(0.0, 0, containers, capacity, 0)])
-    ready: list[Class] = []
+    ready: list[Class] = [(0.0, 0, containers, capacity, 0)]
     waiting: dict[int, list[Class]] = {}
     rooms: list[int] = []  # of waiting classes, as a max-heap
-    loose = False
+    tight: _Tight | None = None
     for size in sorted((s for s in sizes if s > 0), reverse=True):
         rank, left = 0, sizes[size]
-        if size >= tight_from:
+        if size < tight_below:
+            tight = tight or _Tight([*ready, *(x for xs in waiting.values() for x in xs)])
             while left:
                 if (x := tight.take(size, left)) is None:
                     return None
                 n = _assign(plan, x, size, rank, left, tight.add)
                 rank, left = rank + n, left - n
             continue
-        if not loose:
-            loose, ready = True, tight.all()
-            heapq.heapify(ready)
         while rooms and -rooms[0] >= size:
             for kept in waiting.pop(-heapq.heappop(rooms)):
                 heapq.heappush(ready, kept)
@@ -145,8 +144,9 @@ def balanced(sizes: dict[int, int], capacity: int, containers: int, tight_from:
                 continue
             n = _assign(plan, x, size, rank, left, lambda y: heapq.heappush(ready, y))
             rank, left = rank + n, left - n
+            plan.by_cost += n * size
     if n := sizes.get(0, 0):  # they take no room and cost nothing: spread evenly
-        classes = sorted([*ready, *(x for xs in waiting.values() for x in xs)] if loose else tight.all(), key=lambda x: x[1])
+        classes = sorted(tight.all() if tight else [*ready, *(x for xs in waiting.values() for x in xs)], key=lambda x: x[1])
         per, rank = -(-n // containers), 0
         for _, first, count, _, items in classes:
             take = min(n - rank, per * count)
@@ -156,33 +156,35 @@ def balanced(sizes: dict[int, int], capacity: int, containers: int, tight_from:
     return plan
 
 
-def planned(sizes: dict[int, int], capacity: int) -> Plan:
-    """The plan of as few containers as best fit takes, with as many sizes assigned by cost as that allows."""
-    containers = best_fit(sizes, capacity)
-    tight_from = capacity + 1
-    while tight_from:
-        if plan := balanced(sizes, capacity, containers, tight_from):
-            return plan
-        tight_from = tight_from * 3 // 4
-    return balanced(sizes, capacity, containers, 0)
-
-
-def _ranked(pieces: DataFrame, hot: list[tuple[str, int, int]]) -> DataFrame:
-    """``pieces`` with their ``rank`` among those of their size, from 0; ``hot`` are (pack, size, parts) to split."""
+def planned(sizes: dict[int, int], capacity: int, slack: float = 0.0) -> Plan:
+    """The plan of as few containers as best fit takes, and ``slack`` times that more, with as many sizes assigned by
+    cost as that allows: the limit below which they aren't is searched by halving."""
+    containers = int(best_fit(sizes, capacity) * (1 + slack))
+    limits = [0, *sorted(s for s in sizes if s > 0), capacity + 1]
+    low, high = -1, len(limits) - 1
+    best = balanced(sizes, capacity, containers, limits[high])  # best fit alone, which always goes
+    while high - low > 1:
+        middle = (low + high) // 2 if low >= 0 else 0
+        if plan := balanced(sizes, capacity, containers, limits[middle]):
+            best, high = plan, middle
+        else:
+            low = middle
+    assert best is not None
+    return best
+
+
+def _ranked(pieces: DataFrame, salts: int) -> DataFrame:
+    """``pieces`` with their ``rank`` among those of their size, from 0: by salt, then by document."""
     size = ["pack_name", "n_tokens"]
-    if not hot:
-        return pieces.withColumn("rank", F.row_number().over(W.partitionBy(*size).orderBy("doc_id", "piece")).cast("bigint") - 1)
-    parts = pieces.sparkSession.createDataFrame(hot, "pack_name string, n_tokens bigint, parts bigint")
-    salted = pieces.join(parts, size, "left").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.coalesce("parts", F.lit(1))))
+    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
     within = F.row_number().over(W.partitionBy(*size, "salt").orderBy("doc_id", "piece")).cast("bigint") - 1
-    counts = salted.where("parts is not null").groupBy(*size, "salt").agg(F.count(F.lit(1)).alias("n"))
+    counts = salted.groupBy(*size, "salt").agg(F.count(F.lit(1)).alias("n"))
     before = F.coalesce(F.sum("n").over(W.partitionBy(*size).orderBy("salt").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     starts = counts.select(*size, "salt", before.alias("before"))
-    out = salted.withColumn("within", within).join(starts, [*size, "salt"], "left")
-    return out.withColumn("rank", F.col("within") + F.coalesce("before", F.lit(0)))
+    return salted.withColumn("within", within).join(starts, [*size, "salt"]).withColumn("rank", F.col("within") + F.col("before"))
 
 
-def packed(documents: DataFrame, specs: Iterable[tuple[str, str, int]], home: str = TOKENIZERS, ranked_at_once: int = RANKED_AT_ONCE) -> DataFrame:
+def packed(documents: DataFrame, specs: Iterable[tuple[str, str, int]], home: str = TOKENIZERS, salts: int = SALTS, slack: float = 0.0) -> DataFrame:
     """(pack_name, doc_id, piece, start, n_tokens, container, place) of every piece of every document, for each spec.
 
     A spec is (pack_name, tokenizer, capacity). A document larger than the capacity is split into full pieces and a rest;
@@ -204,10 +206,10 @@ def packed(documents: DataFrame, specs: Iterable[tuple[str, str, int]], home: st
     by_pack: dict[str, dict[int, int]] = {p: {} for p, _, _ in specs}
     for r in pieces.groupBy("pack_name", "n_tokens").count().collect():
         by_pack[r.pack_name][r.n_tokens] = r["count"]
-    rows = [(pack, *row) for pack, _, capacity in specs if by_pack[pack] for row in planned(by_pack[pack], capacity).rows]
+    rows = [(pack, *row) for pack, _, capacity in specs if by_pack[pack] for row in planned(by_pack[pack], capacity, slack).rows]
     plan = spark.createDataFrame(rows, "pack_name string, n_tokens bigint, low bigint, high bigint, first bigint, per bigint, items bigint")
     blocks = plan.withColumn("block", F.explode(F.sequence(F.floor(F.col("low") / BLOCK), F.floor((F.col("high") - 1) / BLOCK))))
-    ranked = _ranked(pieces, [(p, size, -(-n // ranked_at_once)) for p, sizes_of in by_pack.items() for size, n in sizes_of.items() if n > ranked_at_once])
+    ranked = _ranked(pieces, salts)
     placed = ranked.withColumn("block", F.floor(F.col("rank") / BLOCK)).join(blocks, ["pack_name", "n_tokens", "block"]).where("rank >= low and rank < high")
     return placed.select("pack_name", "doc_id", "piece", "start", "n_tokens", F.expr("first + (rank - low) div per").alias("container"), F.expr("items + (rank - low) % per").alias("place"))
 

@@ -1,4 +1,5 @@
 import os
+import random
 from collections import Counter, defaultdict
 
 import pytest
@@ -68,7 +69,7 @@ def test_frames(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").selectExpr("*", "1 as salt", "2 as piece", "3 as tokens")
     specs = [("small", "byte_bpe_50k", 8), ("large", "word_bpe_49k", 100)]
     got = packing.packed(df, specs).collect()
-    assert sorted(map(str, got)) != [] and _shape(packing.packed(df, specs, ranked_at_once=7).collect()) == _shape(got)
+    assert sorted(map(str, got)) != [] and _shape(packing.packed(df, specs, salts=7).collect()) == _shape(got)
     sizes = {r.doc_id: r.byte_bpe_50k for r in tokens.measured(df, ("byte_bpe_50k",)).collect()}
     for name, capacity in (("small", 8), ("large", 100)):
         own = [r for r in got if r.pack_name == name]
@@ -84,3 +85,21 @@ def test_frames(spark):
     assert packing.packed(df.limit(0), specs).count() == 0
     empty = packing.packed(df.where("doc_id < 2"), specs).collect()
     assert {(r.n_tokens, r.container) for r in empty} == {(0, 0)} and len(empty) == 4
+
+
+def test_by_cost_as_far_as_it_goes():
+    """Large documents go by cost, and only the small ones where they leave the least room."""
+    rng = random.Random(5)
+    sizes = Counter(min(1024, max(1, int(rng.lognormvariate(5, 1)))) for _ in range(20_000))
+    plan = packing.planned(sizes, 1024)
+    total = sum(s * n for s, n in sizes.items())
+    assert plan.containers == packing.best_fit(sizes, 1024) and plan.by_cost >= 0.5 * total
+    assert packing.planned(sizes, 1024, 0.02).by_cost >= plan.by_cost
+    costs = [packing.cost(sum(s for _, s in xs)) for xs in containers(plan).values()]
+    assert max(costs) <= packing.cost(1024)
+
+
+def test_every_size_is_ranked_in_parts(spark):
+    df = spark.createDataFrame([("p", i, 0, 5) for i in range(500)], "pack_name string, doc_id bigint, piece bigint, n_tokens bigint")
+    for salts in (1, 3, 64):
+        assert sorted(r["rank"] for r in packing._ranked(df, salts).collect()) == list(range(500))
