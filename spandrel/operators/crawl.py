@@ -69,8 +69,10 @@ def crawl(spark: SparkSession, seed: str, fetcher: Fetcher, options: CrawlOption
             break
         first = frontier.groupBy("page_key").agg(F.min(F.struct("parent", "link_idx", "url")).alias("met")).select("page_key", "met.*")
         fresh = first if visited is None else first.join(visited, "page_key", "left_anti")
-        taken = fresh if left is None else fresh.orderBy("parent", "link_idx").limit(left)
-        chosen = settle(positioned(taken, [F.asc("parent"), F.asc("link_idx")]).select("url", "page_key", F.lit(depth).alias("depth"), (F.col("position") - 1 + used).alias("seq")))
+        placed = positioned(fresh, [F.asc("parent"), F.asc("link_idx")])
+        # By place, which every task can tell by itself: a limit would gather the budget in one.
+        taken = placed if left is None else placed.where(F.col("position") <= left)
+        chosen = settle(taken.select("url", "page_key", F.lit(depth).alias("depth"), (F.col("position") - 1 + used).alias("seq")))
         count = chosen.count()
         if not count:
             break
@@ -103,14 +105,15 @@ def crawl(spark: SparkSession, seed: str, fetcher: Fetcher, options: CrawlOption
 def reach(seeds: DataFrame, edges: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(node, depth) of every node within ``max_depth`` steps, or any number, of ``seeds`` (node) along ``edges`` (source, target).
 
-    Level by level: a level joins its nodes with the edges and drops what was met; each is written before the next, and
+    The edges are written down once, those of a source together. Level by level: a level joins its nodes with the edges and drops what was met; each is written before the next, and
     the walk ends when one is empty. Null nodes are never met; nodes needn't have edges. What was met is written anew
     every 16 levels, so that the plan doesn't grow with the depth.
     """
+    edges = settle(edges.select("source", "target").where("source is not null and target is not null").repartition("source"))
     level = settle(seeds.select("node").where("node is not null").distinct().withColumn("depth", F.lit(0)))
     met = level
     for depth in counted(1) if max_depth is None else range(1, max_depth + 1):
-        following = level.select(F.col("node").alias("source")).join(edges.select("source", "target"), "source").select(F.col("target").alias("node")).where("node is not null").distinct()
+        following = level.select(F.col("node").alias("source")).join(edges, "source").select(F.col("target").alias("node")).where("node is not null").distinct()
         level = settle(following.join(met.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)))
         if level.isEmpty():
             break

@@ -8,9 +8,10 @@ replaces that of ``*``, queries aren't looked at, and a pattern with ``*`` that
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,6 +62,20 @@ def rows(domain: str, text: str) -> list[tuple[str, str, int, str, bool]]:
     return [(domain, agent, i, r.pattern, r.is_allow) for agent, rules in parse(text).items() for i, r in enumerate(rules)]
 
 
+def parsed(texts: DataFrame) -> DataFrame:
+    """The rules (SCHEMA) of robots.txt texts (domain, text), each parsed where it is; null texts have none."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [x.split(" ")[0] for x in SCHEMA.split(", ")]
+        kinds = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.bool_()]
+        for batch in batches:
+            found = [r for domain, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if text for r in rows(domain, text)]
+            columns = list(zip(*found, strict=True)) if found else [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names)
+
+    return texts.select("domain", "text").mapInArrow(work, SCHEMA)
+
+
 def matches(pattern: str, path: str, strict: bool = False) -> bool:
     """Whether a pattern applies to a path."""
     if pattern == path:
@@ -101,8 +116,8 @@ def matched(pattern: Column, path: Column) -> Column:
     anchored = pattern.endswith("$")
     body = F.when(anchored, F.regexp_replace(pattern, r"\$\z", "")).otherwise(pattern)
     starred = F.contains(body, F.lit("*"))
-    # The pattern as a regular expression: pieces between stars taken literally.
-    as_regex = F.concat(F.lit(r"(?s)^\Q"), F.replace(body, F.lit("*"), F.lit(r"\E.*\Q")), F.lit(r"\E"))
+    # The pattern as a regular expression: all but letters, figures and slashes taken literally, stars as anything.
+    as_regex = F.concat(F.lit("(?s)^"), F.replace(F.regexp_replace(body, r"([^\p{L}\p{N}/*])", r"\\$1"), F.lit("*"), F.lit(".*")))
     plain = F.when(anchored, path == body).otherwise(F.startswith(path, body))
     ended = F.regexp_replace(body, r"\*+\z", "")
     with_star = F.when(anchored, (path == ended) & ~F.contains(ended, F.lit("*"))).otherwise(F.regexp_like(path, as_regex))

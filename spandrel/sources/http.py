@@ -3,21 +3,24 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Iterator
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Callable, Iterator
+from concurrent.futures import FIRST_COMPLETED, ThreadPoolExecutor, as_completed, wait
 from dataclasses import dataclass
 from math import ceil
 from threading import Lock
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from spandrel.functions.urls import CRAWL_SCHEMES, Url, normalize, robots_url, try_parse
+from spandrel.functions.urls import CRAWL_SCHEMES, Url, host_of, normalize, robots_url, try_parse
 from spandrel.operators.linkcheck import FAILED, REACHABLE, SKIPPED
 from spandrel.schemas import FETCH, PROBE
 
 # Timeouts in seconds and the most redirects followed.
 PAGE_TIMEOUT, PROBE_TIMEOUT, MAX_REDIRECTS = 30, 10, 10
+#: Probes that are handed on together.
+HANDED_ON = 100
 HEADERS = {
     "User-Agent": "Mozilla/5.0 (X11; Linux x86_64) AppleWebKit/537.36 (KHTML, like Gecko) Chrome/126.0 Safari/537.36",
     "Accept": "text/html,application/xhtml+xml,application/xml;q=0.9,*/*;q=0.8",
@@ -100,22 +103,26 @@ def _probe(s, url: str, timeout: float) -> dict:  # noqa: ANN001
 class HttpFetcher:
     """Fetches what it is given: ``tasks`` partitions with ``threads`` requests each at once, at ``rate`` in all.
 
+    Without ``tasks`` there are as many as the cluster runs at once, or with a rate one, which alone can keep it exactly.
+    The addresses of a host are in one of them, so that
+    what a host gets stays bounded; a rate is shared out among given tasks, and pages are handed on as they come.
+
     A request is a side effect that a retried task repeats; callers write the result down before they use it.
     """
 
-    tasks: int = 1
+    tasks: int | None = None
     threads: int = 5
     rate: float | None = None
     timeout: float = PAGE_TIMEOUT
 
     def __post_init__(self) -> None:
-        if self.threads < 1 or self.tasks < 1:
+        if self.threads < 1 or self.tasks is not None and self.tasks < 1:
             raise ValueError("the concurrency must be at least 1")
         Pace(self.rate)
 
     def fetch(self, todo: DataFrame) -> DataFrame:
         """(url, page_key, depth, seq) as rows of FETCH."""
-        tasks, threads, timeout = self.tasks, self.threads, self.timeout
+        tasks, threads, timeout = _tasks(todo, self.tasks or (None if self.rate is None else 1)), self.threads, self.timeout
         rate = None if self.rate is None else ceil(self.rate) / tasks
 
         def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -127,10 +134,11 @@ class HttpFetcher:
 
             with ThreadPoolExecutor(threads) as pool:
                 for batch in batches:
-                    got = pd.DataFrame(list(pool.map(one, batch["url"])), columns=["status_code", "content_type", "body", "final_url", "error"], dtype=object)
-                    yield pd.concat([batch[["url", "page_key", "depth", "seq"]].reset_index(drop=True), got], axis=1)
+                    for at, got in _as_they_come(pool, one, batch["url"].tolist(), threads):
+                        out = batch[["url", "page_key", "depth", "seq"]].iloc[at : at + 1].reset_index(drop=True)
+                        yield pd.concat([out, pd.DataFrame([got], columns=["status_code", "content_type", "body", "final_url", "error"], dtype=object)], axis=1)
 
-        return todo.select("url", "page_key", "depth", "seq").repartition(tasks).mapInPandas(work, FETCH)
+        return _by_host(todo.select("url", "page_key", "depth", "seq"), tasks).mapInPandas(work, FETCH)
 
     def robots(self, base: Url) -> str | None:
         """The robots.txt of an origin; None if it can't be had."""
@@ -143,21 +151,46 @@ class HttpFetcher:
 
 @dataclass(frozen=True)
 class HttpProber:
-    """Probes addresses, each once; redirects are followed, bodies not read."""
+    """Probes addresses, each once; redirects are followed, bodies not read. ``tasks`` as of HttpFetcher."""
 
-    tasks: int = 1
+    tasks: int | None = None
     threads: int = 20
     timeout: float = PROBE_TIMEOUT
 
-    def probe(self, urls: DataFrame) -> DataFrame:
-        """(url) as rows of PROBE; the urls should be distinct."""
+    def probe(self, urls: DataFrame, done: Callable[[int], None] | None = None) -> DataFrame:
+        """(url) as rows of PROBE; the urls should be distinct. ``done`` is told, in the tasks, of each batch's number."""
         threads, timeout = max(1, self.threads), self.timeout
 
         def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             s = session()
             with ThreadPoolExecutor(threads) as pool:
                 for batch in batches:
-                    got = pd.DataFrame(list(pool.map(lambda u: _probe(s, u, timeout), batch["url"])), columns=["outcome", "status_code", "redirected_url", "error"], dtype=object)
-                    yield pd.concat([batch[["url"]].reset_index(drop=True), got], axis=1)
+                    for part in range(0, len(batch), HANDED_ON):
+                        own = batch[["url"]].iloc[part : part + HANDED_ON].reset_index(drop=True)
+                        got = pd.DataFrame(list(pool.map(lambda u: _probe(s, u, timeout), own["url"])), columns=["outcome", "status_code", "redirected_url", "error"], dtype=object)
+                        if done:
+                            done(len(own))
+                        yield pd.concat([own, got], axis=1)
+
+        return _by_host(urls.select("url"), _tasks(urls, self.tasks)).mapInPandas(work, PROBE)
+
+
+def _tasks(todo: DataFrame, wanted: int | None) -> int:
+    return wanted or todo.sparkSession.sparkContext.defaultParallelism
+
+
+def _by_host(todo: DataFrame, tasks: int) -> DataFrame:
+    """``todo`` in ``tasks`` partitions, the addresses of a host together."""
+    return todo.repartition(tasks, F.coalesce(host_of(F.col("url")), F.lit("")))
+
 
-        return urls.select("url").repartition(max(1, self.tasks)).mapInPandas(work, PROBE)
+def _as_they_come(pool: ThreadPoolExecutor, work: Callable[[str], dict], urls: list[str], threads: int) -> Iterator[tuple[int, dict]]:
+    """(place, result) of ``work`` on each of ``urls``, as soon as each is done; few are in flight or wait at once."""
+    waiting: dict = {}
+    for at, url in enumerate(urls):
+        waiting[pool.submit(work, url)] = at
+        if len(waiting) >= 2 * threads:
+            done, _ = wait(waiting, return_when=FIRST_COMPLETED)
+            yield from ((waiting.pop(x), x.result()) for x in done)
+    for x in as_completed(list(waiting)):
+        yield waiting[x], x.result()
