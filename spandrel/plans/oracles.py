@@ -116,7 +116,7 @@ WALK = f"""
     edges AS (SELECT DISTINCT n.node AS source, {_key("l.url")} AS target FROM links l JOIN nodes n USING (page_id) WHERE {_crawlable("l.url")}),
     reached AS (
         SELECT arg_min(node, page_id) AS node, 0 AS depth FROM nodes GROUP BY site
-        UNION SELECT e.target, r.depth + 1 FROM reached r JOIN edges e ON e.source = r.node WHERE r.depth < 3),
+        UNION SELECT e.target, r.depth + 1 FROM reached r JOIN edges e ON e.source = r.node WHERE r.depth < 5),
     depths AS (SELECT node, min(depth) AS depth FROM reached GROUP BY node)"""
 #: A pattern without stars, a star with an anchor, and a star, as the compatible matcher has them.
 BODY = "CASE WHEN ends_with(pattern, '$') THEN left(pattern, length(pattern) - 1) ELSE pattern END"
@@ -132,6 +132,43 @@ ROBOTS = f"""
     hits AS (SELECT page_id, arg_max(is_allow, (strlen(pattern), rule_idx)) AS is_allow FROM paths JOIN rules USING (domain) WHERE {MATCH} GROUP BY page_id)"""
 
 
+#: Characters that paths, queries and fragments may have as they are; a quotation mark is doubled for SQL.
+PATH_CHARS = r"A-Za-z0-9/%._~!$&()*+,;=:@|\[\]\\''-"
+QUERY_CHARS = r"A-Za-z0-9/?%._~!$&()*+,;=:@|\[\]\\\^`{}-"
+FRAGMENT_CHARS = r"A-Za-z0-9/?#%._~!$&()*+,;=:@|\[\]\\\^{}''-"
+
+
+def _each(text: str, kept: str) -> str:
+    """``text`` with all characters but ``kept``, a character class, encoded as UTF-8."""
+    return f"array_to_string([CASE WHEN regexp_matches(c, '^[{kept}]$') THEN c ELSE url_encode(c) END FOR c IN regexp_extract_all({text}, '(?s).')], '')"
+
+
+def _climbed(path: str) -> str:
+    """A path without dotted parts, as often as three times in a row."""
+    dot = r"(?:\.|%2[eE])"
+    for _ in range(3):
+        path = f"regexp_replace(regexp_replace(regexp_replace({path}, '^(?:/{dot}{dot})+(/|$)', '/'), '/{dot}(/|$)', '/', 'g'), '/(?:[^/.][^/]*|\\.[^/.][^/]*|)/{dot}{dot}(/|$)', '/')"
+    return path
+
+
+def resolved(rows: str, name: str = "resolved") -> str:
+    """CTEs that end in ``name``: ``rows`` (id, page_url, ref) with ``url``, the address that ``ref`` leads to."""
+    return f"""
+    {name}_trimmed AS (SELECT id, split_part(regexp_replace(page_url, '^[\\x00-\\x20]+|[\\x00-\\x20]+$', '', 'g'), '#', 1) AS base, replace(regexp_replace(regexp_replace(coalesce(ref, ''), '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g'), '[\t\r\n]', '', 'g'), chr(92), '/') AS u FROM ({rows})),
+    {name}_named AS (SELECT id, CASE WHEN u = '' THEN regexp_replace(base, '[\t\r\n]', '', 'g') ELSE u END AS u FROM {name}_trimmed),
+    {name}_pieces AS (
+        SELECT id, u, {_scheme("u")} AS scheme, lower(regexp_extract(u, '^[^:]*://([^/?#]*)', 1)) AS authority, regexp_extract(u, '^[^:]*://[^/?#]*([^?#]*)', 1) AS path,
+            regexp_extract(u, '^[^?#]*(\?[^#]*)', 1) AS query, regexp_extract(u, '^[^#]*(#.*)$', 1) AS fragment
+        FROM {name}_named),
+    {name} AS (
+        SELECT id, CASE WHEN scheme IN ('http', 'https') THEN
+            scheme || '://' || regexp_replace(url_decode(authority), CASE scheme WHEN 'http' THEN ':(80)?$' ELSE ':(443)?$' END, '')
+            || {_each(_climbed("CASE WHEN path = '' THEN '/' ELSE path END"), PATH_CHARS)}
+            || {_each("query", QUERY_CHARS)} || {_each("fragment", FRAGMENT_CHARS)}
+            ELSE scheme || substring(u, length(scheme) + 1) END AS url
+        FROM {name}_pieces WHERE scheme IS NOT NULL)"""
+
+
 def _types(*names: str) -> str:
     return f"WITH {AUDIT} SELECT page_id, severity, issue_type, message FROM page_issues WHERE issue_type IN ({', '.join(repr(x) for x in names)})"
 
@@ -179,6 +216,27 @@ def _number(e: str, *fields: str) -> str:
     return ", ".join(f"TRY_CAST(json_extract_string({e}, '$.{f}') AS INTEGER) AS {f}" for f in fields)
 
 
+def crawl(depth: int) -> str:
+    """A crawl over the pages by the addresses they stand under, level by level: each address once, where it is met first."""
+    levels = ["level0 AS (SELECT seed AS url, seed AS page_key, CAST(0 AS BIGINT) AS seq, 0 AS crawl_depth FROM (SELECT arg_min(address, page_id) AS seed FROM addressed WHERE starts_with(url, 'http')))"]
+    for d in range(1, depth + 1):
+        before = " UNION ALL ".join(f"SELECT * FROM level{k}" for k in range(d))
+        levels.append(f"""level{d} AS (
+            SELECT met.url, page_key, (SELECT count(*) FROM ({before})) + row_number() OVER (ORDER BY met.seq, met.link_idx) - 1 AS seq, {d} AS crawl_depth
+            FROM (SELECT o.page_key, min({{'seq': l.seq, 'link_idx': o.link_idx, 'url': o.url}}) AS met FROM level{d - 1} l JOIN responses r ON r.address = l.url JOIN outgoing o ON o.page_id = r.page_id GROUP BY o.page_key)
+            WHERE page_key NOT IN (SELECT page_key FROM ({before})))""")
+    every = " UNION ALL ".join(f"SELECT * FROM level{k}" for k in range(depth + 1))
+    return f"""WITH addressed AS (SELECT *, {_key("url")} AS address FROM pages),
+        responses AS (SELECT address, min(page_id) AS page_id FROM addressed WHERE address IS NOT NULL GROUP BY address),
+        html AS (SELECT p.* FROM addressed p JOIN responses USING (page_id) WHERE {EXTRACTED}),
+        {resolved("SELECT l.link_id AS id, p.address AS page_url, l.url AS ref FROM links l JOIN html p USING (page_id)")},
+        placed AS (SELECT page_id, url, row_number() OVER (PARTITION BY page_id ORDER BY link_idx, link_id) - 1 AS link_idx FROM (SELECT l.page_id, l.link_idx, l.link_id, r.url FROM links l JOIN resolved r ON r.id = l.link_id)),
+        outgoing AS (SELECT page_id, link_idx, url, {_key("url")} AS page_key FROM placed WHERE {_crawlable("url")}),
+        {", ".join(levels)}
+        SELECT l.seq, l.page_key, l.crawl_depth, p.status_code, CASE WHEN {EXTRACTED} THEN {_trim(_clean("p.title"))} END AS title, CASE WHEN r.page_id IS NULL THEN 'connection failed' END AS error
+        FROM ({every}) l LEFT JOIN responses r ON r.address = l.url LEFT JOIN pages p ON p.page_id = r.page_id"""
+
+
 def oracle_sql() -> dict[str, str]:
     out = {
         "p5_found": FOUND,
@@ -217,6 +275,7 @@ def oracle_sql() -> dict[str, str]:
         "image_endings": f"SELECT {_ending('src')} AS ending, coalesce({_ending('src')} IN ({ENDINGS}), false) AS non_page, count(*) AS n FROM images GROUP BY ALL",
         "redirects": f"SELECT link_id, redirected_url AS final_url FROM links WHERE {_key('url')} IS DISTINCT FROM {_key('redirected_url')} AND redirected_url IS NOT NULL",
         "robots_decisions": f"WITH {ROBOTS} SELECT p.page_id, coalesce(h.is_allow, true) AS allowed FROM pages p LEFT JOIN hits h USING (page_id)",
+        "robots_parsed": "SELECT domain, lower(agent) AS agent, CAST(row_number() OVER (PARTITION BY domain, lower(agent) ORDER BY rule_idx) - 1 AS INTEGER) AS rule_idx, pattern, is_allow FROM robots_rules",
         "crawl_summary": f"WITH {ISSUES} SELECT (SELECT count(*) FROM pages) AS total_pages, (SELECT count(*) FROM links) AS total_links, (SELECT count(*) FROM links WHERE {BROKEN}) AS broken_links, count(*) FILTER (severity = 'Error') AS errors, count(*) FILTER (severity = 'Warning') AS warnings, count(*) FILTER (severity = 'Info') AS infos FROM issues",
         "page_counts": f"WITH {COUNTED} SELECT page_id, errors, warnings, infos, issue_count, severity_rank, {BADGE} AS badge FROM counted",
         "view_errors": f"WITH {ISSUES} SELECT page_id FROM pages WHERE page_id IN (SELECT page_id FROM issues WHERE severity = 'Error')",
@@ -229,12 +288,20 @@ def oracle_sql() -> dict[str, str]:
         "shortened_titles": "SELECT page_id, CASE WHEN length(title) > 24 THEN left(title, 23) || '…' ELSE title END AS title, CASE WHEN length(url) > 48 THEN '…' || right(url, 47) ELSE url END AS url FROM pages",
         "load_delays": "WITH d AS (SELECT page_id, CAST(floor(epoch(loaded_at)) - floor(epoch(fetched_at)) AS BIGINT) AS s FROM pages WHERE fetched_at IS NOT NULL) SELECT page_id, CASE WHEN s >= 3600 THEN lpad(CAST(s // 3600 AS VARCHAR), CAST(greatest(2, length(CAST(s // 3600 AS VARCHAR))) AS INTEGER), '0') || ':' ELSE '' END || lpad(CAST(s // 60 % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(s % 60 AS VARCHAR), 2, '0') AS delay FROM d",
         "bfs_depths": f"WITH RECURSIVE {WALK} SELECT node, depth FROM depths",
-        "unreached_pages": f"WITH RECURSIVE {WALK} SELECT page_id FROM nodes WHERE node NOT IN (SELECT node FROM depths)",
+        "unreached_pages": f"WITH RECURSIVE {WALK}, met AS (SELECT arg_min(node, page_id) AS node FROM nodes GROUP BY site UNION SELECT e.target FROM met JOIN edges e ON e.source = met.node) SELECT page_id FROM nodes WHERE node NOT IN (SELECT node FROM met WHERE node IS NOT NULL)",
         "extracted_pages": f"""SELECT p.page_id, CASE WHEN {EXTRACTED} THEN {_trim(_clean("title"))} END AS title, CASE WHEN {EXTRACTED} THEN {_clean("meta_description")} END AS meta_description,
             CASE WHEN {EXTRACTED} THEN [{_trim(_clean("x"))} FOR x IN h1_tags] ELSE [] END AS h1_tags,
             CASE WHEN {EXTRACTED} THEN {_clean(f"open_graph.{TAGS[0]}")} END AS og_title, CASE WHEN {EXTRACTED} THEN {_clean(f"open_graph.{TAGS[6]}")} END AS og_locale,
             CASE WHEN {EXTRACTED} THEN coalesce(i.n, 0) ELSE 0 END AS images, CASE WHEN {EXTRACTED} THEN coalesce(i.bare, 0) ELSE 0 END AS without_alt
             FROM pages p LEFT JOIN (SELECT page_id, count(*) AS n, count(*) FILTER (alt IS NULL) AS bare FROM images GROUP BY 1) i USING (page_id)""",
-        "audited_html": f"WITH {AUDIT} SELECT severity, issue_type, count(*) AS n FROM page_issues WHERE issue_type <> 'ThinContent' GROUP BY ALL",
+        "crawled_snapshot": crawl(5),
+        "extracted_links": f"""WITH html AS (SELECT * FROM pages WHERE {EXTRACTED}),
+            refs AS (SELECT l.link_id AS id, p.page_id, p.url AS page_url, l.url AS ref, coalesce(l.text, '') AS text, l.link_idx, l.link_id FROM links l JOIN html p USING (page_id)),
+            {resolved("SELECT id, page_url, ref FROM refs")},
+            {resolved("SELECT page_id AS id, url AS page_url, url AS ref FROM html", "bases")}
+            SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY link_idx, link_id) - 1 AS INTEGER) AS link_idx, r.url, {_trim(_clean("text"))} AS text,
+                ({_host("r.url")} IS DISTINCT FROM {_host("b.url")} OR {_port("r.url")} IS DISTINCT FROM {_port("b.url")}) AS is_external
+            FROM refs JOIN resolved r USING (id) JOIN bases b ON b.id = page_id""",
+        "audited_html": f"WITH {AUDIT} SELECT severity, issue_type, count(*) AS n FROM page_issues GROUP BY ALL",
     }
     return out | {f"view_by_{name}": f"WITH {COUNTED} SELECT row_number() OVER (ORDER BY {keys}, page_id) AS position, page_id FROM counted" for name, keys in ORDERS.items()}

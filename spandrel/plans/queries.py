@@ -31,7 +31,7 @@ def page_rule_issues(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _of_types(*names: str) -> Query:
-    return lambda spark, root: page_rule_issues(spark, root).where(F.col("issue_type").isin(*names)).select("page_id", "severity", "issue_type", "message")
+    return lambda spark, root: rules.audit_tables(*_tables(spark, root), "page_id", names).select("page_id", "severity", "issue_type", "message")
 
 
 def link_issues(spark: SparkSession, root: str) -> DataFrame:
@@ -138,7 +138,7 @@ def image_endings(spark: SparkSession, root: str) -> DataFrame:
 
 def redirects(spark: SparkSession, root: str) -> DataFrame:
     found = urls.redirected(F.col("url"), F.col("redirected_url"))
-    return load(spark, root, "links").where(found.isNotNull()).select("link_id", found.alias("final_url"))
+    return load(spark, root, "links").where("redirected_url is not null").where(found.isNotNull()).select("link_id", found.alias("final_url"))
 
 
 def robots_decisions(spark: SparkSession, root: str) -> DataFrame:
@@ -148,20 +148,27 @@ def robots_decisions(spark: SparkSession, root: str) -> DataFrame:
 # Counts, ranks and views.
 
 
+def robots_parsed(spark: SparkSession, root: str) -> DataFrame:
+    """The rules of robots.txt texts, which are made of the rules of each origin: a group of lines for each agent."""
+    groups = load(spark, root, "robots_rules").groupBy("domain", "agent").agg(F.sort_array(F.collect_list(F.struct("rule_idx", "pattern", "is_allow"))).alias("rules"))
+    lines = F.transform("rules", lambda r: F.concat(F.when(r["is_allow"], F.lit("Allow: ")).otherwise(F.lit("disallow :")), r["pattern"]))
+    text = F.concat(F.lit("# rules\r\n User-Agent: "), F.upper("agent"), F.lit("\n\nCrawl-delay: 1\nnonsense\n"), F.array_join(lines, "\r\n"))
+    texts = groups.groupBy("domain").agg(F.array_join(F.sort_array(F.collect_list(text)), "\nSitemap: /s.xml\n").alias("text"))
+    return robots.parsed(texts)
+
+
 def crawl_summary(spark: SparkSession, root: str) -> DataFrame:
-    pages, links, _ = _tables(spark, root)
-    return summary.summarize(pages, links, all_issues(spark, root))
+    return summary.summarize_tables(*_tables(spark, root), "page_id")
 
 
 def page_counts(spark: SparkSession, root: str) -> DataFrame:
-    out = summary.per_page(load(spark, root, "pages"), all_issues(spark, root), "page_id")
+    out = summary.per_page_of_tables(*_tables(spark, root), "page_id")
     return out.select("page_id", "errors", "warnings", "infos", "issue_count", "severity_rank", summary.badge(F.col("errors"), F.col("warnings"), F.col("infos")).alias("badge"))
 
 
 def _sorted_by(sort: str) -> Query:
     def query(spark: SparkSession, root: str) -> DataFrame:
-        pages = load(spark, root, "pages").select("page_id", "url", "title", "content_type", "status_code", "crawl_depth")
-        counted = summary.per_page(pages, all_issues(spark, root), "page_id")
+        counted = summary.per_page_of_tables(*_tables(spark, root), "page_id").select("page_id", "url", "status_code", "crawl_depth", "severity_rank", "issue_count")
         return views.positioned(counted, [*views.order(sort), F.asc("page_id")]).select("position", "page_id")
 
     return query
@@ -220,10 +227,10 @@ def _walk(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
 
 
 def bfs_depths(spark: SparkSession, root: str) -> DataFrame:
-    """What can be reached in three steps from the first page of each site."""
+    """What can be reached in five steps, the usual depth of a crawl, from the first page of each site."""
     nodes, targets = _walk(spark, root)
     edges = targets.join(nodes, "page_id").select(F.col("node").alias("source"), "target").distinct()
-    return crawl.reach(nodes.groupBy("site").agg(F.min_by("node", "page_id").alias("node")), edges, 3)
+    return crawl.reach(nodes.groupBy("site").agg(F.min_by("node", "page_id").alias("node")), edges, 5)
 
 
 def unreached_pages(spark: SparkSession, root: str) -> DataFrame:
@@ -275,6 +282,12 @@ def extracted_pages(spark: SparkSession, root: str) -> DataFrame:
     return got.select("page_id", "title", "meta_description", "h1_tags", F.col("open_graph.og_title").alias("og_title"), F.col("open_graph.og_locale").alias("og_locale"), F.size("images").cast("bigint").alias("images"), F.size(F.filter("images", lambda x: x["alt"].isNull())).cast("bigint").alias("without_alt"))
 
 
+def extracted_links(spark: SparkSession, root: str) -> DataFrame:
+    """The links of the rendered pages as they are extracted: in their order, resolved, with their texts."""
+    got = extract.extracted(rendered_pages(spark, root)).select("page_id", F.posexplode("links").alias("link_idx", "link"))
+    return got.select("page_id", "link_idx", "link.url", "link.text", "link.is_external")
+
+
 def audited_html(spark: SparkSession, root: str) -> DataFrame:
     """Extraction and rules in one go, from HTML to issues by type."""
     pages = rules.audit(extract.extracted(rendered_pages(spark, root)))
@@ -316,7 +329,7 @@ def p5_pages(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = (page_rule_issues, link_issues, link_issues_without_redirects, issues_by_type, issues_by_severity, title_length_histogram, content_indicators, broken_links, checked_links, probe_outcomes, unique_links, link_fan_in, repeated_links_per_page, skipped_schemes, normalized_urls, url_parts, pages_per_origin, external_links, crawlable_links, image_endings, redirects, robots_decisions, crawl_summary, page_counts, view_errors, view_search, view_first_page, view_table, report_order, issue_order, display_titles, shortened_titles, load_delays, bfs_depths, unreached_pages, extracted_pages, audited_html, crawled_snapshot, report_documents, p5_found, p5_shredded, p5_links, p5_pages)
+    own = (page_rule_issues, link_issues, link_issues_without_redirects, issues_by_type, issues_by_severity, title_length_histogram, content_indicators, broken_links, checked_links, probe_outcomes, unique_links, link_fan_in, repeated_links_per_page, skipped_schemes, normalized_urls, url_parts, pages_per_origin, external_links, crawlable_links, image_endings, redirects, robots_decisions, robots_parsed, crawl_summary, page_counts, view_errors, view_search, view_first_page, view_table, report_order, issue_order, display_titles, shortened_titles, load_delays, bfs_depths, unreached_pages, extracted_pages, extracted_links, audited_html, crawled_snapshot, report_documents, p5_found, p5_shredded, p5_links, p5_pages)
     out: dict[str, Query] = {f.__name__: f for f in own}
     out |= {
         "title_issues": _of_types("MissingTitle", "TitleTooShort", "TitleTooLong"),
