@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,7 @@ from spandrel.operators.extract import links_of
 from spandrel.operators.linkcheck import check_pages, unique_links
 from spandrel.operators.rules import audit
 from spandrel.operators.summary import summarize_nested
-from spandrel.plans.runtime import Listener, Progress, Stage
+from spandrel.plans.runtime import Listener, Progress, Stage, watched
 from spandrel.sources.config import RuntimeOptions
 from spandrel.tables import settle
 
@@ -35,9 +36,17 @@ def audit_site(spark: SparkSession, options: RuntimeOptions, fetcher: Fetcher, p
     pages, probes = crawled.pages, None
     if prober is not None:
         urls = unique_links(links_of(pages))
-        probes = settle(prober.probe(urls))
-        total = probes.count()
-        tell("progress", Progress(Stage.CHECKING, f"Checked {total} links", links_checked=total, total_links=total))
+        urls = settle(urls)
+        total = urls.count()
+        say = lambda n: tell("progress", Progress(Stage.CHECKING, f"Checked {n} of {total} links", links_checked=n, total_links=total))
+        say(0)
+        if "done" in inspect.signature(prober.probe).parameters:
+            counter = spark.sparkContext.accumulator(0)
+            with watched(lambda: counter.value, say):
+                probes = settle(prober.probe(urls, counter.add))
+        else:
+            probes = settle(prober.probe(urls))
+        say(total)
         pages = check_pages(pages, probes, options.ignore_redirects)
     tell("progress", Progress(Stage.ANALYZING, "Applying rules"))
     pages = settle(audit(pages))

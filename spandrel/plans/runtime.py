@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import sys
-from collections.abc import Callable
+import threading
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field, replace
 from enum import Enum
+from typing import TextIO
 
 from spandrel.sources.config import RuntimeOptions
 
@@ -99,3 +102,46 @@ class State:
 
 
 Listener = Callable[[str, object], None]
+
+
+class Bar:
+    """Draws the progress of a run as one line that is written over, or where nobody looks, as nothing."""
+
+    WIDTH = 24
+
+    def __init__(self, out: TextIO, most_pages: int | None = None, live: bool | None = None) -> None:
+        self.out, self.most, self.live, self.size = out, most_pages, out.isatty() if live is None else live, 0
+
+    def line(self, p: Progress) -> str:
+        done, of, what = (p.links_checked, max(p.total_links, p.links_discovered), "links") if p.stage is Stage.CHECKING else (p.pages_crawled, self.most, "pages")
+        full = round(self.WIDTH * min(done / of, 1)) if of else 0
+        return f"[{'#' * full}{'-' * (self.WIDTH - full)}] {done}/{of if of is not None else '?'} {what}  {p.stage.value}: {p.message}"
+
+    def __call__(self, kind: str, value: object) -> None:
+        if not self.live or kind != "progress":
+            return
+        text = "" if value.stage in (Stage.REPORTING, Stage.FINISHED) else self.line(value)
+        self.out.write("\r" + text.ljust(self.size) + ("\r" + " " * self.size + "\r" if not text else ""))
+        self.out.flush()
+        self.size = len(text)
+
+
+@contextmanager
+def watched(value: Callable[[], int], tell: Callable[[int], None], every: float = 0.5) -> Iterator[None]:
+    """Tells what ``value`` gives whenever it has changed, while the body runs."""
+    over = threading.Event()
+
+    def look() -> None:
+        last = 0
+        while not over.wait(every):
+            if (now := value()) != last:
+                tell(now)
+                last = now
+
+    thread = threading.Thread(target=look, daemon=True)
+    thread.start()
+    try:
+        yield
+    finally:
+        over.set()
+        thread.join()

@@ -120,6 +120,7 @@ class RuntimeOptions:
     concurrency: int = 5
     respect_robots_txt: bool = True
     config: str | None = None
+    loaded_from: str | None = None
 
 
 def resolve(said: dict, config: Config | None = None) -> RuntimeOptions:

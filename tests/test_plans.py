@@ -4,7 +4,7 @@ import json
 import pytest
 
 from spandrel import cli
-from spandrel.plans.runtime import LaunchMode, Progress, Stage, State, Terminal, launch_mode
+from spandrel.plans.runtime import Bar, LaunchMode, Progress, Stage, State, Terminal, launch_mode
 from spandrel.sinks import report
 from spandrel.sources import releases
 from spandrel.sources.config import Config, ConfigError, RuntimeOptions, default_paths, resolve
@@ -164,6 +164,58 @@ def test_dashboard(spark):
     assert dashboard.step(dashboard.View(), "?", 5) == dashboard.View() and dashboard.step(dashboard.View(), "s", 5).sort == "Issues"
 
 
+def test_dashboard_asks_scans_and_shows(spark):
+    from spandrel.plans import dashboard
+
+    scanned = []
+
+    def scan(url, listen):
+        if "bad" in url:
+            raise ValueError("no such host")
+        listen("progress", Progress(Stage.CRAWLING, "Depth 0", pages_crawled=1))
+        scanned.append(url)
+        return frame(spark, page(url))
+
+    out = io.StringIO()
+    pages = dashboard.live(None, scan, io.StringIO("ftp://x\nhttp://bad/\nhttp://a/\nu http://b/\nq\n"), out)
+    said = out.getvalue()
+    assert scanned == ["http://a/", "http://b/"] and pages.first().page_key == "http://b/"
+    assert "must start with http" in said and "Scan failed: no such host" in said and "http://a/  Crawling  Depth 0" in said and "1 pages | All" in said
+    assert dashboard.live(None, scan, io.StringIO("q\n"), out) is None
+
+
+def test_bar():
+    out = io.StringIO()
+    bar = Bar(out, 10, live=True)
+    bar("progress", Progress(Stage.CRAWLING, "Depth 1", pages_crawled=5))
+    bar("progress", Progress(Stage.CHECKING, "x", links_checked=3, total_links=4))
+    bar("progress", Progress(Stage.REPORTING, "Done"))
+    lines = out.getvalue().split("\r")
+    assert "############------------] 5/10 pages" in lines[1] and "3/4 links" in lines[2] and not lines[-1].strip()
+    quiet = io.StringIO()
+    Bar(quiet, 10)("progress", Progress(Stage.CRAWLING))
+    assert quiet.getvalue() == ""
+
+
+def test_watched_values_are_told():
+    import time
+
+    from spandrel.plans.runtime import watched
+
+    n, told = [0], []
+    with watched(lambda: n[0], told.append, 0.01):
+        n[0] = 4
+        time.sleep(0.2)
+    assert told == [4]
+
+
+def test_introduction(tmp_path, monkeypatch):
+    monkeypatch.chdir(tmp_path)
+    (tmp_path / "spandrel.json").write_text('{"depth": 2}')
+    lines = cli.introduction(cli.options_of(["http://h/", "-r", "3"]))
+    assert "spandrel.json" in lines[0] and "depth 2" in lines[1] and "3.0 a second" in lines[1]
+
+
 def test_end_to_end_on_the_command_line(spark, tmp_path, monkeypatch, capsys):
     import threading
     from http.server import ThreadingHTTPServer
