@@ -11,6 +11,27 @@ import pyarrow.compute as pc
 ROWS, BYTES = 2000, 8 << 20
 
 
+class Growing:
+    """An array that grows at its end; what it has is copied only when its room doubles."""
+
+    def __init__(self, dtype: type) -> None:
+        self.room, self.size = np.empty(1024, dtype), 0
+
+    def extend(self, values: np.ndarray) -> None:
+        if self.size + len(values) > len(self.room):
+            room = np.empty(max(2 * len(self.room), self.size + len(values)), self.room.dtype)
+            room[: self.size] = self.room[: self.size]
+            self.room = room
+        self.room[self.size : self.size + len(values)] = values
+        self.size += len(values)
+
+    def __getitem__(self, at: np.ndarray) -> np.ndarray:
+        return self.room[: self.size][at]
+
+    def __len__(self) -> int:
+        return self.size
+
+
 def slices(batch: pa.RecordBatch, text: int | str) -> Iterator[pa.RecordBatch]:
     """``batch`` in slices of at most ROWS rows and about BYTES bytes in the column ``text``; a longer text is by itself."""
     size = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)

@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from spandrel.llm.batches import slices
 from spandrel.tables import written
 
-# Letters of other scripts beside the Latin letters they look like.
+# Letters of other scripts beside the Latin letters they look like: of the public confusables data the single
+# letters of the same case that differ by no visible stroke.
 LOOKALIKES = (
     # Cyrillic
     ("АВЕЅІЈКМНОРСТУХҮԀԌԚԜӀѴ", "ABESIJKMHOPCTYXYDGQWIV"),
@@ -28,8 +29,18 @@ LOOKALIKES = (
     # Greek
     ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹϳ", "ABEZHIKMNOPTYXCj"),
     ("αγινορυχϲ", "ayivopuxc"),
+    ("ͿϜϺ", "JFM"),
+    # Cyrillic omega
+    ("ѡ", "w"),
     # Armenian, and Latin letters of odd shape
     ("օսոհցյ", "ounhgj"),
+    ("ՍՏՕաքզռ", "USOwfqn"),
+    # Cherokee, Coptic, Georgian and Hebrew
+    ("ᎠᎡᎢᎩᎪᎫᎬᎳᎷᎻᎽᏀᏃᏒᏔᏕᏙᏚᏞᏟᏢᏦᏳᏴ", "DRTYAJEWMHYGZRWSVSLCPKGB"),
+    ("ⲎⲒⲔⲘⲚⲞⲢⲤⲦⲨⲬⲟⲣⲥ", "HIKMNOPCTYXopc"),
+    ("ყჿס", "yoo"),
+    # small capitals
+    ("ᴄᴏᴑᴜᴠᴡᴢ", "coouvwz"),
     ("ɑɡƖǀ", "agll"),
     # hyphens that do and don't allow a line break
     ("\u2010\u2011", "--"),

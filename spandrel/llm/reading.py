@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spandrel.llm.batches import slices
+from spandrel.llm.batches import Growing, slices
 from spandrel.tables import written
 
 SLOTS = 1 << 18
@@ -75,7 +75,7 @@ class Words:
     def __init__(self) -> None:
         self.parts = _Parts()
         self.done = 0
-        self.length, self.start, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.length, self.start, self.pool = Growing(np.int64), Growing(np.int64), Growing(np.int64)
 
     def of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All words' hashes, where each text's end, and each text's number of parts."""
@@ -91,9 +91,9 @@ class Words:
         fresh = self.parts.hashes[self.done :]
         self.done = len(self.parts.hashes)
         length = np.array([len(x) for x in fresh], np.int64)
-        self.start = np.concatenate([self.start, len(self.pool) + np.cumsum(length) - length])
-        self.length = np.concatenate([self.length, length])
-        self.pool = np.concatenate([self.pool, np.array([b for x in fresh for b in x], np.int64)])
+        self.start.extend(len(self.pool) + np.cumsum(length) - length)
+        self.length.extend(length)
+        self.pool.extend(np.array([b for x in fresh for b in x], np.int64))
         units = np.array(numbers, np.int64)
         length = self.length[units]
         tail = np.cumsum(length)

@@ -20,7 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from spandrel.llm.batches import slices
+from spandrel.llm.batches import Growing, slices
 
 TOKENIZERS = os.environ.get("SPANDREL_TOKENIZERS", "/opt/tokenizers")
 # Fixed value: the pattern that splits text before byte-level merges.
@@ -142,8 +142,8 @@ class Units:
         self.count, self.fresh = 0, []
         self.plain, self.spaced = _Numbers(self, ""), _Numbers(self, " ")
         self.words: dict[str, list[int]] = {}
-        self.start, self.length, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
-        self.sizes = {n: np.zeros(0, np.int64) for n in self.names}
+        self.start, self.length, self.pool = Growing(np.int64), Growing(np.int64), Growing(np.int32)
+        self.sizes = {n: Growing(np.int64) for n in self.names}
 
     def split(self, text: str) -> list[int]:
         if UNEVEN.search(text):
@@ -181,9 +181,9 @@ class Units:
             self.words[spelled[data]] = ids
         ids = [[i for w in ws for i in self.words[w]] for ws in split]
         length = np.array([len(x) for x in ids], np.int64)
-        self.start = np.concatenate([self.start, len(self.pool) + np.cumsum(length) - length])
-        self.length = np.concatenate([self.length, length])
-        self.pool = np.concatenate([self.pool, np.fromiter((i for x in ids for i in x), np.int32)])
+        self.start.extend(len(self.pool) + np.cumsum(length) - length)
+        self.length.extend(length)
+        self.pool.extend(np.fromiter((i for x in ids for i in x), np.int32))
         self.fresh = []
 
     def measure(self, texts: list[str | None]) -> dict[str, np.ndarray]:
@@ -191,7 +191,7 @@ class Units:
         units, ends = self.numbers(texts)
         for name in self.names:
             got = [len(x.ids) for x in tokenizer(self.home, name).encode_batch(self.fresh, add_special_tokens=False)] if self.fresh else []
-            self.sizes[name] = np.concatenate([self.sizes[name], np.array(got, np.int64)])
+            self.sizes[name].extend(np.array(got, np.int64))
         self.fresh = []
         out = {}
         for name in self.names:

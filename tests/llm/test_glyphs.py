@@ -90,3 +90,23 @@ def test_values_are_brought_to_their_form_once(spark):
 
 def test_dotless_i_is_seen():
     assert len(set(glyphs.same_look(pa.array(["ısı", "isi"])).to_pylist())) == 2
+
+
+def test_letters_against_the_public_confusables(spark):
+    """The pairs are those of the data that comes with the session's libraries; of the letters that it has for Latin ones
+    in these scripts, at least two thirds are in the table."""
+    try:
+        checker = spark._jvm.com.ibm.icu.text.SpoofChecker.Builder().build()
+    except Exception:
+        pytest.skip("no confusables data")
+    skeleton = {}
+    for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz":
+        skeleton.setdefault(checker.getSkeleton(c), []).append(c)
+    known = {}
+    for cp in [*range(0x370, 0x590), *range(0x13A0, 0x13F6), *range(0x2C80, 0x2CE4), *range(0x10D0, 0x1100)]:
+        c = chr(cp)
+        if c.isalpha() and not unicodedata.decomposition(c) and checker.getSkeleton(c) in skeleton:
+            known[c] = skeleton[checker.getSkeleton(c)]
+    own = {a: b for x, y in glyphs.LOOKALIKES for a, b in zip(x, y, strict=True)}
+    assert {a for a, b in own.items() if a in known and b not in known[a]} <= {"\u04cf"}  # a bare stroke, there a dotless i
+    assert sum(a in own for a in known) >= 2 / 3 * len(known)
