@@ -46,11 +46,13 @@ BANDS = r"""
 
 def oracle_sql() -> dict[str, str]:
     form = f"trim(regexp_replace(nfc_normalize(replace(translate(regexp_replace(value, '{INVISIBLE}', '', 'g'), '{FROM}', '{TO.replace(chr(39), chr(39) * 2)}'), 'ﬁ', 'fi')), '{WHITE}', ' ', 'g'))"
+    texts = "texts AS (SELECT 'title' AS field, page_id, title AS value FROM pages UNION ALL SELECT 'meta_description', page_id, meta_description FROM pages UNION ALL SELECT 'og_title', page_id, open_graph.og_title FROM pages)"
     return {
         "p8_found": BANDS,
         "p1_found": f"WITH {CANON}, firsts AS (SELECT kind, address, min(id) AS first_id FROM canon GROUP BY ALL) SELECT kind, first_id, id AS copy_id FROM canon JOIN firsts USING (kind, address) WHERE id <> first_id",
         "p1_collapsed": f"WITH {CANON} SELECT kind, address, min(id) AS first_id, count(*) AS n FROM canon GROUP BY ALL",
-        "p2_found": f"""WITH texts AS (SELECT 'title' AS field, page_id, title AS value FROM pages UNION ALL SELECT 'meta_description', page_id, meta_description FROM pages UNION ALL SELECT 'og_title', page_id, open_graph.og_title FROM pages),
+        "p2_forms": f"WITH {texts} SELECT field, page_id, value, {form} AS form FROM texts",
+        "p2_found": f"""WITH {texts},
             forms AS (SELECT *, {form} AS form FROM texts WHERE value IS NOT NULL),
             firsts AS (SELECT field, form, min(page_id) AS first_id, arg_min(value, page_id) AS first_value FROM forms WHERE form <> '' GROUP BY ALL)
             SELECT field, first_id, page_id FROM forms JOIN firsts USING (field, form) WHERE value <> first_value""",
