@@ -127,8 +127,8 @@ def _survivors(rows: DataFrame) -> DataFrame:
     return hard.withColumn("address", F.coalesce("easy", "hard")).where(F.col("address").isNotNull()).select("kind", "url", "low", "n", "address")
 
 
-def _digest(address: Column) -> Column:
-    return F.unhex(F.md5(address))
+def _digest(text: Column) -> Column:
+    return F.unhex(F.md5(text))
 
 
 def collapse_addresses(rows: DataFrame) -> DataFrame:
@@ -145,8 +145,9 @@ def repeated_addresses(rows: DataFrame) -> DataFrame:
     ``rows`` has kind, id (unique within a kind) and url. Nulls, empty and non-web addresses are no cases.
     """
     rows = rows.select("kind", "id", "url")
-    survivors = written(_survivors(rows).withColumn("key", _digest(F.col("address"))))
-    # Grouped on the full canonical text; its digest of 128 bits carries the result back to the spellings.
+    survivors = written(_survivors(rows).select("kind", _digest(F.col("url")).alias("raw"), "low", "n", "address", _digest(F.col("address")).alias("key")))
+    # Grouped on the full canonical text; digests of 128 bits carry the result back to the spellings and to their rows.
     groups = survivors.groupBy("kind", "address").agg(F.min("low").alias("first_id"), F.sum("n").alias("n")).where("n > 1").select("kind", _digest(F.col("address")).alias("key"), "first_id")
-    firsts = survivors.select("kind", "url", "key").join(groups, ["kind", "key"]).select("kind", "url", "first_id")
-    return rows.join(firsts, ["kind", "url"]).where("id <> first_id").select("kind", "first_id", F.col("id").alias("copy_id"))
+    firsts = survivors.select("kind", "raw", "key").join(groups, ["kind", "key"]).select("kind", "raw", "first_id")
+    spelled = rows.where("url is not null").select("kind", "id", _digest(F.col("url")).alias("raw"))
+    return spelled.join(firsts, ["kind", "raw"]).where("id <> first_id").select("kind", "first_id", F.col("id").alias("copy_id"))
