@@ -153,8 +153,8 @@ def _climbed(path: str) -> str:
 
 def resolved(rows: str, name: str = "resolved") -> str:
     """CTEs that end in ``name``: ``rows`` (id, page_url, ref) with ``url``, the address that ``ref`` leads to."""
-    return f"""
-    {name}_trimmed AS (SELECT id, split_part(regexp_replace(page_url, '^[\\x00-\\x20]+|[\\x00-\\x20]+$', '', 'g'), '#', 1) AS base, replace(regexp_replace(regexp_replace(coalesce(ref, ''), '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g'), '[\t\r\n]', '', 'g'), chr(92), '/') AS u FROM ({rows})),
+    return rf"""
+    {name}_trimmed AS (SELECT id, split_part(regexp_replace(page_url, '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g'), '#', 1) AS base, replace(regexp_replace(regexp_replace(coalesce(ref, ''), '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g'), '[\t\r\n]', '', 'g'), chr(92), '/') AS u FROM ({rows})),
     {name}_named AS (SELECT id, CASE WHEN u = '' THEN regexp_replace(base, '[\t\r\n]', '', 'g') ELSE u END AS u FROM {name}_trimmed),
     {name}_pieces AS (
         SELECT id, u, {_scheme("u")} AS scheme, lower(regexp_extract(u, '^[^:]*://([^/?#]*)', 1)) AS authority, regexp_extract(u, '^[^:]*://[^/?#]*([^?#]*)', 1) AS path,
