@@ -291,7 +291,7 @@ def oracle_sql() -> dict[str, str]:
         "unreached_pages": f"WITH RECURSIVE {WALK}, met AS (SELECT arg_min(node, page_id) AS node FROM nodes GROUP BY site UNION SELECT e.target FROM met JOIN edges e ON e.source = met.node) SELECT page_id FROM nodes WHERE node NOT IN (SELECT node FROM met WHERE node IS NOT NULL)",
         "extracted_pages": f"""SELECT p.page_id, CASE WHEN {EXTRACTED} THEN {_trim(_clean("title"))} END AS title, CASE WHEN {EXTRACTED} THEN {_clean("meta_description")} END AS meta_description,
             CASE WHEN {EXTRACTED} THEN [{_trim(_clean("x"))} FOR x IN h1_tags] ELSE [] END AS h1_tags,
-            CASE WHEN {EXTRACTED} THEN {_clean(f"open_graph.{TAGS[0]}")} END AS og_title, CASE WHEN {EXTRACTED} THEN {_clean(f"open_graph.{TAGS[6]}")} END AS og_locale,
+            {", ".join(f"CASE WHEN {EXTRACTED} THEN {_clean('open_graph.' + t)} END AS {t}" for t in TAGS)},
             CASE WHEN {EXTRACTED} THEN coalesce(i.n, 0) ELSE 0 END AS images, CASE WHEN {EXTRACTED} THEN coalesce(i.bare, 0) ELSE 0 END AS without_alt
             FROM pages p LEFT JOIN (SELECT page_id, count(*) AS n, count(*) FILTER (alt IS NULL) AS bare FROM images GROUP BY 1) i USING (page_id)""",
         "crawled_snapshot": crawl(5),
@@ -302,6 +302,9 @@ def oracle_sql() -> dict[str, str]:
             SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY link_idx, link_id) - 1 AS INTEGER) AS link_idx, r.url, {_trim(_clean("text"))} AS text,
                 ({_host("r.url")} IS DISTINCT FROM {_host("b.url")} OR {_port("r.url")} IS DISTINCT FROM {_port("b.url")}) AS is_external
             FROM refs JOIN resolved r USING (id) JOIN bases b ON b.id = page_id""",
+        "extracted_images": f"""WITH refs AS (SELECT i.image_id AS id, p.page_id, p.url AS page_url, i.src AS ref, {_clean("i.alt")} AS alt, i.img_idx FROM images i JOIN (SELECT * FROM pages WHERE {EXTRACTED}) p USING (page_id) WHERE i.src IS NOT NULL),
+            {resolved("SELECT id, page_url, ref FROM refs")}
+            SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY img_idx, id) - 1 AS INTEGER) AS img_idx, url AS src, alt FROM refs JOIN resolved USING (id)""",
         "audited_html": f"WITH {AUDIT} SELECT severity, issue_type, count(*) AS n FROM page_issues GROUP BY ALL",
     }
     return out | {f"view_by_{name}": f"WITH {COUNTED} SELECT row_number() OVER (ORDER BY {keys}, page_id) AS position, page_id FROM counted" for name, keys in ORDERS.items()}

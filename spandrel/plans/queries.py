@@ -12,7 +12,7 @@ from spandrel.operators import crawl, extract, linkcheck, nested, robots, rules,
 from spandrel.plans.oracles import oracle_sql  # noqa: F401
 from spandrel.sinks import report
 from spandrel.sources.snapshots import SnapshotFetcher
-from spandrel.tables import load, settle
+from spandrel.tables import load, settle, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 AGENT = "auditbot"
@@ -256,8 +256,18 @@ def _escaped(value: F.Column) -> F.Column:
     return value
 
 
+_rendered: dict[tuple[str, str], DataFrame] = {}
+
+
 def rendered_pages(spark: SparkSession, root: str) -> DataFrame:
-    """Pages as HTML, made of the tables: responses (page_id, url, status_code, content_type, body, crawl_depth)."""
+    """Pages as HTML: responses (page_id, url, status_code, content_type, body, crawl_depth), made once a session."""
+    key = (spark.sparkContext.applicationId, root)
+    if key not in _rendered:
+        _rendered[key] = written(_render(spark, root))
+    return _rendered[key]
+
+
+def _render(spark: SparkSession, root: str) -> DataFrame:
     pages, links, images = _tables(spark, root)
     anchors = links.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("link_idx", "link_id", F.concat(F.lit('<a href="'), _escaped(F.coalesce("url", F.lit(""))), F.lit('">'), _escaped(F.coalesce("text", F.lit(""))), F.lit("</a>")).alias("a")))).alias("anchors"))
     pictures = images.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("img_idx", F.concat(F.lit('<img src="'), _escaped(F.col("src")), F.lit('"'), F.coalesce(F.concat(F.lit(' alt="'), _escaped(F.col("alt")), F.lit('"')), F.lit("")), F.lit(">")).alias("i")))).alias("pictures"))
@@ -279,7 +289,7 @@ def rendered_pages(spark: SparkSession, root: str) -> DataFrame:
 
 def extracted_pages(spark: SparkSession, root: str) -> DataFrame:
     got = extract.extracted(rendered_pages(spark, root))
-    return got.select("page_id", "title", "meta_description", "h1_tags", F.col("open_graph.og_title").alias("og_title"), F.col("open_graph.og_locale").alias("og_locale"), F.size("images").cast("bigint").alias("images"), F.size(F.filter("images", lambda x: x["alt"].isNull())).cast("bigint").alias("without_alt"))
+    return got.select("page_id", "title", "meta_description", "h1_tags", *(F.col(f"open_graph.{t}").alias(t) for t in nested.TAGS), F.size("images").cast("bigint").alias("images"), F.size(F.filter("images", lambda x: x["alt"].isNull())).cast("bigint").alias("without_alt"))
 
 
 def extracted_links(spark: SparkSession, root: str) -> DataFrame:
@@ -288,6 +298,12 @@ def extracted_links(spark: SparkSession, root: str) -> DataFrame:
     return got.select("page_id", "link_idx", "link.url", "link.text", "link.is_external")
 
 
+def extracted_images(spark: SparkSession, root: str) -> DataFrame:
+    """The images of the rendered pages as they are extracted: in their order, resolved, with their alternative texts."""
+    got = extract.extracted(rendered_pages(spark, root)).select("page_id", F.posexplode("images").alias("img_idx", "image"))
+    return got.select("page_id", "img_idx", "image.src", "image.alt")
+
+
 def audited_html(spark: SparkSession, root: str) -> DataFrame:
     """Extraction and rules in one go, from HTML to issues by type."""
     pages = rules.audit(extract.extracted(rendered_pages(spark, root)))
@@ -329,7 +345,7 @@ def p5_pages(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = (page_rule_issues, link_issues, link_issues_without_redirects, issues_by_type, issues_by_severity, title_length_histogram, content_indicators, broken_links, checked_links, probe_outcomes, unique_links, link_fan_in, repeated_links_per_page, skipped_schemes, normalized_urls, url_parts, pages_per_origin, external_links, crawlable_links, image_endings, redirects, robots_decisions, robots_parsed, crawl_summary, page_counts, view_errors, view_search, view_first_page, view_table, report_order, issue_order, display_titles, shortened_titles, load_delays, bfs_depths, unreached_pages, extracted_pages, extracted_links, audited_html, crawled_snapshot, report_documents, p5_found, p5_shredded, p5_links, p5_pages)
+    own = (page_rule_issues, link_issues, link_issues_without_redirects, issues_by_type, issues_by_severity, title_length_histogram, content_indicators, broken_links, checked_links, probe_outcomes, unique_links, link_fan_in, repeated_links_per_page, skipped_schemes, normalized_urls, url_parts, pages_per_origin, external_links, crawlable_links, image_endings, redirects, robots_decisions, robots_parsed, crawl_summary, page_counts, view_errors, view_search, view_first_page, view_table, report_order, issue_order, display_titles, shortened_titles, load_delays, bfs_depths, unreached_pages, extracted_pages, extracted_links, extracted_images, audited_html, crawled_snapshot, report_documents, p5_found, p5_shredded, p5_links, p5_pages)
     out: dict[str, Query] = {f.__name__: f for f in own}
     out |= {
         "title_issues": _of_types("MissingTitle", "TitleTooShort", "TitleTooLong"),

@@ -209,6 +209,18 @@ def test_watched_values_are_told():
     assert told == [4]
 
 
+@pytest.mark.parametrize(("own", "general", "level"), [("debug", None, "DEBUG"), (None, "warning", "WARNING"), ("info", "debug", "INFO"), ("odd", None, "INFO"), (None, None, None)])
+def test_logging(monkeypatch, own, general, level):
+    import logging
+
+    said = {}
+    monkeypatch.setattr(logging, "basicConfig", lambda **x: said.update(x))
+    for name, value in (("SPANDREL_LOG", own), ("LOG_LEVEL", general)):
+        monkeypatch.setenv(name, value) if value else monkeypatch.delenv(name, raising=False)
+    cli.init_logging()
+    assert said["level"] == (getattr(logging, level) if level else logging.CRITICAL + 1)
+
+
 def test_introduction(tmp_path, monkeypatch):
     monkeypatch.chdir(tmp_path)
     (tmp_path / "spandrel.json").write_text('{"depth": 2}')
