@@ -164,13 +164,14 @@ def stand_ins(values: DataFrame, *also: str, bodies: DataFrame | None = None) ->
     low = F.when(F.length(host) >= 4, F.replace(F.lower("value"), host, F.lit("@"))).otherwise(F.lower("value"))
     slug = F.regexp_extract(F.coalesce("url", F.lit("")), r"^[^:]*://[^/]*/(.*)", 1)
     shown = values.where("value is not null").withColumn("_low", F.when(F.length(name) >= 4, F.replace(low, name, F.lit("@"))).otherwise(low))
-    shown = shown.withColumn("_terms", F.array_distinct(_terms(F.col("_low")))).withColumn("_page", F.array_distinct(F.concat(_terms(F.col("others")), _terms(slug))))
+    terms_of = lambda df: df.withColumn("_terms", F.array_distinct(_terms(F.col("_low")))).withColumn("_page", F.array_distinct(F.concat(_terms(F.col("others")), _terms(slug))))
     # How often a term recurs in the other texts of its pages: what content is made of does, messages hardly.
-    recurring = shown.where("size(_page) > 0").select(F.explode(F.transform("_terms", lambda t: F.struct(t.alias("term"), F.array_contains("_page", t).alias("again")))).alias("x")).groupBy("x.term").agg(F.avg(F.col("x.again").cast("double")).alias("again"))
-    small = shown.select("page_id", "site", "field", *also, F.col("_low").alias("_value"), "_terms", _agrees(F.col("_terms"), F.col("_page")).alias("_agrees"))
-    kept = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in small.drop("_value").schema)
+    recurring = terms_of(shown).where("size(_page) > 0").select(F.explode(F.transform("_terms", lambda t: F.struct(t.alias("term"), F.array_contains("_page", t).alias("again")))).alias("x")).groupBy("x.term").agg(F.avg(F.col("x.again").cast("double")).alias("again"))
+    small = shown.select("page_id", "site", "field", *also, "_low", "others", "url")
+    kept = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in small.schema)
+    opened = terms_of(small.mapInArrow(_open, f"{kept}, _form string, _found string, _weight double, _plain boolean"))
     # Few rows are left: they are written down, so that texts are looked at once.
-    left = settle(small.mapInArrow(_open, f"{kept}, _form string, _found string, _weight double, _plain boolean"))
+    left = settle(opened.select("page_id", "site", "field", *also, "_form", "_found", "_weight", "_plain", "_terms", _agrees(F.col("_terms"), F.col("_page")).alias("_agrees")))
     # Words alike on several hosts, names of hosts and numbers aside, on pages that speak of something else.
     alike = F.regexp_replace(F.regexp_replace("_form", r"[a-z0-9@-]+(?:\.[a-z0-9@-]+)+", "@"), r"\d+", "#")
     weighed = left.where("_found is null").withColumn("_key", alike)
@@ -192,14 +193,14 @@ def stand_ins(values: DataFrame, *also: str, bodies: DataFrame | None = None) ->
 
 
 def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows that are or may be cases, with form, what is detected and weight in place of the value."""
+    """The rows that are or may be cases, with form, what is detected and weight."""
     for batch in batches:
-        for part in slices(batch, "_value"):
-            form = same_look(part.column("_value")).cast(pa.string())
+        for part in slices(batch, "_low"):
+            low = part.column("_low")
+            form = same_look(low).cast(pa.string())
             found, weight = judged(form)
-            plain = pc.equal(pc.replace_substring_regex(part.column("_value"), r"\s+", ""), pc.replace_substring(form, " ", ""))
-            kept = [i for i, x in enumerate(part.schema.names) if x != "_value"]
-            out = pa.RecordBatch.from_arrays([*(part.column(i) for i in kept), form, found, weight, plain], [*(part.schema.names[i] for i in kept), "_form", "_found", "_weight", "_plain"])
+            plain = pc.equal(pc.replace_substring_regex(low, r"\s+", ""), pc.replace_substring(form, " ", ""))
+            out = pa.RecordBatch.from_arrays([*part.columns, form, found, weight, plain], [*part.schema.names, "_form", "_found", "_weight", "_plain"])
             shows = pc.and_(pc.greater(pc.binary_length(form), 0), pc.or_(pc.is_valid(found), pc.greater(weight, 0)))
             yield out.filter(shows)
 
