@@ -35,6 +35,10 @@ LATIN = {
     "sk": ("áäčďéíĺľňóôŕšťúýž", CENTRAL),
     "hu": ("áéíóöőúüű", ()),
     "hr": ("čćđšž", CENTRAL),
+    "lt": ("ąčęėįšųūž", ()),
+    "lv": ("āčēģīķļņōŗšūž", ()),
+    "cy": ("âêîôûŵŷáéíóúäëïöü", ()),
+    "sq": ("çë", ()),
     "ro": ("ăâîșțşţ", ("cp1250", "iso8859-2")),
     "tr": ("çğıöşüâîû", TURKISH),
 }
@@ -237,8 +241,11 @@ def latin_edits(text: str) -> tuple[bool, list[tuple[int, int, str]]]:
         mixed = not likely(frozenset(letters | rest))
         if mixed:
             # Beside correct text of another language only what no language has as it stands, and what such words enclose.
-            clear = [a for (a, _, _), (own, bad) in zip(words, seen, strict=True) if bad or not own <= MIXED and not likely(frozenset(own))]
-            edits = [e for e in edits if clear and clear[0] <= e[0] <= clear[-1]]
+            odd_ones = [(a, b) for (a, b, _), (own, bad) in zip(words, seen, strict=True) if bad or not own <= MIXED and not likely(frozenset(own))]
+            clear = [x for x in odd_ones if x in {e[:2] for e in edits}]
+            if 2 * len(clear) <= len(odd_ones):
+                continue  # what is odd here, this pair doesn't explain
+            edits = [e for e in edits if clear[0][0] <= e[0] <= clear[-1][0]]
             changed = sum(x != y for a, b, new in edits for x, y in zip(text[a:b], new, strict=True))
         if edits and changed >= (1 if wrong else 2) and likely(frozenset(letters)):
             # Words of nothing but such letters, as French has them: between edited ones, or anywhere in text of one language.
