@@ -239,6 +239,9 @@ def latin_edits(text: str) -> tuple[bool, list[tuple[int, int, str]]]:
             changed += sum(x != y for x, y in zip(word, new, strict=True))
         rest = set().union(*(own for (a, b, _), (own, _) in zip(words, seen, strict=True) if (a, b) not in {e[:2] for e in edits}))
         mixed = not likely(frozenset(letters | rest))
+        alone = any(bad or not own <= MIXED and not likely(frozenset(own)) for own, bad in seen)
+        if not alone and changed < 3:
+            continue  # words of two languages beside each other
         if mixed:
             # Beside correct text of another language only what no language has as it stands, and what such words enclose.
             odd_ones = [(a, b) for (a, b, _), (own, bad) in zip(words, seen, strict=True) if bad or not own <= MIXED and not likely(frozenset(own))]
