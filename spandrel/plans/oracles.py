@@ -216,14 +216,25 @@ def _number(e: str, *fields: str) -> str:
     return ", ".join(f"TRY_CAST(json_extract_string({e}, '$.{f}') AS INTEGER) AS {f}" for f in fields)
 
 
-def crawl(depth: int) -> str:
-    """A crawl over the pages by the addresses they stand under, level by level: each address once, where it is met first."""
+#: The part of a site that the robots.txt of ``crawled_site`` blocks.
+BLOCKED = "/archive/"
+
+
+def crawl(depth: int, site_only: bool = False, budget: int | None = None, blocked: str | None = None) -> str:
+    """A crawl over the pages by the addresses they stand under, level by level: each address once, where it is met first.
+
+    With ``site_only`` links to other hosts lead nowhere. A ``budget`` ends the order in which addresses are met, blocked
+    ones included: what is met behind it can't change what is before.
+    """
+    off = f"starts_with({_path('l.url')}, '{blocked}') AND {_origin('l.url')} = (SELECT {_origin('url')} FROM level0)" if blocked else "false"
+    near = f" AND {_host('url')} IS NOT DISTINCT FROM (SELECT {_host('url')} FROM level0) AND {_port('url')} IS NOT DISTINCT FROM (SELECT {_port('url')} FROM level0)" if site_only else ""
+    kept = f" AND l.seq < {budget}" if budget else ""
     levels = ["level0 AS (SELECT seed AS url, seed AS page_key, CAST(0 AS BIGINT) AS seq, 0 AS crawl_depth FROM (SELECT arg_min(address, page_id) AS seed FROM addressed WHERE starts_with(url, 'http')))"]
     for d in range(1, depth + 1):
         before = " UNION ALL ".join(f"SELECT * FROM level{k}" for k in range(d))
         levels.append(f"""level{d} AS (
             SELECT met.url, page_key, (SELECT count(*) FROM ({before})) + row_number() OVER (ORDER BY met.seq, met.link_idx) - 1 AS seq, {d} AS crawl_depth
-            FROM (SELECT o.page_key, min({{'seq': l.seq, 'link_idx': o.link_idx, 'url': o.url}}) AS met FROM level{d - 1} l JOIN responses r ON r.address = l.url JOIN outgoing o ON o.page_id = r.page_id GROUP BY o.page_key)
+            FROM (SELECT o.page_key, min({{'seq': l.seq, 'link_idx': o.link_idx, 'url': o.url}}) AS met FROM level{d - 1} l JOIN responses r ON r.address = l.url JOIN outgoing o ON o.page_id = r.page_id WHERE NOT coalesce({off}, false){kept} GROUP BY o.page_key)
             WHERE page_key NOT IN (SELECT page_key FROM ({before})))""")
     every = " UNION ALL ".join(f"SELECT * FROM level{k}" for k in range(depth + 1))
     return f"""WITH addressed AS (SELECT *, {_key("url")} AS address FROM pages),
@@ -231,10 +242,11 @@ def crawl(depth: int) -> str:
         html AS (SELECT p.* FROM addressed p JOIN responses USING (page_id) WHERE {EXTRACTED}),
         {resolved("SELECT l.link_id AS id, p.address AS page_url, l.url AS ref FROM links l JOIN html p USING (page_id)")},
         placed AS (SELECT page_id, url, row_number() OVER (PARTITION BY page_id ORDER BY link_idx, link_id) - 1 AS link_idx FROM (SELECT l.page_id, l.link_idx, l.link_id, r.url FROM links l JOIN resolved r ON r.id = l.link_id)),
-        outgoing AS (SELECT page_id, link_idx, url, {_key("url")} AS page_key FROM placed WHERE {_crawlable("url")}),
-        {", ".join(levels)}
+        {levels[0]},
+        outgoing AS (SELECT page_id, link_idx, url, {_key("url")} AS page_key FROM placed WHERE {_crawlable("url")}{near}),
+        {", ".join(levels[1:])}
         SELECT l.seq, l.page_key, l.crawl_depth, p.status_code, CASE WHEN {EXTRACTED} THEN {_trim(_clean("p.title"))} END AS title, CASE WHEN r.page_id IS NULL THEN 'connection failed' END AS error
-        FROM ({every}) l LEFT JOIN responses r ON r.address = l.url LEFT JOIN pages p ON p.page_id = r.page_id"""
+        FROM ({every}) l LEFT JOIN responses r ON r.address = l.url LEFT JOIN pages p ON p.page_id = r.page_id WHERE NOT coalesce({off}, false){kept}"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -295,6 +307,13 @@ def oracle_sql() -> dict[str, str]:
             CASE WHEN {EXTRACTED} THEN coalesce(i.n, 0) ELSE 0 END AS images, CASE WHEN {EXTRACTED} THEN coalesce(i.bare, 0) ELSE 0 END AS without_alt
             FROM pages p LEFT JOIN (SELECT page_id, count(*) AS n, count(*) FILTER (alt IS NULL) AS bare FROM images GROUP BY 1) i USING (page_id)""",
         "crawled_snapshot": crawl(5),
+        "crawled_site": crawl(5, True, 200, BLOCKED),
+        "report_summaries": f"""{CHILDREN},
+            n_pages AS (SELECT report_id, count(*) AS total_pages FROM pages GROUP BY 1),
+            n_links AS (SELECT report_id, count(*) AS total_links, count(*) FILTER (coalesce(TRY_CAST(json_extract_string(e, '$.status_code') AS INTEGER) >= 400, false) OR json_extract_string(e, '$.check_error') IS NOT NULL) AS broken_links FROM records WHERE child = 'links' AND json_type(e) = 'OBJECT' GROUP BY 1),
+            n_issues AS (SELECT report_id, {", ".join(f"count(*) FILTER (json_extract_string(e, '$.severity') = '{x}') AS {x.lower()}s" for x in RANKS)} FROM records WHERE child = 'issues' AND json_type(e) = 'OBJECT' GROUP BY 1)
+            SELECT report_id, json_extract_string(t, '$.start_url') AS start_url, {", ".join(f"coalesce({x}, 0) AS {x}" for x in ("total_pages", "total_links", "broken_links", "errors", "warnings", "infos"))}
+            FROM unwrapped LEFT JOIN n_pages USING (report_id) LEFT JOIN n_links USING (report_id) LEFT JOIN n_issues USING (report_id) WHERE json_valid(t) AND json_exists(t, '$.pages')""",
         "extracted_links": f"""WITH html AS (SELECT * FROM pages WHERE {EXTRACTED}),
             refs AS (SELECT l.link_id AS id, p.page_id, p.url AS page_url, l.url AS ref, coalesce(l.text, '') AS text, l.link_idx, l.link_id FROM links l JOIN html p USING (page_id)),
             {resolved("SELECT id, page_url, ref FROM refs")},

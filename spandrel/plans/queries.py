@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from spandrel.functions import text, urls
 from spandrel.operators import crawl, extract, linkcheck, nested, robots, rules, summary, views
-from spandrel.plans.oracles import oracle_sql  # noqa: F401
+from spandrel.plans.oracles import BLOCKED, oracle_sql  # noqa: F401
 from spandrel.sinks import report
 from spandrel.sources.snapshots import SnapshotFetcher
 from spandrel.tables import load, settle, written
@@ -310,12 +310,32 @@ def audited_html(spark: SparkSession, root: str) -> DataFrame:
     return pages.select("page_id", F.explode("issues").alias("issue")).groupBy("issue.severity", "issue.issue_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-def crawled_snapshot(spark: SparkSession, root: str) -> DataFrame:
-    """A crawl over the rendered pages from the first page of the first site, five levels deep, each as wide as it is."""
+def _crawled(spark: SparkSession, root: str, options: crawl.CrawlOptions, robots_txt: str | None = None) -> DataFrame:
+    """A crawl over the rendered pages, by the addresses they stand under, from the first page of all."""
     responses = rendered_pages(spark, root).withColumn("address", urls.normalized(F.col("url"))).groupBy("address").agg(F.min_by(F.struct("status_code", "content_type", "body"), "page_id").alias("r")).select(F.col("address").alias("url"), "r.*")
     seed = load(spark, root, "pages").where(F.col("url").startswith("http")).agg(F.min_by(urls.normalized(F.col("url")), "page_id").alias("seed")).first().seed
-    done = crawl.crawl(spark, seed, SnapshotFetcher(responses), crawl.CrawlOptions(max_depth=5, max_pages=None, follow_external=True))
-    return done.pages.select("seq", "page_key", "crawl_depth", "status_code", "title", "error")
+    return crawl.crawl(spark, seed, SnapshotFetcher(responses, robots_txt), options).pages.select("seq", "page_key", "crawl_depth", "status_code", "title", "error")
+
+
+def crawled_snapshot(spark: SparkSession, root: str) -> DataFrame:
+    """A crawl of whatever links lead to, five levels deep, each as wide as it is."""
+    return _crawled(spark, root, crawl.CrawlOptions(max_depth=5, max_pages=None, follow_external=True))
+
+
+def crawled_site(spark: SparkSession, root: str) -> DataFrame:
+    """A crawl with the usual settings: one site, five levels, 200 pages, and a robots.txt that blocks a part of it."""
+    return _crawled(spark, root, crawl.CrawlOptions(), f"User-agent: *\nDisallow: {BLOCKED}\n")
+
+
+def report_summaries(spark: SparkSession, root: str) -> DataFrame:
+    """The summary of each saved report, made anew from its tables; each is counted by itself before the joins."""
+    t = nested.report_tables(load(spark, root, "reports"))
+    of = F.substring_index("parent_id", "/", 1).alias("id")
+    pages = t["pages"].groupBy(of).agg(F.count(F.lit(1)).alias("total_pages"))
+    links = t["links"].groupBy(of).agg(F.count(F.lit(1)).alias("total_links"), F.count_if(linkcheck.is_broken(F.col("status_code"), F.col("check_error"))).alias("broken_links"))
+    issues = t["issues"].groupBy(of).agg(*(F.count_if(F.col("severity") == s).alias(f"{s.lower()}s") for s in summary.RANKS))
+    out = t["report"].select("id", "start_url").join(pages, "id", "left").join(links, "id", "left").join(issues, "id", "left").na.fill(0)
+    return out.withColumn("report_id", F.col("id").cast("bigint")).drop("id")
 
 
 def report_documents(spark: SparkSession, root: str) -> DataFrame:
@@ -345,7 +365,7 @@ def p5_pages(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = (page_rule_issues, link_issues, link_issues_without_redirects, issues_by_type, issues_by_severity, title_length_histogram, content_indicators, broken_links, checked_links, probe_outcomes, unique_links, link_fan_in, repeated_links_per_page, skipped_schemes, normalized_urls, url_parts, pages_per_origin, external_links, crawlable_links, image_endings, redirects, robots_decisions, robots_parsed, crawl_summary, page_counts, view_errors, view_search, view_first_page, view_table, report_order, issue_order, display_titles, shortened_titles, load_delays, bfs_depths, unreached_pages, extracted_pages, extracted_links, extracted_images, audited_html, crawled_snapshot, report_documents, p5_found, p5_shredded, p5_links, p5_pages)
+    own = (page_rule_issues, link_issues, link_issues_without_redirects, issues_by_type, issues_by_severity, title_length_histogram, content_indicators, broken_links, checked_links, probe_outcomes, unique_links, link_fan_in, repeated_links_per_page, skipped_schemes, normalized_urls, url_parts, pages_per_origin, external_links, crawlable_links, image_endings, redirects, robots_decisions, robots_parsed, crawl_summary, page_counts, view_errors, view_search, view_first_page, view_table, report_order, issue_order, display_titles, shortened_titles, load_delays, bfs_depths, unreached_pages, extracted_pages, extracted_links, extracted_images, audited_html, crawled_snapshot, crawled_site, report_documents, report_summaries, p5_found, p5_shredded, p5_links, p5_pages)
     out: dict[str, Query] = {f.__name__: f for f in own}
     out |= {
         "title_issues": _of_types("MissingTitle", "TitleTooShort", "TitleTooLong"),
